@@ -356,7 +356,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
                 for number, text in encoder.encode(texts):
                     row: list = [number.count(" ") + 1 if number else 0]
                     if with_ids:
-                        row += [np.array(number.split(), np.int32), text]
+                        row += [np.fromstring(number, np.int32, sep=" "), text]
                     if digest:
                         row += [hashlib.sha256(number.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
                     for c, v in zip(cols, row, strict=True):
