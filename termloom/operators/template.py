@@ -68,7 +68,9 @@ def slots(sentences: DataFrame, col: str = "sentence") -> DataFrame:
     low, high = F.when(F.col("__inv"), F.col("__m") + 1).otherwise(F.lit(1)), F.when(F.col("__inv"), F.size("__w")).otherwise(F.col("__m") - 1)
     places = F.when((F.col("__m") > 0) & (high >= low), F.filter(F.sequence(low, F.greatest(high, low)), nominal)).otherwise(F.array().cast("array<int>"))
     one = one.withColumn("__places", places).withColumn("__first", F.get("__places", F.lit(0)))
-    run = F.filter(F.col("__places"), lambda i, k: i - k == F.col("__first"))
+    # A determiner begins the next chunk.
+    one = one.withColumn("__next", F.get(F.filter("__places", lambda i: (i > F.col("__first")) & (F.get("__tag", i - 1) == "DET")), F.lit(0)))
+    run = F.filter(F.col("__places"), lambda i, k: (i - k == F.col("__first")) & (F.col("__next").isNull() | (i < F.col("__next"))))
     system = F.when(F.size(run) > 0, F.rtrim(F.array_join(F.slice("__w", F.col("__first"), F.greatest(F.size(run), F.lit(1))), " "), F.lit(".,"))).otherwise(F.lit(""))
     one = one.withColumn("__sys", F.coalesce(system, F.lit("")))
     a, b = F.when(F.col("__inv"), F.col("__modal")).otherwise(F.col("__sys")), F.when(F.col("__inv"), F.col("__sys")).otherwise(F.col("__modal"))

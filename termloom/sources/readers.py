@@ -23,10 +23,18 @@ def lines(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias(name)).where(F.col(name) != "")
 
 
+def _western() -> tuple[str, str]:
+    """Characters that ISO 8859-1 and Windows 1252 read differently, and what the latter has."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs)
+
+
 def table_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
     """Columns of a CSV file with header, as strings without carriage returns."""
-    df = spark.read.csv(path, sep=sep, header=True, encoding=encoding, quote='"', escape='"')
-    return df.select(*[F.regexp_replace(F.col(f"`{c}`"), "\r", "").alias(c) for c in (columns or df.columns)])
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    df = spark.read.csv(path, sep=sep, header=True, encoding="ISO-8859-1" if western else encoding, quote='"', escape='"')
+    clean = lambda c: F.translate(c, *_western()) if western else c
+    return df.select(*[clean(F.regexp_replace(F.col(f"`{c}`"), "\r", "")).alias(c) for c in (columns or df.columns)])
 
 
 def clusters_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
