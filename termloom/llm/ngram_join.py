@@ -17,9 +17,11 @@ classes; it never needs every pair of a class.
    shingles behind the prefixes could add reach the required overlap.
    Candidates are probed: the smaller sorted set is searched in the larger.
 4. *Skipping.*  Long lists of near copies would emit the square of their
-   length.  First every list is only compared with one hub; nodes joined this
-   way need no further comparison.  Then the pairs of a list that lie in
-   different classes are merged in full, so no link between classes is lost.
+   length.  First every list is only compared with one hub, the set in most and
+   longest lists; sets joined to a hub need no further comparison with each
+   other.  A set in too few lists to reach the overlap with any size present in
+   a list leaves it.  Then the pairs of a list that lie in different classes are
+   merged in full, so no link between classes is lost.
 
 Defined cases: a null text or one without words has an empty set, links with
 nothing and is its own class; fewer words than ``size`` are one shingle.
@@ -33,18 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import _text
 from termloom.llm._components import components
-from termloom.llm._store import forget, small, stored
+from termloom.llm._store import small, stored
 
 U64 = np.uint64
 SIZE, PERCENT = 5, 75
 CELL_BITS, BLOCKS = 18, 16
-#: Pairs of different classes, summed over lists, up to which lists are merged in full at once.
-MERGE_PAIRS = 20_000_000
+#: Lists are merged in full once their open pairs are at most this many for each row.
+MERGE_FACTOR = 8
 _shingle_poly = _text.Poly(41)
 
 
@@ -133,7 +135,10 @@ def _ranks(scan: DataFrame) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, ranks: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Inverted lists (h, sig, n, m) of m > 1 distinct sets over the prefixes."""
+    """Inverted lists (h, sig, n, s, w) over the prefixes, lists of one set left out.
+
+    s is the number of lists a set is in, w the sum of their lengths.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
 
@@ -165,16 +170,21 @@ def _lists(docs: DataFrame, ranks: np.ndarray, id_col: str, text_col: str, size:
 
     found = docs.select(text_col).mapInArrow(run, "h long, sig long, n int")
     found.createOrReplaceTempView("__termloom_postings")
-    out = spark.sql("SELECT DISTINCT h, sig, n FROM (SELECT *, min(sig) OVER w AS lo, max(sig) OVER w AS hi FROM __termloom_postings WINDOW w AS (PARTITION BY h)) WHERE lo <> hi")
+    out = spark.sql("SELECT DISTINCT h, sig, n, m FROM (SELECT *, min(sig) OVER w AS lo, max(sig) OVER w AS hi, count(*) OVER w AS m FROM __termloom_postings WINDOW w AS (PARTITION BY h)) WHERE lo <> hi")
     spark.catalog.dropTempView("__termloom_postings")
-    return stored(out, "shingle-lists")
+    lists = stored(out, "shingle-lists")
+    weight = lists.groupBy("sig").agg(F.count("*").cast("int").alias("s"), F.sum("m").alias("w"))
+    return stored(lists.drop("m").join(weight, "sig").select("h", "sig", "n", "s", "w"), "weighted-lists")
 
 
-def _enough(percent: int):
-    """Whether ``c`` shared prefix shingles leave the required overlap possible (columns a_n, b_n, c)."""
+def _enough(percent: int, shared):
+    """Whether ``shared`` common prefix shingles leave the required overlap possible (columns a_n, b_n).
+
+    Behind the prefix that ends first lie at most ceil(n * percent / 100) - 1 shingles.
+    """
     need = lambda n: F.ceil(F.col(n) * percent / 100)
     rest = F.greatest(need("a_n"), need("b_n")) - 1
-    return ((100 + percent) * (F.col("c") + rest) >= percent * (F.col("a_n") + F.col("b_n"))) & (percent * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n"))
+    return ((100 + percent) * (shared + rest) >= percent * (F.col("a_n") + F.col("b_n"))) & (percent * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n"))
 
 
 def _verified(docs: DataFrame, scan: DataFrame, pairs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -212,58 +222,66 @@ def _verified(docs: DataFrame, scan: DataFrame, pairs: DataFrame, id_col: str, t
     return stored(both.mapInArrow(probe, "a long, b long"), "links")
 
 
-def _labelled(lists: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
+def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``lists`` with ``class``: a set that a row's set is known to link with, or itself."""
+    if links is None:
         return lists.withColumn("class", F.col("sig"))
-    named = classes.select(F.col("node").alias("sig"), F.col("component").alias("class"))
-    return lists.join(named, "sig", "left").withColumn("class", F.coalesce("class", "sig"))
+    hub = links.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("class"))
+    return lists.join(hub, "sig", "left").withColumn("class", F.coalesce("class", "sig"))
 
 
-def _open_lists(labelled: DataFrame) -> DataFrame:
-    """(h, cross): lists that hold several classes, with the pairs between them."""
-    per = labelled.groupBy("h", "class").agg(F.count("*").alias("k"))
-    return per.groupBy("h").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.count("*").alias("g")).where("g > 1").select("h", ((F.col("m") * F.col("m") - F.col("sq")) / 2).cast("long").alias("cross"))
+def _open(labelled: DataFrame, percent: int) -> DataFrame:
+    """Rows of lists with several classes that could reach the overlap with some size in their list.
+
+    A set that shares all its lists with a partner of its own size may still be
+    too small; then only much larger or smaller partners remain, and the sizes
+    present in the list tell whether there are any.
+    """
+    whole = Window.partitionBy("h")
+    seen = labelled.select("*", F.min("class").over(whole).alias("c0"), F.max("class").over(whole).alias("c1"), F.min("n").over(whole).alias("n0"), F.max("n").over(whole).alias("n1")).where("c0 <> c1")
+    part, keep = percent / (100 + percent), percent / 100
+    larger = (part * F.col("n") - F.col("s")) / (keep - part)
+    smaller = (F.col("s") + (keep - part) * F.col("n")) / part
+    return seen.where((F.col("n1") + 1 >= larger) | (F.col("n0") - 1 <= smaller)).drop("c0", "c1", "n0", "n1")
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, merge_pairs: int = MERGE_PAIRS, max_hub_rounds: int = 6) -> DataFrame:
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, merge_factor: int = MERGE_FACTOR, max_hub_rounds: int = 3) -> DataFrame:
     """(id, rid, n_shingles, component): the class of every row.
 
     ``rid`` is xxhash64 of id and text; ``component`` is the smallest id of the class.
     """
     scan = _scan(docs, id_col, text_col, size)
     lists = _lists(docs, _ranks(scan), id_col, text_col, size, percent)
-    links, classes = None, None
-    for turn in range(max_hub_rounds + 1):
-        labelled = _labelled(lists, classes)
-        if classes is not None:
-            labelled = stored(labelled, "labelled")
-        open_lists = stored(_open_lists(labelled), "open-lists")
-        cross = open_lists.agg(F.sum("cross")).first()[0] or 0
-        if not cross:
-            break
-        last = turn == max_hub_rounds or (turn and cross <= merge_pairs)
-        live = labelled.join(open_lists.select("h"), "h", "left_semi")
-        if last:
-            a = live.select("h", F.col("sig").alias("a"), F.col("n").alias("a_n"), F.col("class").alias("a_class"))
-            b = live.select("h", F.col("sig").alias("b"), F.col("n").alias("b_n"), F.col("class").alias("b_class"))
-            met = a.join(b, "h").where("a_class < b_class")
-            met = met.where(percent * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n"))
-        else:
-            draw = F.xxhash64("sig", F.lit(turn))
-            hub = live.groupBy("h").agg(F.min(F.struct(draw.alias("d"), "sig", "n", "class")).alias("hub"))
-            met = live.join(hub, "h").where("class <> hub.class").select("h", F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b"), F.when(F.col("sig") < F.col("hub.sig"), F.col("n")).otherwise(F.col("hub.n")).alias("a_n"), F.when(F.col("sig") < F.col("hub.sig"), F.col("hub.n")).otherwise(F.col("n")).alias("b_n"))
-        pairs = met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count("*").alias("c")).where(_enough(percent)).select("a", "b")
-        pairs = stored(pairs, "pairs")
-        new = _verified(docs, scan, pairs, id_col, text_col, size, percent)
+    rows = lists.count()
+    links, fresh = None, 1
+    for turn in range(max_hub_rounds):
+        open_ = stored(_open(_labelled(lists, links), percent), "open-lists")
+        if turn:
+            per = open_.groupBy("h", "class").agg(F.count("*").alias("k")).groupBy("h").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("x"))
+            cross = per.agg(F.sum("x")).first()[0] or 0
+            if not fresh or cross <= merge_factor * rows:
+                break
+        # The set in most and longest lists leads a list; later rounds draw by hash.
+        rank = F.col("w") if turn == 0 else F.xxhash64("sig", F.lit(turn))
+        hub = F.max(F.struct(rank.alias("d"), "sig", "n", "class")).over(Window.partitionBy("h"))
+        met = open_.withColumn("hub", hub).where("class <> hub.class")
+        pairs = met.groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.first("hub.n").alias("a_n"), F.first("n").alias("b_n"), F.count("*").alias("c")).where(_enough(percent, F.col("c"))).select("a", "b")
+        new = _verified(docs, scan, stored(pairs, "pairs"), id_col, text_col, size, percent)
+        fresh = new.count()
         links = new if links is None else links.unionByName(new)
-        classes = stored(components(links), "classes")
-        if last:
-            break
+    else:
+        open_ = stored(_open(_labelled(lists, links), percent), "open-lists")
+    a = open_.select("h", F.col("sig").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"), F.col("class").alias("a_class"))
+    b = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"), F.col("class").alias("b_class"))
+    close = (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & _enough(percent, F.least("a_s", "b_s"))
+    met = a.join(b, (a["h"] == b["h"]) & close)
+    pairs = met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count("*").alias("c")).where(_enough(percent, F.col("c"))).select("a", "b")
+    links = links.unionByName(_verified(docs, scan, stored(pairs, "pairs"), id_col, text_col, size, percent))
+    classes = components(links).select(F.col("node").alias("sig"), "component")
     nodes = scan.where("rid is not null")
-    named = _labelled(nodes.where("n > 0").select("id", "sig"), classes) if classes is not None else nodes.where("n > 0").select("id", "sig", F.col("sig").alias("class"))
-    least = named.groupBy("class").agg(F.min("id").alias("component"))
-    of_sig = named.select("sig", "class").distinct().join(least, "class").select("sig", "component")
-    whole = nodes.where("n > 0").join(of_sig, "sig").select("id", "rid", F.col("n").alias("n_shingles"), "component")
+    full = nodes.where("n > 0").join(classes, "sig", "left").withColumn("class", F.coalesce("component", "sig")).drop("component")
+    least = full.groupBy("class").agg(F.min("id").alias("component"))
+    whole = full.join(least, "class").select("id", "rid", F.col("n").alias("n_shingles"), "component")
     return whole.unionByName(nodes.where("n = 0").select("id", "rid", F.col("n").alias("n_shingles"), F.col("id").alias("component")))
 
 
