@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from termloom.llm import _text
 
 BUCKET_BITS = 16
+#: The rejection level is at most this, whatever the calibration says.
+MOST_REJECTED = 0.4
 UND = "und"
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -133,7 +135,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
     temperature = float(grid[int(np.argmin(loss))])
     p = softmax(temperature)
     right = p.max(1)[p.argmax(1) == y]
-    reject = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.0
+    # Never above MOST_REJECTED: a short clean text may well score low.
+    reject = min(MOST_REJECTED, float(np.quantile(right, 0.001))) if len(right) else 0.0
     return LanguageModel(languages, table, bias, temperature, reject)
 
 
