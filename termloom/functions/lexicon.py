@@ -55,6 +55,23 @@ def lemma(word: Column) -> Column:
     return plural_base(F.lower(word))
 
 
+def lemma_phrase(phrase: Column, which: str = "all") -> Column:
+    """A phrase with the lemmas of its words: of ``all``, of the ``last`` one only, or of all but ``determiners``."""
+    words = F.split(phrase, " ")
+    if which == "last":
+        out = F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, lemma(w)).otherwise(w))
+    elif which == "determiners":
+        out = F.transform(words, lambda w: F.when(w.isin(DETERMINERS), w).otherwise(lemma(w)))
+    else:
+        out = F.transform(words, lemma)
+    return F.array_join(out, " ")
+
+
+def capital_tag(word: Column) -> Column:
+    """A cruder annotator: capitals are nouns."""
+    return F.when(word.rlike(r"^\p{Lu}"), "NOUN").otherwise("X")
+
+
 def sql_list(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 

@@ -639,6 +639,34 @@ def _(t):
     return E.tag_mapping(tagged(t), {"ADJ": "JJ", "VERB": "VB"}).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@query("annotator_scores", f"""WITH {STOK}, lab AS (
+  SELECT 'capital' AS tool, 'pos' AS task, req_no, term || '/' || CASE WHEN regexp_matches(term, '^\\p{{Lu}}') THEN 'NOUN' ELSE 'X' END AS item, CASE WHEN regexp_matches(term, '^\\p{{Lu}}') THEN 'NOUN' ELSE 'X' END AS label FROM tok
+  UNION ALL SELECT 'capital', 'lemma', req_no, term || '/' || lower(term), '' FROM tok),
+c AS (SELECT DISTINCT tool, task, req_no, item FROM lab WHERE task = 'lemma' OR label IN ('NOUN', 'VERB', 'ADJ')),
+g AS (SELECT DISTINCT 'capital' AS tool, 'pos' AS task, req_no, term || '/' || tag AS item FROM tagged WHERE tag IN ('NOUN', 'VERB', 'ADJ') UNION SELECT 'capital', 'lemma', req_no, term || '/' || lemma FROM tagged),
+j AS (SELECT coalesce(c.tool, g.tool) AS tool, coalesce(c.task, g.task) AS task, c.item AS ci, g.item AS gi FROM c FULL JOIN g ON c.tool = g.tool AND c.task = g.task AND c.req_no = g.req_no AND c.item = g.item),
+k AS (SELECT tool, task, count(*) FILTER (WHERE ci IS NOT NULL AND gi IS NOT NULL) AS tp, count(*) FILTER (WHERE gi IS NULL) AS fp, count(*) FILTER (WHERE ci IS NULL) AS fn FROM j GROUP BY 1, 2),
+s AS (SELECT *, tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS p, tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS r FROM k)
+SELECT tool, task, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 2) AS f_score FROM s""")
+def _(t):
+    rows = K.candidates(sentence_units(t))
+    tool, gold = {"pos": L.capital_tag, "lemma": F.lower}, {"pos": L.pos_tag, "lemma": L.lemma}
+    return E.compare_annotators(rows, {"capital": tool}, gold, {"pos": ["NOUN", "VERB", "ADJ"], "lemma": None})
+
+
+def _phrase_sql(expr: str) -> str:
+    return f"array_to_string([{expr} for w in string_split(chunk, ' ')], ' ')"
+
+
+@query("chunk_lemmas", f"""WITH {STOK}, {_RUNS}, c AS (SELECT DISTINCT chunk FROM runs WHERE nouns = 1)
+SELECT chunk, {_phrase_sql(L.lemma_sql('w'))} AS every, {_phrase_sql("CASE WHEN w IN (" + L.sql_list(L.DETERMINERS) + ") THEN w ELSE " + L.lemma_sql('w') + " END")} AS content,
+  array_to_string(list_concat(string_split(chunk, ' ')[:-2], [{L.lemma_sql("string_split(chunk, ' ')[-1]")}]), ' ') AS head FROM c""")
+def _(t):
+    chunk = K.noun_runs(tagged(t)).select("chunk").distinct()
+    c = F.col("chunk")
+    return chunk.select("chunk", L.lemma_phrase(c).alias("every"), L.lemma_phrase(c, "determiners").alias("content"), L.lemma_phrase(c, "last").alias("head"))
+
+
 @query("pos_groups", f"WITH {STOK} SELECT tag, string_agg(term, ',' ORDER BY term) AS words FROM (SELECT DISTINCT tag, term FROM tagged WHERE tag IN ('DET', 'ADP', 'ADV', 'CONJ')) GROUP BY tag")
 def _(t):
     rows = tagged(t).where("tag in ('DET', 'ADP', 'ADV', 'CONJ')").select("tag", "term").distinct()
