@@ -249,17 +249,15 @@ class Automaton:
         return " ".join(self.label[k] for k in ids)
 
 
-class Encoder:
-    """Encodes texts word by word with a bounded memory of words."""
+class Splitter:
+    """Normalises and pre-splits texts as the tokenizer file says."""
 
-    def __init__(self, automaton: Automaton, splitter: Tokenizer):
-        self.automaton, self.splitter = automaton, splitter
-        self.ids: dict[str, str] = {}
-        self.labels: dict[str, str] = {}
-        self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(automaton.special, key=len, reverse=True)) + ")") if automaton.special else None
+    def __init__(self, special: dict[str, int], library: Tokenizer):
+        self.library = library
+        self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
 
     def _piece(self, piece: str) -> list[str]:
-        parts = self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(piece))
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
         return [bytes(map(_BYTE_OF.__getitem__, w)).decode("utf-8") for w, _ in parts]
 
     def split(self, text: str) -> list[str]:
@@ -280,6 +278,16 @@ class Encoder:
                 out += _WORD.findall(piece.lower()) if _PLAIN.fullmatch(piece) else self._piece(piece)
         return out
 
+
+class Encoder:
+    """Encodes texts word by word with a bounded memory of words."""
+
+    def __init__(self, automaton: Automaton, library: Tokenizer):
+        self.automaton = automaton
+        self.splitter = Splitter(automaton.special, library)
+        self.ids: dict[str, str] = {}
+        self.labels: dict[str, str] = {}
+
     def _learn(self, words: set[str]) -> None:
         if len(self.ids) > CACHE:
             old_ids, old_labels = self.ids, self.labels
@@ -300,7 +308,7 @@ class Encoder:
         while lo < len(texts):
             part, size = [], 0
             while lo < len(texts) and (size < PART or not part):
-                part.append(self.split(texts[lo] or ""))
+                part.append(self.splitter.split(texts[lo] or ""))
                 size += len(texts[lo] or "")
                 lo += 1
             self._learn(set().union(*part))

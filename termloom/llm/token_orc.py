@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from termloom.llm import _text
 from termloom.llm._store import new_path
+from termloom.llm.bpe_automaton import END, Splitter
 
 END_ID = 1
-CACHE = 400_000
-PART = 6 << 20
+#: Words that a worker remembers, and characters of text handled at a time.
+CACHE, PART = 700_000, 2 << 20
 #: Bytes of text aimed at in one file.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 ORC = {
-    "orc.compress": "ZSTD",
+    "orc.compress": "LZ4",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "2000",
     "orc.bloom.filter.columns": "doc_id",
@@ -45,37 +46,48 @@ ORC = {
 
 
 class LibraryEncoder:
-    """Encodes texts by a tokenizer file, each distinct piece between spaces once."""
+    """Encodes texts by a tokenizer file; the library encodes each distinct word once.
+
+    Texts are split as in ``bpe_automaton``.  New words are joined by blanks into
+    one call, and the result is cut behind the tokens that end a word.
+    """
 
-    #: Joins pieces into one text for the library: a special token, split off before all else.
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.mark, self.mark_id = min(special.items(), key=lambda x: x[1]) if special else (None, -1)
-        self.specials = tuple(special)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.ends = np.zeros(max([*vocab.values(), *self.special.values()]) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith(END)]] = True
+        self.splitter = Splitter(self.special, self.tokenizer)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
             old = self.known
-            self.known = {p: old[p] for p in pieces & old.keys()}
-        new = list(pieces.difference(self.known))
-        apart = [p for p in new if self.mark is None or any(s in p for s in self.specials)]
-        for p in apart:
-            self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int32).tobytes()
-        if apart:
-            new = [p for p in new if p not in self.known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            data = ids.tobytes()
-            for p, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
-                self.known[p] = data[4 * a : 4 * b]
+            self.known = {w: old[w] for w in words & old.keys()}
+        new = list(words.difference(self.known))
+        for w in [w for w in new if w[0] == "\n"]:
+            self.known[w] = int(self.special[w[1:]]).to_bytes(4, "little")
+        plain = [w for w in new if w[0] != "\n"]
+        for lo in range(0, len(plain), 8192):
+            part = plain[lo : lo + 8192]
+            ids = self._ids(" ".join(part))
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, cut in zip(part, cuts, strict=True):
+                    self.known[w] = data[at:cut]
+                    at = cut
+            else:  # a word that the library splits further
+                for w in part:
+                    self.known[w] = self._ids(w).tobytes()
 
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
         """Little-endian 32-bit ids of each text, followed by ``end``."""
@@ -84,14 +96,12 @@ class LibraryEncoder:
         while lo < len(texts):
             part, size = [], 0
             while lo < len(texts) and (size < PART or not part):
-                text = texts[lo] or ""
-                # A special token may hold spaces; then the text is one piece.
-                part.append([text] if any(" " in s and s in text for s in self.specials) else text.replace("\n", " ").split(" "))
-                size += len(text)
+                part.append(self.splitter.split(texts[lo] or ""))
+                size += len(texts[lo] or "")
                 lo += 1
             self._learn(set().union(*part))
             get = self.known.__getitem__
-            out += [b"".join(map(get, pieces)) + end for pieces in part]
+            out += [b"".join(map(get, words)) + end for words in part]
         return out
 
 
@@ -104,40 +114,30 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, key, n_tokens, ids) of every row; key orders rows with equal ids."""
+def write(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, file_bytes: int = FILE_BYTES) -> None:
+    """Write the token files of ``docs`` in ascending order of id.
+
+    Texts are dealt and sorted before they are encoded: they are smaller than
+    their ids, and the sampling of the ranges then encodes nothing.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    files = max(1, -(-size // file_bytes))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, at = encoder(tokenizer), 0
         for batch in batches:
             for lo, hi, _, _ in _text.pieces(batch.column(2), PART):
                 data = enc.encode(batch.column(2).slice(lo, hi - lo).to_pylist(), end)
-                sizes = np.array([len(x) // 4 for x in data], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes.astype(np.int32)), ids], ["doc_id", "key", "n_tokens", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col))
-    return rows.mapInArrow(run, "doc_id long, key long, n_tokens int, ids array<int>")
-
-
-def write(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, file_bytes: int = FILE_BYTES) -> None:
-    """Write the token files of ``docs`` in ascending order of id."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
-    dealt = tokenized(docs, tokenizer, id_col, text_col, end_id).repartitionByRange(files, "doc_id", "key").sortWithinPartitions("doc_id", "key")
-
-    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for batch in batches:
-            n = batch.column(3).to_numpy().astype(np.int64)
-            ends = at + np.cumsum(n)
-            cols = [batch.column(0), batch.column(1), pa.array(ends - n), batch.column(3), batch.column(4)]
-            at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "start", "n_tokens", "ids"])
-
-    placed = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "key", "n_tokens", "ids").mapInArrow(offsets, "shard int, doc_id long, start long, n_tokens int, ids array<int>")
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(data), np.int32)))
+                cols = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), ids]
+                at += int(offsets[-1])
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "start", "n_tokens", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    dealt = rows.repartitionByRange(files, "doc_id", "key").sortWithinPartitions("doc_id", "key")
+    placed = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(run, "shard int, doc_id long, start long, n_tokens int, ids array<int>")
     placed.write.options(**ORC).orc(out)
 
 
