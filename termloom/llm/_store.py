@@ -12,7 +12,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +37,17 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/termloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that read them are then void."""
+    drop(spark, _root(spark))
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -62,10 +70,12 @@ def forget(df: DataFrame) -> None:
     drop(df.sparkSession, df._termloom_path)
 
 
-#: Largest number of rows of fixed-width columns that is ever broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Most rows, and most bytes of text in them, that are ever broadcast.
+BROADCAST_ROWS, BROADCAST_TEXT = 1_000_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; larger inputs keep a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: int = BROADCAST_TEXT) -> DataFrame:
+    """Hint a broadcast only after measuring; larger inputs keep a shuffle join."""
+    words = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+    got = df.agg(F.count(F.lit(1)), *words).first()
+    return F.broadcast(df) if got[0] <= rows and sum(x or 0 for x in got[1:]) <= text else df
