@@ -12,8 +12,9 @@ into one.  Runs are bucketed by range, so the merge join streams.
 
 Verification: anchors counted at least twice go into a Bloom filter of fixed
 size (a false positive only costs work).  Windows whose anchor is in the filter
-are hashed in full to 96 bits and counted exactly; only windows counted twice
-are removed.  No text is moved until the last step, which joins the removed
+are hashed in full to 96 bits and counted exactly, first within each piece of
+text, so a very common window reaches the shuffle once a piece; only windows
+counted twice are removed.  No text is moved until the last step, which joins the removed
 positions to their documents.
 
 Defined cases: a null text has no words.  Each row is a document of its own, so
@@ -100,8 +101,10 @@ class FingerprintIndex:
         return self.spark.read.schema("fp long, n long").parquet(path)
 
     def ingest(self, batch: DataFrame, text_col: str = "text") -> DataFrame:
-        """Append a run for ``batch``; return (fp, n, before) for its anchors that
-        the earlier runs or the batch itself hold more than once."""
+        """Append a run for ``batch`` and merge-join it with the earlier ones.
+
+        Returns (fp, n, before): the anchors of the batch that it or the earlier
+        runs hold again."""
         path = self._write(fingerprints(batch, text_col, self.size, self.gram).groupBy("fp").agg(F.sum("n").alias("n")))
         new = self._read(path)
         history = self.merged() if self.runs else None
@@ -150,13 +153,14 @@ def _in_bloom(table: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
     return ((hit & (table[b >> 6] >> (b & 63).astype(U64))) & one).astype(bool)
 
 
-def repeated_windows(docs: DataFrame, index: FingerprintIndex, id_col: str = "doc_id", text_col: str = "text", bloom_bits: int = BLOOM_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(rid, starts): of every document, the first words of its repeated windows.
 
+    ``anchors`` has column fp: all anchors that occur more than once in ``docs``.
     ``rid`` is xxhash64 of id and text.
     """
-    spark, size, gram = docs.sparkSession, index.size, index.gram
-    table = spark.sparkContext.broadcast(bloom(index.merged().where("n > 1").select("fp"), bloom_bits))
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(bloom(anchors.select("fp"), bloom_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +173,28 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex, id_col: str = "do
                     continue
                 first, second = (p.ranges(p.prefix(hashes), at, at + size) for p in (_text.word_poly, _check_poly))
                 row = np.searchsorted(before, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(first)), pa.array((second >> U64(32)).astype(np.int64)), pa.array(rid[lo + row]), pa.array((at - before[row]).astype(np.int32))], ["w", "v", "rid", "p"])
+                second >>= U64(32)
+                place = (at - before[row]).astype(np.int32)
+                order = np.lexsort((second, first))
+                same = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = same
+                lead = order[:-1][same & ~np.concatenate([[False], same[:-1]])]
+                # A window seen twice here is settled: its places are dealt out by
+                # a hash of their own (v = -1), and one row without a place (p = -1)
+                # speaks for it to other texts.
+                settled = again.copy()
+                settled[lead] = True
+                own = _text.mix(_text.mix(rid[lo + row].view(U64)) + place.astype(U64))
+                w = np.concatenate([np.where(settled, own, first), first[lead]])
+                v = np.concatenate([np.where(settled, -1, second.astype(np.int64)), second[lead].astype(np.int64)])
+                of = pa.array(np.concatenate([rid[lo + row], np.zeros(len(lead), np.int64)]))
+                p = np.concatenate([place, np.full(len(lead), -1, np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(w)), pa.array(v), of, pa.array(p)], ["w", "v", "rid", "p"])
 
     found = docs.select(text_col, F.xxhash64(id_col, text_col)).mapInArrow(run, "w long, v long, rid long, p int")
     found.createOrReplaceTempView("__termloom_windows")
-    twice = spark.sql("SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY w, v) AS c FROM __termloom_windows) WHERE c > 1")
+    twice = spark.sql("SELECT rid, p FROM (SELECT rid, p, v, count(*) OVER g AS c, min(p) OVER g AS q FROM __termloom_windows WINDOW g AS (PARTITION BY w, v)) WHERE (c > 1 OR q < 0 OR v < 0) AND p >= 0")
     spark.catalog.dropTempView("__termloom_windows")
     return twice.groupBy("rid").agg(F.collect_list("p").alias("starts"))
 
@@ -217,16 +238,18 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     index = FingerprintIndex(docs.sparkSession, size, gram)
     part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(batches))
-    for k in range(batches):
-        index.ingest(docs.where(part == k).select(text_col), text_col)
-    index.compact()
+    hits = [index.ingest(docs.where(part == k).select(text_col), text_col).select("fp") for k in range(batches)]
+    anchors = hits[0]
+    for more in hits[1:]:
+        anchors = anchors.unionByName(more)
     added = ["n_words", "n_removed", *(["kept_sha256"] if digest else [])]
     given = docs.select(*[c for c in docs.columns if c not in added])
     kept_cols = given if keep_text else given.drop(text_col)
     names, text_at = [*kept_cols.columns, *added], given.columns.index(text_col)
     at = [given.columns.index(c) for c in kept_cols.columns]
     out_at = kept_cols.columns.index(text_col) if keep_text else None
-    marks = repeated_windows(docs, index, id_col, text_col, bloom_bits).select(F.col("rid").alias("__rid"), F.col("starts").alias("__starts"))
+    marks = repeated_windows(docs, anchors, id_col, text_col, size, gram, bloom_bits).select(F.col("rid").alias("__rid"), F.col("starts").alias("__starts"))
+    index.compact()
     joined = given.withColumn("__rid", F.xxhash64(id_col, text_col)).join(marks, "__rid", "left").select(*given.columns, "__starts")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
