@@ -43,13 +43,21 @@ TEMPLATES = [
 ]
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct word bigrams of a normalised text, sorted by first place."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"licence", "license")
-    plain = F.regexp_replace(plain, r"copyright (\(c\) )?[0-9]{4}[^\n]*", " ")
-    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+(\.[\p{N}]+)*"), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(F.size(words) > 1, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>")))
+def words(text: Column) -> Column:
+    """Words of a normalised text."""
+    plain = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("licence"), F.lit("license"))
+    plain = F.when(F.contains(plain, F.lit("copyright")), F.regexp_replace(plain, r"copyright (\(c\) )?[0-9]{4}[^\n]*", " ")).otherwise(plain)
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+(\.[\p{N}]+)*"), F.lit(0))
+
+
+def bigrams(ws: Column) -> Column:
+    """Distinct bigrams of an array of words.
+
+    The array should be a column of its own: it is read several times.
+    """
+    after = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(1)))
+    pairs = F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(1))), after, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.when(F.size(ws) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -58,7 +66,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def admissible(bank: DataFrame, dice: float) -> DataFrame:
     """(license, tgrams, m, n): each template under every size that can reach ``dice``."""
-    one = bank.select("license", bigrams(F.col("text")).alias("tgrams")).withColumn("m", F.size("tgrams")).where("m > 0").distinct()
+    one = bank.select("license", words(F.col("text")).alias("ws")).select("license", bigrams(F.col("ws")).alias("tgrams")).withColumn("m", F.size("tgrams")).where("m > 0").distinct()
     low, high = F.ceil(F.col("m") * (dice / (2 - dice)) - 1e-9).cast("int"), F.floor(F.col("m") * ((2 - dice) / dice) + 1e-9).cast("int")
     return one.withColumn("n", F.explode(F.sequence(low, high)))
 
@@ -69,13 +77,13 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lines = F.split(text, "\n", -1)
     parts = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(lines)
     cut = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.posexplode(parts).alias("unit", "part"))
-    return cut.select("rid", "unit", bigrams(F.col("part")).alias("grams"))
+    return cut.select("rid", "unit", words(F.col("part")).alias("ws")).select("rid", "unit", bigrams(F.col("ws")).alias("grams"))
 
 
 def matches(docs: DataFrame, bank: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE) -> DataFrame:
     """(rid, unit, license, dice): units that reach ``dice`` with a template."""
     listed = small(stored(admissible(templates(docs.sparkSession) if bank is None else bank, dice), "templates"))
-    met = units(docs, id_col, text_col).withColumn("n", F.size("grams")).join(listed, "n")
+    met = units(docs, id_col, text_col).select("*", F.size("grams").alias("n")).join(listed, "n")
     score = 2 * F.size(F.array_intersect("grams", "tgrams")) / (F.col("n") + F.col("m"))
     return met.select("rid", "unit", "license", score.alias("dice")).where(F.col("dice") >= dice)
 
