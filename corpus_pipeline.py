@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts and decode the ids."""
-    out = bpe_automaton.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False, digest=True)
+    out = bpe_automaton.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False, digest=True, with_decoded=False)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

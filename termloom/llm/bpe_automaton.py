@@ -45,9 +45,9 @@ from termloom.llm import _text
 U64 = np.uint64
 END = "</w>"
 #: Words that a worker remembers; when full, those of the texts at hand stay.
-CACHE = 400_000
+CACHE = 150_000
 #: Characters of text handled at a time.
-PART = 6 << 20
+PART = 2 << 20
 #: Longer words are walked one at a time, in plain Python.
 LONG = 48
 #: Texts of these characters only (Latin letters that are their own normal form
@@ -341,14 +341,16 @@ def _encoder(path: str, packed: Broadcast) -> Encoder:
         try:
             Automaton._compile = lambda self, vocab, merges, states: np.frombuffer(zlib.decompress(packed.value), np.uint8).reshape(self.size, (states + 7) // 8)
             _encoders[path] = Encoder(read_tokenizer(path), Tokenizer.from_file(path))
+            packed.__dict__.pop("_value", None)  # the packed copy is not needed again
         finally:
             Automaton._compile = compile_
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = True, with_ids: bool = True, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = True, with_ids: bool = True, digest: bool = False, with_decoded: bool = True) -> DataFrame:
     """Add n_tokens and, as asked, ids, decoded, ids_sha256 and decoded_sha256 to all columns of ``docs``."""
-    added = ["n_tokens", *(["ids", "decoded"] if with_ids else []), *(["ids_sha256", "decoded_sha256"] if digest else [])]
+    with_decoded = with_decoded and with_ids
+    added = ["n_tokens", *["ids"] * with_ids, *["decoded"] * with_decoded, *(["ids_sha256", "decoded_sha256"] if digest else [])]
     given = docs.select(*[c for c in docs.columns if c not in added])
     kept = given if keep_text else given.drop(text_col)
     text_at, at = given.columns.index(text_col), [given.columns.index(c) for c in kept.columns]
@@ -364,15 +366,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
                 for number, text in encoder.encode(texts):
                     row: list = [number.count(" ") + 1 if number else 0]
                     if with_ids:
-                        row += [np.fromstring(number, np.int32, sep=" "), text]
+                        row.append(np.fromstring(number, np.int32, sep=" "))
+                    if with_decoded:
+                        row.append(text)
                     if digest:
                         row += [hashlib.sha256(number.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                kinds = [pa.int64(), *([pa.list_(pa.int32()), pa.string()] if with_ids else []), *([pa.string()] * 2 if digest else [])]
+                kinds = [pa.int64(), *[pa.list_(pa.int32())] * with_ids, *[pa.string()] * with_decoded, *([pa.string()] * 2 if digest else [])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in at), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    schema = "n_tokens long" + ", ids array<int>, decoded string" * with_ids + ", ids_sha256 string, decoded_sha256 string" * digest
+    schema = "n_tokens long" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded + ", ids_sha256 string, decoded_sha256 string" * digest
     return given.mapInArrow(run, _text.extended(kept, schema))
 
 
