@@ -21,7 +21,7 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes handled at a time; a longer document is handled alone.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 
 def _odd(seed: int) -> int:
