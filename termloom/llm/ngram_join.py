@@ -245,11 +245,8 @@ def _open(labelled: DataFrame, percent: int) -> DataFrame:
     return seen.where((F.col("n1") + 1 >= larger) | (F.col("n0") - 1 <= smaller)).drop("c0", "c1", "n0", "n1")
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, merge_factor: int = MERGE_FACTOR, max_hub_rounds: int = 3) -> DataFrame:
-    """(id, rid, n_shingles, component): the class of every row.
-
-    ``rid`` is xxhash64 of id and text; ``component`` is the smallest id of the class.
-    """
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, merge_factor: int = MERGE_FACTOR, max_hub_rounds: int = 3) -> DataFrame:
+    """(id, rid, n_shingles, component, class): as ``link_classes``; ``class`` is a set of the class, null for empty sets."""
     scan = _scan(docs, id_col, text_col, size)
     lists = _lists(docs, _ranks(scan), id_col, text_col, size, percent)
     rows = lists.count()
@@ -281,17 +278,39 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = scan.where("rid is not null")
     full = nodes.where("n > 0").join(classes, "sig", "left").withColumn("class", F.coalesce("component", "sig")).drop("component")
     least = full.groupBy("class").agg(F.min("id").alias("component"))
-    whole = full.join(least, "class").select("id", "rid", F.col("n").alias("n_shingles"), "component")
-    return whole.unionByName(nodes.where("n = 0").select("id", "rid", F.col("n").alias("n_shingles"), F.col("id").alias("component")))
+    whole = full.join(least, "class").select("id", "rid", F.col("n").alias("n_shingles"), "component", "class")
+    return whole.unionByName(nodes.where("n = 0").select("id", "rid", F.col("n").alias("n_shingles"), F.col("id").alias("component"), F.lit(None).cast("long").alias("class")))
+
+
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, rid, n_shingles, component): the class of every row.
+
+    ``rid`` is xxhash64 of id and text; ``component`` is the smallest id of the class.
+    """
+    return _classes(docs, id_col, text_col, **options).drop("class")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their class, one of repeated rows, with all columns."""
-    chosen = link_classes(docs, id_col, text_col, **options).where(F.col("id").eqNullSafe(F.col("component"))).select("component", F.col("rid").alias("__rid"), "n_shingles")
-    one = chosen.where("n_shingles > 0").groupBy("component").agg(F.min("__rid").alias("__rid")).select("__rid").unionByName(chosen.where("n_shingles = 0").select("__rid").distinct())
-    one = stored(one, "kept")
+    """One row of each class, with all columns: one whose id names the class.
+
+    A class without ids keeps a row too.  Of rows with equal id and text one
+    stays, the first by a hash of all columns; rows without words and without
+    id are different documents and all stay.
+    """
+    chosen = _classes(docs, id_col, text_col, **options).where(F.col("id").eqNullSafe(F.col("component")))
+    # Counted by row first: a class may hold one row many times.
+    times = chosen.groupBy("class", F.col("rid").alias("__rid")).agg(F.count("*").alias("n"), F.max("id").alias("id"))
+    whole = times.where("class is not null").groupBy("class").agg(F.min(F.struct("__rid", "n")).alias("x")).select("x.__rid", (F.col("x.n") > 1).alias("__again"))
+    one = stored(whole.unionByName(times.where("class is null").select("__rid", ((F.col("n") > 1) & F.col("id").isNotNull()).alias("__again"))), "kept")
     keyed = docs.withColumn("__rid", F.xxhash64(id_col, text_col))
-    return keyed.join(small(one), "__rid", "left_semi").drop("__rid")
+    single = keyed.join(small(one.where("not __again").select("__rid")), "__rid", "left_semi").drop("__rid")
+    if one.where("__again").isEmpty():
+        return single
+    again = keyed.join(small(one.where("__again").select("__rid")), "__rid", "left_semi")
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    # An aggregate keeps one row of each task before the shuffle.
+    first = again.groupBy("__rid").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+    return single.unionByName(first)
 
 
 def op9_ngram_join(docs: DataFrame) -> DataFrame:

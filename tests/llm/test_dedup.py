@@ -240,3 +240,15 @@ def test_vectors(spark, options):
 
 def test_no_vectors(spark):
     assert itq_dedup.deduplicate(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_one_row_stays_of_each_class(spark):
+    """Classes without ids, repeated rows, and an id that two unrelated classes share."""
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdefg"}
+    data = [(None, text["a"]), (None, text["b"]), (None, text["b"] + " tail"), (None, text["c"]), (None, text["c"]), (5, text["d"]), (5, text["d"]), (5, text["d"]), (6, text["d"] + " tail"), (7, text["e"]), (7, text["f"]), (None, text["g"]), (8, text["g"]), (9, ""), (9, ""), (None, ""), (None, "")]
+    df = spark.createDataFrame([(d, t, i % 2) for i, (d, t) in enumerate(data)], "doc_id long, text string, x int")
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one_of_each(df).collect())
+    b = [k for k in got if k[0] is None and k[1].startswith("b0 ")]
+    assert len(b) == 1 and b[0] in data
+    want = Counter([(None, text["a"]), b[0], (None, text["c"]), (5, text["d"]), (7, text["e"]), (7, text["f"]), (8, text["g"]), (9, ""), (None, ""), (None, "")])
+    assert got == want
