@@ -13,9 +13,12 @@
    into blocks; each pair of blocks is a task of its own of at most twice that
    size.  Nothing is capped.
 
-The number of bits of a substring follows from the number of vectors: shorter
-substrings find more.  A pair of cosine 0.95 differs in about a tenth of its
-bits; with 8 tables of 8 bits 99 % of such pairs meet, closer ones more often.
+The number of bits of a substring follows from the number of vectors, the number
+of tables from these bits: shorter substrings find more, so longer ones get more
+tables.  A pair of cosine 0.95 differs in about a tenth of its bits; with 8
+tables of 8 bits 99 % of such pairs meet, as with 13 of 12 bits or 21 of 16,
+closer ones more often.  Where one code has too few substrings, further codes by
+random rotations give the rest.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and those without an id, link with nothing; they are returned with
@@ -41,6 +44,8 @@ from termloom.llm._store import stored
 COSINE = 0.95
 SAMPLE = 4096
 BLOCK = 2048
+#: Share of the pairs at the threshold that are to meet in a table.
+RECALL = 0.985
 
 
 def learn_rotation(x: np.ndarray, rounds: int = 30, seed: int = 3) -> np.ndarray:
@@ -121,6 +126,22 @@ def _substring_bits(n: int, dim: int) -> int:
     return min(max(8, int(np.ceil(np.log2(max(n, 2)) / 2))), 16, dim)
 
 
+def _tables(width: int, dim: int, cosine: float, recall: float = RECALL) -> int:
+    """Tables of ``width`` bits in which a pair at the threshold meets with probability ``recall``; all of one code at least.
+
+    A random hyperplane separates two vectors with probability angle / pi.
+    """
+    same = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** width
+    need = 1 if same >= recall else int(np.ceil(np.log(1 - recall) / np.log1p(-max(same, 1e-12))))
+    return max(dim // width, need)
+
+
+def _rotations(first: np.ndarray, codes: int, seed: int = 11) -> np.ndarray:
+    """``first`` and random rotations beside it, ``codes`` in all."""
+    rng = np.random.default_rng(seed)
+    return np.hstack([first, *(np.linalg.qr(rng.normal(size=first.shape))[0] for _ in range(codes - 1))])
+
+
 def near_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK, bits: int | None = None) -> DataFrame:
     """(id, n, mate): links of vectors by bucket, to be summed over rows of an id.
 
@@ -132,9 +153,8 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     out = None
     for row in sizes:
         dim, n = row["dim"], row["count"]
-        width = bits or _substring_bits(n, dim)
-        tables = max(1, dim // width)
-        found = _links_of_dim(spark, rows.where(F.size("v") == dim), dim, n, min(width, dim), tables, cosine, sample, block)
+        width = min(bits or _substring_bits(n, dim), dim)
+        found = _links_of_dim(spark, rows.where(F.size("v") == dim), dim, n, width, _tables(width, dim, cosine), cosine, sample, block)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "id long, n long, mate long")
 
@@ -144,7 +164,9 @@ def _links_of_dim(spark, rows: DataFrame, dim: int, n: int, width: int, tables:
     draw = F.xxhash64("id", F.lit("rotation")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     drawn = rows.where(draw < share).select("v").toArrow().column(0)
     rotation = learn_rotation(_unit(drawn, dim)[1]) if len(drawn) else np.eye(dim)
-    shared = spark.sparkContext.broadcast(rotation)
+    each = dim // width
+    codes = -(-tables // each)
+    shared = spark.sparkContext.broadcast(_rotations(rotation, codes))
     weights = 1 << np.arange(width, dtype=np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +174,8 @@ def _links_of_dim(spark, rows: DataFrame, dim: int, n: int, width: int, tables:
             at, x = _unit(batch.column(1), dim)
             if not len(at):
                 continue
-            signs = (x @ shared.value >= 0)[:, : tables * width].reshape(len(at), tables, width)
-            keys = (signs * weights).sum(2)
+            signs = (x @ shared.value >= 0).reshape(len(at), codes, dim)[:, :, : each * width].reshape(len(at), codes * each, width)
+            keys = (signs[:, :tables] * weights).sum(2)
             ids = batch.column(0).take(pa.array(at))
             given = batch.column(1).take(pa.array(at))
             code = pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int32).ravel()), tables).cast(pa.list_(pa.int32()))

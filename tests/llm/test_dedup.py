@@ -252,3 +252,20 @@ def test_one_row_stays_of_each_class(spark):
     assert len(b) == 1 and b[0] in data
     want = Counter([(None, text["a"]), b[0], (None, text["c"]), (5, text["d"]), (7, text["e"]), (7, text["f"]), (8, text["g"]), (9, ""), (None, ""), (None, "")])
     assert got == want
+
+
+@pytest.mark.parametrize("dim,bits", [(64, 8), (64, 10), (64, 12), (64, 16), (32, None), (16, None)])
+def test_pairs_at_the_threshold_meet(spark, dim, bits):
+    """The substrings of large tables, and short vectors, find pairs just above cosine 0.95 too."""
+    rng = np.random.default_rng(dim + (bits or 0))
+    a, u = rng.normal(size=(2, 1000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    u -= (a * u).sum(1)[:, None] * a
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * u
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.vstack([a, b]))], "vec_id long, embedding array<double>")
+    x = np.vstack([a, b])
+    want = int((np.triu(x @ x.T, 1) >= 0.95).sum())
+    got = itq_dedup.near_links(df, bits=bits).agg(F.sum("n")).first()[0] / 2
+    print("recall", dim, bits, got / want)
+    assert 0.97 * want <= got <= want
