@@ -249,3 +249,48 @@ def test_lang_column_is_no_input_of_a_prediction(spark):
     a = langid.identify(df, model).select("doc_id", "lang_pred", "score")
     b = langid.identify(df.withColumn("lang", F.lit("zz")), model).select("doc_id", "lang_pred", "score")
     assert a.subtract(b).count() == 0
+
+
+def brute_windows(text, template, dice=0.8):
+    """Best Dice coefficient of all windows of consecutive bigrams of admissible length."""
+    def grams(t):
+        w = re.findall(r"[^\W_]+(?:\.\d+)*", t.lower().replace("licence", "license"))
+        return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    g, t = grams(text), grams(template)
+    most, m, best = int(len(t) * (2 - dice) / dice + 1e-9), set(t), 0.0
+    for i in range(len(g)):
+        for j in range(i + 1, min(len(g), i + most) + 1):
+            w = set(g[i:j])
+            best = max(best, 2 * len(w & m) / (len(w) + len(m)))
+    return best
+
+
+def test_licences_across_lines_and_inside_lines(spark):
+    import textwrap
+
+    T_ = license_scan.TEMPLATES
+    prose = " ".join(f"word{i} other{i % 17}" for i in range(300))
+    wrap = lambda x: "\n".join(textwrap.wrap(x, 60))
+    full = dict(license_scan.full_texts())
+    changed = T_[4][1].replace("sublicense", "lend").replace("without limitation", "with no limitation")
+    rows = [
+        (1, f"{prose}\n{wrap(T_[4][1])}\n{prose}"),
+        (2, f"{prose} Released under the MIT License. {prose}"),
+        (3, full["GPL-3.0"]), (4, full["Apache-2.0"]), (5, full["BSD-3-Clause"]), (6, full["BSD-2-Clause"]), (7, f"{prose}\n{full['Apache-2.0'][2000:9000]}\n{prose}"),
+        (8, f"{prose}\n{wrap(changed)}\n{prose}\n{wrap(T_[1][1])}\nAll rights reserved.\n{prose}"),
+        (9, f"{prose} rights reserved {prose} under the license {prose}"),
+        (10, f"{prose}\n{full['GPL-3.0']}\n{prose}"),
+    ]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.op8_license_scan(df).collect()}
+    names = {k: set(r.licenses.split(",")) - {""} for k, r in got.items()}
+    assert names[1] == names[2] == {"MIT"} and got[1].n_units == got[2].n_units == 1 and got[1].best == got[2].best == 1.0
+    assert "GPL-3.0" in names[3] and got[3].best == 1.0 and "Apache-2.0" in names[4] and got[4].best == 1.0
+    assert "BSD-3-Clause" in names[5] and "BSD-2-Clause" in names[6] and "Apache-2.0" in names[7] and "GPL-3.0" in names[10]
+    assert names[8] == {"MIT", "Apache-2.0", "Proprietary"} and got[8].n_units == 3
+    assert names[9] == set() and got[9].n_units == 0
+    one = spark.createDataFrame([T_[4]], "license string, text string")
+    text = f"{prose} {wrap(changed)} {prose}"
+    best = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), one).first().best
+    assert best == round(brute_windows(text, T_[4][1]), 6) and 0.8 < best < 1
