@@ -91,6 +91,18 @@ def term_statistics(reqs: DataFrame, domain: DataFrame, general: DataFrame, abbr
     return out.join(alphabetical(freq.select("term")), "term")
 
 
+def by_frequency(freq: DataFrame, buckets: int = 2) -> DataFrame:
+    """All rows of (term, abs_freq) with ``frequency_order``, from 0: falling frequency, then the term.
+
+    As in ``alphabetical``, only counts by frequency and leading characters are ordered as a whole.
+    """
+    headed = freq.withColumn("head", F.substring("term", 1, buckets))
+    sizes = headed.groupBy("abs_freq", "head").agg(F.count("*").alias("m"))
+    before = sizes.select("abs_freq", "head", (F.sum("m").over(Window.orderBy(F.desc("abs_freq"), "head")) - F.col("m")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("abs_freq", "head").orderBy("term"))
+    return headed.withColumn("upto", inside).join(before, ["abs_freq", "head"]).withColumn("frequency_order", F.col("before") + F.col("upto") - 1).drop("head", "upto", "before")
+
+
 def alphabetical(terms: DataFrame, buckets: int = 2) -> DataFrame:
     """(term, alphabetical_order): number of terms up to the term in code-point order, less one.
 

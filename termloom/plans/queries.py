@@ -405,6 +405,11 @@ def _(t):
     return out.orderBy(F.desc("abs_freq"), "term").limit(100)
 
 
+@query("frequency_rank", f"SELECT term, abs_freq, CAST(len(string_split(term, '-')) AS INTEGER) AS words, row_number() OVER (ORDER BY abs_freq DESC, term) - 1 AS frequency_order FROM (SELECT term, count(*) AS abs_freq FROM ({TOK}) GROUP BY term)")
+def _(t):
+    return S.by_frequency(S.frequencies(K.candidates(reqs(t)))).withColumn("words", F.size(F.split("term", "-")))
+
+
 @query("set_operations", f"""WITH a AS (SELECT DISTINCT term FROM ({TOK})), b AS (SELECT DISTINCT term FROM ({tok('conversations', 'conv_id')}))
 SELECT (SELECT count(*) FROM (SELECT term FROM a INTERSECT SELECT term FROM b)) AS common, (SELECT count(*) FROM (SELECT term FROM a EXCEPT SELECT term FROM b)) AS only_first, (SELECT count(*) FROM (SELECT term FROM a UNION SELECT term FROM b)) AS either""")
 def _(t):
