@@ -148,11 +148,16 @@ def best_split(words: DataFrame, lexicon_: DataFrame, least: int = 14, part: int
     return long.join(best, "word", "left").select("word", F.coalesce("cut.head", "word").alias("head"), F.coalesce("cut.tail", F.lit("")).alias("tail"))
 
 
-def split_recursively(words: DataFrame, lexicon_: DataFrame, rounds: int = 3, **options) -> DataFrame:
-    """(word, parts): cuts repeated on long parts; a word of 14 * 2**rounds characters is fully split."""
+def split_recursively(words: DataFrame, lexicon_: DataFrame, rounds: int | None = None, **options) -> DataFrame:
+    """(word, parts): cuts repeated on long parts until none changes, or ``rounds`` times."""
     now = words.select("word", F.col("word").alias("piece"), F.array(F.lit(0)).alias("path")).distinct()
-    for _ in range(rounds):
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
         cut = best_split(now.select(F.col("piece").alias("word")), lexicon_, **options)
+        # Each cut shortens its parts, so this ends.
+        if rounds is None and cut.where("tail <> ''").isEmpty():
+            break
         joined = now.join(cut.withColumnRenamed("word", "piece"), "piece", "left")
         pair = F.filter(F.array(F.struct(F.lit(0).alias("side"), F.coalesce("head", "piece").alias("piece")), F.struct(F.lit(1).alias("side"), F.coalesce("tail", F.lit("")).alias("piece"))), lambda x: x["piece"] != "")
         now = joined.select("word", "path", F.explode(pair).alias("x")).select("word", F.col("x.piece").alias("piece"), F.concat("path", F.array("x.side")).alias("path"))

@@ -245,3 +245,11 @@ def test_piped(spark):
 
 def test_stop_words_are_sorted():
     assert L.STOP_WORDS == sorted(set(L.STOP_WORDS))
+
+
+def test_compound_split_until_nothing_changes(spark):
+    """Cuts that take only four characters each need more than three rounds."""
+    parts = ["aaaa", "bbbb", "cccc", "dddd", "eeeeeeeeee"]
+    lex = spark.createDataFrame([(x, 5) for x in parts] + [("".join(parts[k:]), 5) for k in range(1, 4)], "e string, f long")
+    words = spark.createDataFrame([("".join(parts),)], "word string")
+    assert rows(K.split_recursively(words, lex), "word", "parts") == [("".join(parts), " ".join(parts))]
