@@ -12,18 +12,21 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share."""
+    """Folder that driver and executors share; a temporary one only where all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="termloom-"))
             atexit.register(_remove, _fallback[0])
@@ -70,12 +73,28 @@ def forget(df: DataFrame) -> None:
     drop(df.sparkSession, df._termloom_path)
 
 
-#: Most rows, and most bytes of text in them, that are ever broadcast.
-BROADCAST_ROWS, BROADCAST_TEXT = 1_000_000, 32 << 20
+#: Most rows, and most bytes in them, that are ever broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: int = BROADCAST_TEXT) -> DataFrame:
-    """Hint a broadcast only after measuring; larger inputs keep a shuffle join."""
-    words = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
-    got = df.agg(F.count(F.lit(1)), *words).first()
-    return F.broadcast(df) if got[0] <= rows and sum(x or 0 for x in got[1:]) <= text else df
+def _bytes(col: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        out = F.octet_length(col).cast("long")
+    elif isinstance(kind, ArrayType):
+        plain = not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, MapType, StructType))
+        out = F.size(col) * F.lit(8).cast("long") if plain else F.aggregate(col, F.lit(0).cast("long"), lambda a, x: a + _bytes(x, kind.elementType))
+    elif isinstance(kind, MapType):
+        out = _bytes(F.map_keys(col), ArrayType(kind.keyType)) + _bytes(F.map_values(col), ArrayType(kind.valueType))
+    elif isinstance(kind, StructType):
+        out = sum((_bytes(col[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(out, F.lit(0).cast("long")) + 8
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring rows and bytes of all columns; larger inputs keep a shuffle join."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    got = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if got[0] <= rows and (got[1] or 0) <= most else df
