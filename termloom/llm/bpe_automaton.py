@@ -9,7 +9,10 @@ one for each merge (a, b) -> c in order of priority:
 * c takes over the ways out of b and the ways in to a.
 
 Arcs are bits: one row for every label, one bit for every state that can be
-left.  Tokens that end a word cannot be left and need no state.
+left.  Tokens that end a word cannot be left and need no state.  Labels with
+equal rows and states with equal columns are then merged into classes, which
+leaves about a fifth of the table.  It is compiled once, in one task, written to
+the shared folder and broadcast; its size depends on the vocabulary only.
 
 Encoding walks a word from left to right.  All prefixes of a word are paths
 too, so each position has one state, found by trying the labels that end there
@@ -28,19 +31,22 @@ alike.  Any number of columns may follow; names of the results replace theirs.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from termloom.llm import _text
+from termloom.llm._store import forget, stored
 
 U64 = np.uint64
 END = "</w>"
@@ -75,37 +81,90 @@ def byte_letters() -> list[str]:
 _BYTE_OF = {c: b for b, c in enumerate(byte_letters())}
 
 
+@dataclass
+class Arcs:
+    """Arcs between classes: bit ``column[state]`` of ``rows[row[label]]`` tells whether label may follow state."""
+
+    rows: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+
+    def __call__(self, label, place):
+        """Whether each label may follow each state, given by its place."""
+        at = self.column[place]
+        return self.rows[self.row[label], at >> 3] >> (at & 7).astype(np.uint8) & 1
+
+    @classmethod
+    def merged(cls, table: np.ndarray) -> Arcs:
+        """The classes of a table with one row for each label and one bit for each state."""
+        kinds, row = np.unique(table.view(np.dtype((np.void, table.shape[1]))).ravel(), return_inverse=True)
+        rows = np.frombuffer(kinds.tobytes(), np.uint8).reshape(len(kinds), -1)
+        # Columns are compared in full, eight at a time.
+        seen: dict[bytes, int] = {}
+        column = np.zeros(8 * rows.shape[1], np.int32)
+        packed = []
+        for k in range(rows.shape[1]):
+            bits = np.unpackbits(rows[:, k, None], axis=1, bitorder="little")
+            for j in range(8):
+                one = np.packbits(bits[:, j])
+                digest = hashlib.blake2b(one.tobytes(), digest_size=16).digest()
+                if digest not in seen:
+                    seen[digest] = len(packed)
+                    packed.append(one)
+                column[8 * k + j] = seen[digest]
+        out = np.empty((len(rows), (len(packed) + 7) // 8), np.uint8)
+        for k in range(out.shape[1]):
+            part = np.stack([np.unpackbits(x)[: len(rows)] for x in packed[8 * k : 8 * k + 8]])
+            out[:, k] = np.packbits(part.T, axis=1, bitorder="little")[:, 0]
+        return cls(out, row.astype(np.int32), column)
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, rows=self.rows, row=self.row, column=self.column)
+        return zlib.compress(out.getvalue(), 1)
+
+    @classmethod
+    def loads(cls, blob: bytes) -> Arcs:
+        x = np.load(io.BytesIO(zlib.decompress(blob)))
+        return cls(x["rows"], x["row"], x["column"])
+
+
 class Automaton:
-    """The compiled automaton of a byte-level BPE with word-end symbols."""
+    """The compiled automaton of a byte-level BPE with word-end symbols.
+
+    Given ``arcs``, the merges are not compiled again.
+    """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int], arcs: Arcs | None = None):
         self.special, self.size = special, max([*vocab.values(), *special.values()]) + 1
         self.label = [""] * self.size
         for token, k in [*vocab.items(), *special.items()]:
             self.label[k] = token
         code = _BYTE_OF
-        self.symbols: dict[int, np.ndarray] = {}
+        self.symbols: dict[int, bytes] = {}
         for token, k in vocab.items():
             ends = token.endswith(END) and token != END
             body = [code[c] for c in (token[: -len(END)] if ends else token)]
             if ends:
                 body[-1] += 256
-            self.symbols[k] = np.array(body, np.int64)
-        self.length = np.zeros(self.size + 1, np.int64)
+            self.symbols[k] = np.array(body, np.int16).tobytes()
+        self.length = np.zeros(self.size + 1, np.int32)
         for k, s in self.symbols.items():
-            self.length[k] = len(s)
+            self.length[k] = len(s) // 2
         self.longest = int(self.length.max())
         self.base = np.full(512, -1)
+        last = {}
         for k, s in self.symbols.items():
-            if len(s) == 1:
-                self.base[s[0]] = k
+            last[k] = int.from_bytes(s[-2:], "little")
+            if len(s) == 2:
+                self.base[last[k]] = k
         # Places of the states: tokens that do not end a word, and the start at 0.
-        self.place = np.zeros(self.size + 1, np.int64)
-        inner = [k for k, s in sorted(self.symbols.items()) if s[-1] < 256]
+        self.place = np.zeros(self.size + 1, np.int32)
+        inner = [k for k in sorted(self.symbols) if last[k] < 256]
         self.place[inner] = np.arange(1, len(inner) + 1)
         self.inner = np.zeros(self.size, bool)
         self.inner[inner] = True
-        self.arcs = self._compile(vocab, merges, 1 + len(inner))
+        self.arcs = arcs or Arcs.merged(self._compile(vocab, merges, 1 + len(inner)))
         self._index()
 
     def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]], states: int) -> np.ndarray:
@@ -145,8 +204,8 @@ class Automaton:
     def _index(self) -> None:
         """A table from the hash of a label's symbols to its token, by two probes."""
         tokens = np.array(sorted(self.symbols))
-        hashes = np.array([self._hash(self.symbols[k]) for k in tokens], U64)
-        bits = 20
+        hashes = np.array([self._hash(np.frombuffer(self.symbols[k], np.int16)) for k in tokens], U64)
+        bits = max(8, int(4 * len(tokens)).bit_length())
         self.shift, size = U64(64 - bits), 1 << bits
         self.slots, self.keys = np.full(size + 64, -1, np.int32), np.zeros(size + 64, U64)
         self.probes = 1
@@ -157,7 +216,7 @@ class Automaton:
                 step += 1
             self.slots[at + step], self.keys[at + step] = k, h
             self.probes = max(self.probes, step + 1)
-        self.words = {s.tobytes(): k for k, s in self.symbols.items()}
+        self.words = {s: k for k, s in self.symbols.items()}
 
     @staticmethod
     def _hash(symbols: np.ndarray) -> np.uint64:
@@ -193,7 +252,7 @@ class Automaton:
                 if not len(some):
                     continue
                 place = self.place[state[todo[some], begin]]
-                fits = (self.arcs[token[some], place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                fits = self.arcs(token[some], place) > 0
                 hit = some[fits]
                 state[todo[hit], end] = token[hit]
                 left = np.ones(len(todo), bool)
@@ -212,13 +271,13 @@ class Automaton:
         return out
 
     def _walk_long(self, symbols: np.ndarray) -> list[int]:
-        length = len(symbols)
+        length, symbols = len(symbols), symbols.astype(np.int16)
         state = [self.size] + [-1] * length
         for end in range(1, length + 1):
             for size in range(min(end, self.longest), 0, -1):
                 last = state[end - size]
                 token = self.words.get(symbols[end - size : end].tobytes()) if last >= 0 else None
-                if token is not None and self.arcs[token, self.place[last] >> 3] >> int(self.place[last] & 7) & 1:
+                if token is not None and self.arcs(token, self.place[last]):
                     state[end] = token
                     break
         path, at = [], length
@@ -316,19 +375,39 @@ class Encoder:
                 yield " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.labels.__getitem__, words))
 
 
-def read_tokenizer(path: str) -> Automaton:
+def read_tokenizer(path: str, arcs: Arcs | None = None) -> Automaton:
     """Compile a tokenizer file; its merges must be in order and its words end in ``</w>``."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    return Automaton(model["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]})
+    merges = [] if arcs else [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return Automaton(model["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]}, arcs)
+
+
+def normaliser(path: str) -> Tokenizer:
+    """The tokenizer file without its model: normalisation and pre-splitting only."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] |= {"vocab": {}, "merges": [], "unk_token": None}
+    return Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None}))
+
+
+_compiled: dict[tuple, bytes] = {}
+
+
+def packed_arcs(spark: SparkSession, path: str) -> bytes:
+    """The arcs of the automaton, compiled in a task and compressed; some 4 MB, kept by the driver."""
+    key = (path, os.path.getmtime(path))
+    if key not in _compiled:
 
+        def compile_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([read_tokenizer(path).arcs.dumps()], pa.binary())], ["arcs"])
 
-@lru_cache(maxsize=2)
-def packed_tables(path: str) -> bytes:
-    """The arcs of the automaton, compressed for shipping to the executors."""
-    return zlib.compress(read_tokenizer(path).arcs.tobytes(), 1)
+        table = stored(spark.range(1, numPartitions=1).mapInArrow(compile_, "arcs binary"), "automaton")
+        _compiled[key] = bytes(table.first()["arcs"])
+        forget(table)
+    return _compiled[key]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -337,13 +416,8 @@ _encoders: dict[str, Encoder] = {}
 def _encoder(path: str, packed: Broadcast) -> Encoder:
     """The encoder of this worker; the arcs are unpacked, not compiled again."""
     if path not in _encoders:
-        compile_ = Automaton._compile
-        try:
-            Automaton._compile = lambda self, vocab, merges, states: np.frombuffer(zlib.decompress(packed.value), np.uint8).reshape(self.size, (states + 7) // 8)
-            _encoders[path] = Encoder(read_tokenizer(path), Tokenizer.from_file(path))
-            packed.__dict__.pop("_value", None)  # the packed copy is not needed again
-        finally:
-            Automaton._compile = compile_
+        _encoders[path] = Encoder(read_tokenizer(path, Arcs.loads(packed.value)), normaliser(path))
+        packed.__dict__.pop("_value", None)  # the packed copy is not needed again
     return _encoders[path]
 
 
@@ -355,7 +429,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
     kept = given if keep_text else given.drop(text_col)
     text_at, at = given.columns.index(text_col), [given.columns.index(c) for c in kept.columns]
     names = [*kept.columns, *added]
-    shared = docs.sparkSession.sparkContext.broadcast(packed_tables(path))
+    shared = docs.sparkSession.sparkContext.broadcast(packed_arcs(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared)
