@@ -31,9 +31,17 @@ CONJUNCTIONS = "and or und oder et ou y o".split()
 ADVERBS = "not only also there here auch noch nicht so wie".split()
 #: Default stop list; a parameter wherever it is used.
 STOP_WORDS = sorted({*DETERMINERS, *ADPOSITIONS, *CONJUNCTIONS, *ADVERBS, "is", "are", "was", "be", "it", "he", "re", "that"})
-VERB_SUFFIX = "(en|eln|ern|ing|ed)$"
-ADJECTIVE_SUFFIX = "(lich|ig|isch|bar|able|ous|ful|ive)$"
-NOUN_SUFFIX = "(ung|heit|keit|schaft|tion|ness|ment)$"
+VERB_SUFFIXES = "en eln ern ing ed".split()
+ADJECTIVE_SUFFIXES = "lich ig isch bar able ous ful ive".split()
+NOUN_SUFFIXES = "ung heit keit schaft tion ness ment".split()
+
+
+def ends_in(word: Column, suffixes: list[str]) -> Column:
+    """Whether a word has one of the endings; plain comparisons, no pattern."""
+    out = F.lit(False)
+    for suffix in suffixes:
+        out = out | word.endswith(suffix)
+    return out
 
 
 def pos_tag(word: Column) -> Column:
@@ -43,9 +51,9 @@ def pos_tag(word: Column) -> Column:
         .when(word.isin(ADPOSITIONS), "ADP")
         .when(word.isin(CONJUNCTIONS), "CONJ")
         .when(word.isin(ADVERBS), "ADV")
-        .when(word.rlike(NOUN_SUFFIX) | word.rlike(r"^\p{Lu}"), "NOUN")
-        .when(word.rlike(ADJECTIVE_SUFFIX), "ADJ")
-        .when(word.rlike(VERB_SUFFIX), "VERB")
+        .when(ends_in(word, NOUN_SUFFIXES) | word.rlike(r"^\p{Lu}"), "NOUN")
+        .when(ends_in(word, ADJECTIVE_SUFFIXES), "ADJ")
+        .when(ends_in(word, VERB_SUFFIXES), "VERB")
         .otherwise("X")
     )
 
@@ -78,10 +86,11 @@ def sql_list(words: list[str]) -> str:
 
 def pos_sql(word: str) -> str:
     """The default tag as DuckDB SQL."""
+    ends = lambda suffixes: " OR ".join(f"ends_with({word}, '{x}')" for x in suffixes)
     return f"""CASE WHEN {word} IN ({sql_list(DETERMINERS)}) THEN 'DET' WHEN {word} IN ({sql_list(ADPOSITIONS)}) THEN 'ADP'
       WHEN {word} IN ({sql_list(CONJUNCTIONS)}) THEN 'CONJ' WHEN {word} IN ({sql_list(ADVERBS)}) THEN 'ADV'
-      WHEN regexp_matches({word}, '{NOUN_SUFFIX}') OR regexp_matches({word}, '^\\p{{Lu}}') THEN 'NOUN'
-      WHEN regexp_matches({word}, '{ADJECTIVE_SUFFIX}') THEN 'ADJ' WHEN regexp_matches({word}, '{VERB_SUFFIX}') THEN 'VERB' ELSE 'X' END"""
+      WHEN {ends(NOUN_SUFFIXES)} OR regexp_matches({word}, '^\\p{{Lu}}') THEN 'NOUN'
+      WHEN {ends(ADJECTIVE_SUFFIXES)} THEN 'ADJ' WHEN {ends(VERB_SUFFIXES)} THEN 'VERB' ELSE 'X' END"""
 
 
 def lemma_sql(word: str) -> str:

@@ -103,3 +103,23 @@ def split_contractions(text: Column, pairs: list[tuple[str, str]] = PORTUGUESE)
     for whole, parts in pairs:
         text = F.regexp_replace(text, rf"(^|[^{WORD}]){whole}([^{WORD}]|$)", rf"$1{parts}$2")
     return text
+
+
+class ROMANIAN:
+    """Patterns of Romanian clitics written with a hyphen."""
+
+    # Clitics before and behind a word.
+    BEFORE = "[\\p{L}]*ntr şi s n de i ţi pe te mi l m c le v dac ne ş parc d fii dă".split()
+    BEHIND = "i l t m şi ţi o se mi n ului te un ul ai mă am le s a sa urilor ilor astea vă aşa ăla al ar aici eşte au mea ăştia napoi aş alea aţi ăsta".split()
+    NASAL = ["n[ţtcvfgdşs][\\p{L}]*", "m[bp][\\p{L}]*"]
+
+    head = f"^((?:{'|'.join(BEFORE)})-)(.+)$"
+    tail = f"^(.+?)((?:-(?:{'|'.join([*NASAL, *BEHIND])}))*)$"
+
+
+def split_romanian(word: Column) -> Column:
+    """Parts of a word: a clitic with its hyphen, the word, and clitics behind it with theirs."""
+    has = word.rlike(ROMANIAN.head)
+    rest = F.when(has, F.regexp_extract(word, ROMANIAN.head, 2)).otherwise(word)
+    behind = F.regexp_extract_all(F.regexp_extract(rest, ROMANIAN.tail, 2), F.lit("-[^-]+"), F.lit(0))
+    return F.filter(F.concat(F.array(F.regexp_extract(word, ROMANIAN.head, 1), F.regexp_extract(rest, ROMANIAN.tail, 1)), behind), lambda x: x != "")

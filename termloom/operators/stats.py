@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import numeric as N
 from termloom.operators import tokens as K
+from termloom.sources.scratch import written
 
 
 def frequencies(candidates: DataFrame, total: DataFrame | None = None) -> DataFrame:
@@ -56,6 +57,10 @@ def measures(freq: DataFrame, total: DataFrame) -> DataFrame:
     )
 
 
+#: Words as the weights see them.
+WEIGHT_WORD = r"[\p{L}\p{N}_]{2,}"
+
+
 def mean_tfidf(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, tfidf_mean): mean over the documents that hold the term, rounded to 3 places.
 
@@ -63,15 +68,40 @@ def mean_tfidf(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
     vocabulary terms of a document.  Terms that the tokenizer of the weights
     never yields are null.
     """
-    word = sentences.select("req_no", F.explode(F.regexp_extract_all("sentence", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
+    word = sentences.select("req_no", F.explode(F.regexp_extract_all("sentence", F.lit(WEIGHT_WORD), F.lit(0))).alias("term"))
     # Counting first keeps a frequent term at one row for each document.
-    tf = word.groupBy("req_no", "term").agg(F.count("*").alias("tf")).join(vocabulary.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = sentences.agg(F.count("*").alias("n"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("req_no")))
-    mean = weighted.withColumn("u", F.col("w") / norm).groupBy("term").agg(F.round(F.avg("u"), 3).alias("tfidf_mean"))
-    return vocabulary.select("term").distinct().join(mean, "term", "left")
+    tf = word.groupBy("req_no", "term").agg(F.count("*").alias("tf"))
+    return _mean_weights(tf, vocabulary.select("term").distinct(), sentences.agg(F.count("*").alias("n_reqs")), [])
+
+
+def mean_tfidf_of(counts: DataFrame, n_reqs: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """As ``mean_tfidf`` of the sentences that the counted terms (keys, req_no, term, tf) make up, without building these.
+
+    A term of several words is one word of the weights, where its row says ``whole``.
+    """
+    parts = F.regexp_extract_all("term", F.lit(WEIGHT_WORD), F.lit(0))
+    if "whole" in counts.columns:
+        bare = F.col("term").rlike(rf"^{WEIGHT_WORD}( {WEIGHT_WORD})*$")
+        parts = F.when(~F.col("whole"), parts).when(bare, F.array("term")).otherwise(F.array().cast("array<string>"))
+    word = counts.select(*keys, "req_no", F.explode(parts).alias("term"), "tf")
+    tf = word.groupBy(*keys, "req_no", "term").agg(F.sum("tf").alias("tf"))
+    return _mean_weights(tf, counts.select(*keys, "term").distinct(), n_reqs, keys)
+
+
+def _mean_weights(tf: DataFrame, vocabulary: DataFrame, n_reqs: DataFrame, keys: list[str]) -> DataFrame:
+    on = [*keys, "term"]
+    tf = tf.join(vocabulary, on, "left_semi")
+    df = tf.groupBy(*on).agg(F.count("*").alias("df"))
+    weighted = tf.join(df, on).crossJoin(F.broadcast(n_reqs)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n_reqs")) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "req_no")))
+    mean = weighted.withColumn("u", F.col("w") / norm).groupBy(*on).agg(F.round(F.avg("u"), 3).alias("tfidf_mean"))
+    return vocabulary.join(mean, on, "left")
+
+
+def word_length_range(vocabulary: DataFrame) -> DataFrame:
+    """One row (shortest, longest): words of the shortest and of the longest term, for the n-grams of the weights."""
+    n = F.size(F.split("term", " "))
+    return vocabulary.agg(F.min(n).alias("shortest"), F.max(n).alias("longest"))
 
 
 def with_definitions(freq: DataFrame, abbreviations: DataFrame, terms: DataFrame) -> DataFrame:
@@ -81,13 +111,19 @@ def with_definitions(freq: DataFrame, abbreviations: DataFrame, terms: DataFrame
 
 
 def term_statistics(reqs: DataFrame, domain: DataFrame, general: DataFrame, abbreviations: DataFrame, definitions: DataFrame, stops: list[str]) -> DataFrame:
-    """The statistics table of all token candidates that are no stop-words."""
+    """The statistics table of all token candidates that are no stop-words.
+
+    Texts are cut into tokens once; every column comes from the counts of terms
+    in requirements.
+    """
     found = K.longer_than(K.without(K.candidates(reqs), stops))
+    counts = written(found.groupBy("req_no", "term").agg(F.count("*").alias("tf")), "counts")
     total = K.total_words(reqs)
-    freq = frequencies(found, total)
-    out = measures(with_references(freq, reference_rates(domain), reference_rates(general)), total)
+    freq = counts.groupBy("term").agg(F.sum("tf").alias("abs_freq"), F.count("*").alias("doc_freq"))
+    rated = freq.crossJoin(F.broadcast(total)).select("term", "abs_freq", (F.col("abs_freq") / F.col("total_words")).alias("rel_freq"), "doc_freq")
+    out = measures(with_references(rated, reference_rates(domain), reference_rates(general)), total)
     out = with_definitions(out, abbreviations, definitions)
-    out = out.join(mean_tfidf(K.rebuilt(found, reqs), freq), "term").join(document_frequency(found), "term")
+    out = out.join(mean_tfidf_of(counts, reqs.agg(F.count("*").alias("n_reqs"))), "term")
     return out.join(alphabetical(freq.select("term")), "term")
 
 

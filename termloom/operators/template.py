@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from termloom.functions import lexicon
 from termloom.functions.text import WORD
 
+# Wordings, edges to trim, in order, and the patterns of the final verb and of the basic template.
 ABLE, OFFER = "fähig sein", "die Möglichkeit bieten"
+EDGES = (" ", ", ", " zu", ", zu", ",")
+VERB = rf"([{WORD}]+(\sund\s)?[{WORD}]+)(\s\(.+\))?(\.)?$"
+REQUIREMENT = r"^(.+(muss|müssen|soll)) (.+(sein|bieten), )?(.+)( zu)? (.+n)\.$"
 
 
 def is_conditional(s: Column) -> Column:
@@ -45,34 +49,61 @@ def modal(s: Column) -> Column:
 
 
 def verb(s: Column) -> Column:
-    """The last word, or two joined by ``und``, with a list in parentheses."""
-    pattern = rf"([{WORD}]+(\sund\s)?[{WORD}]+)(\s\(.+\))?(\.)?$"
-    return F.concat(F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 3))
+    """The last word, or two joined by ``und``, with a list in parentheses.
+
+    Without such a list the match lies in the last three parts between blanks,
+    so only these are searched: from every place of a long sentence the pattern
+    would run to its end.
+    """
+    last = F.regexp_extract(F.substring_index(s, " ", -3), VERB, 1)
+    return F.when(s.rlike(r"\)\.?$"), F.concat(F.regexp_extract(s, VERB, 1), F.regexp_extract(s, VERB, 3))).otherwise(last)
 
 
 def trimmed(s: Column) -> Column:
     """Without each of the fixed edges, in order, once at either end."""
-    for edge in (" ", ", ", " zu", ", zu", ","):
+    for edge in EDGES:
         s = F.regexp_replace(F.regexp_replace(s, f"^{edge}", ""), f"{edge}$", "")
     return s
 
 
+def _first_chunk(name: str, low: Column, high: Column) -> list[dict[str, Column]]:
+    """Steps that put the first run of determiners, adjectives and nouns between two places into column ``name``.
+
+    A determiner begins the next chunk.
+    """
+    at, first, after = (F.col(f"{name}_{x}") for x in ("at", "first", "next"))
+    nominal = lambda i: F.get("__tag", i - 1).isin("DET", "ADJ", "NOUN")
+    places = F.when((F.col("__m") > 0) & (high >= low), F.filter(F.sequence(low, F.greatest(high, low)), nominal)).otherwise(F.array().cast("array<int>"))
+    run = F.filter(at, lambda i, k: (i - k == first) & (after.isNull() | (i < after)))
+    text = F.when(F.size(run) > 0, F.rtrim(F.array_join(F.slice("__w", first, F.greatest(F.size(run), F.lit(1))), " "), F.lit(".,"))).otherwise(F.lit(""))
+    return [
+        {f"{name}_at": places},
+        {f"{name}_first": F.get(at, F.lit(0))},
+        {f"{name}_next": F.get(F.filter(at, lambda i: (i > first) & (F.get("__tag", i - 1) == "DET")), F.lit(0))},
+        {name: F.coalesce(text, F.lit(""))},
+    ]
+
+
 def slots(sentences: DataFrame, col: str = "sentence") -> DataFrame:
-    """All columns with condition, modal_verb, system_name, actor, object_complement, verb and is_conformant."""
+    """All columns with the slots of the sentence, all '' without a modal verb.
+
+    condition, modal_verb, system_name, actor, object_complement, verb,
+    leading_details (the sentence begins with an adposition, adverb or verb, and
+    no condition), details_verb (what stands before the anchor then, or an
+    adposition right behind the modal verb with its chunk) and is_conformant.
+    Leading details are appended to object and complement.
+    """
     s = F.col(col)
     one = sentences.withColumns({"__w": words(s), "__modal": modal(s), "__cond": is_conditional(s), "__verb": verb(s), "__path": path(s)})
     one = one.withColumn("__tag", F.transform("__w", lambda w: lexicon.pos_tag(F.rtrim(w, F.lit(".,)")))))
     one = one.withColumn("__m", F.array_position("__w", F.col("__modal")).cast("int"))
-    one = one.withColumn("__inv", F.col("__cond") | F.coalesce(F.get("__tag", F.lit(0)).isin("ADP", "ADV", "VERB"), F.lit(False)))
-    nominal = lambda i: F.get("__tag", i - 1).isin("DET", "ADJ", "NOUN")
+    lead = ~F.col("__cond") & F.coalesce(F.get("__tag", F.lit(0)).isin("ADP", "ADV", "VERB"), F.lit(False))
+    one = one.withColumn("__lead", lead).withColumn("__inv", F.col("__cond") | F.col("__lead"))
     low, high = F.when(F.col("__inv"), F.col("__m") + 1).otherwise(F.lit(1)), F.when(F.col("__inv"), F.size("__w")).otherwise(F.col("__m") - 1)
-    places = F.when((F.col("__m") > 0) & (high >= low), F.filter(F.sequence(low, F.greatest(high, low)), nominal)).otherwise(F.array().cast("array<int>"))
-    one = one.withColumn("__places", places).withColumn("__first", F.get("__places", F.lit(0)))
-    # A determiner begins the next chunk.
-    one = one.withColumn("__next", F.get(F.filter("__places", lambda i: (i > F.col("__first")) & (F.get("__tag", i - 1) == "DET")), F.lit(0)))
-    run = F.filter(F.col("__places"), lambda i, k: (i - k == F.col("__first")) & (F.col("__next").isNull() | (i < F.col("__next"))))
-    system = F.when(F.size(run) > 0, F.rtrim(F.array_join(F.slice("__w", F.col("__first"), F.greatest(F.size(run), F.lit(1))), " "), F.lit(".,"))).otherwise(F.lit(""))
-    one = one.withColumn("__sys", F.coalesce(system, F.lit("")))
+    adposition = F.coalesce((F.col("__m") > 0) & (F.get("__tag", F.col("__m")) == "ADP"), F.lit(False))
+    steps = [*_first_chunk("__sys", low, high), *_first_chunk("__near", F.when(adposition, F.col("__m") + 2).otherwise(F.lit(1)), F.when(adposition, F.size("__w")).otherwise(F.lit(0)))]
+    for step in steps:
+        one = one.withColumns(step)
     a, b = F.when(F.col("__inv"), F.col("__modal")).otherwise(F.col("__sys")), F.when(F.col("__inv"), F.col("__sys")).otherwise(F.col("__modal"))
     begin = F.instr(s, a)
     after = F.substr(s, begin, F.lit(1 << 30))
@@ -85,15 +116,28 @@ def slots(sentences: DataFrame, col: str = "sentence") -> DataFrame:
     tail = F.substr(s, start, F.lit(1 << 30))
     till = F.when(F.col("__verb") != "", F.instr(tail, F.col("__verb"))).otherwise(F.lit(0))
     body = F.when((F.col("__anchor") != "") & (till > 1), F.left(tail, till - 1)).otherwise(F.lit(""))
+    one = one.withColumn("__body", body)
+    leading = F.when(F.col("__lead") & (F.col("__body") != ""), F.left(s, at - 1)).otherwise(F.lit(""))
+    one = one.withColumn("__leading", leading)
+    near = F.when(F.col("__near") != "", F.concat_ws(" ", F.get("__w", F.col("__m")), "__near")).otherwise(F.lit(""))
+    details = F.when(F.col("__leading") != "", F.col("__leading")).otherwise(near)
     found = (F.col("__modal") != "") & (F.col("__sys") != "")
     blank = lambda c: F.when(F.col("__modal") != "", c).otherwise(F.lit(""))
     return one.select(
-        *sentences.columns, blank(condition).alias("condition"), F.col("__modal").alias("modal_verb"), blank(F.col("__sys")).alias("system_name"), blank(actor(s)).alias("actor"), blank(trimmed(body)).alias("object_complement"), blank(F.col("__verb")).alias("verb"), found.alias("is_conformant")
+        *sentences.columns,
+        blank(condition).alias("condition"),
+        F.col("__modal").alias("modal_verb"),
+        blank(F.col("__sys")).alias("system_name"),
+        blank(actor(s)).alias("actor"),
+        blank(F.concat(trimmed(F.col("__body")), "__leading")).alias("object_complement"),
+        blank(F.col("__verb")).alias("verb"),
+        F.col("__lead").alias("leading_details"),
+        blank(details).alias("details_verb"),
+        found.alias("is_conformant"),
     )
 
 
 def requirement_parts(s: Column) -> Column:
     """(object, verb) of a sentence of the basic template; nulls if it does not match."""
-    pattern = r"^(.+(muss|müssen|soll)) (.+(sein|bieten), )?(.+)( zu)? (.+n)\.$"
-    part = lambda k: F.when(s.rlike(pattern), F.regexp_replace(F.regexp_extract(s, pattern, k), " zu$", ""))
+    part = lambda k: F.when(s.rlike(REQUIREMENT), F.regexp_replace(F.regexp_extract(s, REQUIREMENT, k), " zu$", ""))
     return F.struct(part(5).alias("object"), part(7).alias("verb"))

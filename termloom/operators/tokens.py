@@ -133,6 +133,13 @@ def corpus_language(reqs: DataFrame) -> DataFrame:
     return reqs.agg(F.min_by(language(F.col("text")), F.col("req_no")).alias("corpus_lang"))
 
 
+def plural_in_lexicon(terms: DataFrame, lexicon_: DataFrame) -> DataFrame:
+    """(term, base): terms of 3 to 13 characters without their last ``s`` where the lexicon (word) holds the rest."""
+    cut = F.when((F.length("term") < 14) & (F.length("term") > 2) & F.col("term").endswith("s"), F.left("term", F.length("term") - 1))
+    known = lexicon_.select(F.col("word").alias("__base")).distinct()
+    return terms.withColumn("__base", cut).join(known.withColumn("__known", F.lit(True)), "__base", "left").select("term", F.when(F.col("__known"), F.col("__base")).otherwise(F.col("term")).alias("base"))
+
+
 def best_split(words: DataFrame, lexicon_: DataFrame, least: int = 14, part: int = 4) -> DataFrame:
     """(word, head, tail): long words cut where both parts are known.
 

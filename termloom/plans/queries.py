@@ -24,6 +24,7 @@ from termloom.operators import stats as S
 from termloom.operators import tagger as G
 from termloom.operators import template as P
 from termloom.operators import tokens as K
+from termloom.plans import statistics as Z
 from termloom.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None):
     """Register a function of (tables) as a query; ``tables`` reads a table by name."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: readers.table(spark, f"{sf_dir}/{t}.parquet"))
         if sql:
             ORACLES[name] = sql
         return f
@@ -180,22 +181,22 @@ def _(t):
 
 # Language ----------------------------------------------------------------------
 
-_LANG = rf"""SELECT doc_id, CASE WHEN en > de THEN 'EN' WHEN de > en THEN 'DE' END AS detected FROM (
+LANG = rf"""SELECT doc_id, CASE WHEN en > de THEN 'EN' WHEN de > en THEN 'DE' END AS detected FROM (
   SELECT doc_id, len(list_filter(ws, lambda x: list_contains([{L.sql_list(L.ENGLISH_MARKERS)}], x))) AS en, len(list_filter(ws, lambda x: list_contains([{L.sql_list(L.GERMAN_MARKERS)}], x))) AS de
   FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS ws FROM documents))"""
 
 
-@query("language_detect", _LANG)
+@query("language_detect", LANG)
 def _(t):
     return t("documents").select("doc_id", K.language(F.col("text")).alias("detected"))
 
 
-@query("language_gate", f"SELECT detected, count(*) AS n FROM ({_LANG}) WHERE detected IS NOT NULL GROUP BY detected")
+@query("language_gate", f"SELECT detected, count(*) AS n FROM ({LANG}) WHERE detected IS NOT NULL GROUP BY detected")
 def _(t):
     return t("documents").select(K.language(F.col("text")).alias("detected")).where("detected is not null").groupBy("detected").agg(F.count("*").alias("n"))
 
 
-@query("language_corpus", f"SELECT detected AS corpus_lang FROM ({_LANG}) ORDER BY doc_id LIMIT 1")
+@query("language_corpus", f"SELECT detected AS corpus_lang FROM ({LANG}) ORDER BY doc_id LIMIT 1")
 def _(t):
     return K.corpus_language(reqs(t))
 
@@ -337,8 +338,8 @@ _REBUILT = "rebuilt AS (SELECT req_no, string_agg(term, ' ' ORDER BY pos) AS s F
 
 @query("tfidf_mean", f"WITH {FREQ}, {_REBUILT}, {_TFIDF} SELECT freq.term, tfidf_mean FROM freq LEFT JOIN tfidf USING (term)")
 def _(t):
-    found = K.candidates(reqs(t))
-    return S.mean_tfidf(K.rebuilt(found, reqs(t)), found.select("term"))
+    counts = K.candidates(reqs(t)).groupBy("req_no", "term").agg(F.count("*").alias("tf"))
+    return S.mean_tfidf_of(counts, reqs(t).agg(F.count("*").alias("n_reqs")))
 
 
 _DEFS = f"""da AS (SELECT term, 'item ' || CAST(min(req_no) AS VARCHAR) AS d FROM ({tok('benchmark', 'item_id')}) GROUP BY term), dt AS (SELECT term, min(req_no) AS d FROM ({tok('conversations', 'role')}) GROUP BY term)"""
@@ -362,6 +363,83 @@ def _(t):
     return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+_ARTICLES = L.sql_list([*L.ENGLISH_ARTICLES, *L.GERMAN_ARTICLES])
+_CHUNKS = """runs AS (SELECT req_no, string_agg(term, ' ' ORDER BY pos) AS chunk, max(CASE WHEN tag = 'NOUN' THEN 1 ELSE 0 END) AS nouns
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY req_no ORDER BY pos) AS island FROM stag WHERE tag IN ('DET', 'ADJ', 'NOUN')) GROUP BY req_no, island)"""
+_BARE = f"CASE WHEN split_part(chunk, ' ', 1) IN ({_ARTICLES}) THEN replace(chunk, split_part(chunk, ' ', 1) || ' ', '') ELSE chunk END"
+_CHUNK_TERMS = f"""chunks AS (SELECT req_no, term FROM (SELECT CAST(split_part(req_no, ':', 1) AS BIGINT) AS req_no, array_to_string(regexp_extract_all(translate({_BARE}, '()', ''), '[{W}-]+'), ' ') AS term
+  FROM runs WHERE nouns = 1 AND chunk NOT IN ({STOPS}, {_ARTICLES})) WHERE term <> '')"""
+
+
+def _chunks(t) -> DataFrame:
+    return Z.chunk_terms(tagged(t), F.split_part("req_no", F.lit(":"), F.lit(1)).cast("long"), L.STOP_WORDS)
+
+
+@query("chunk_terms", f"WITH sent AS ({SENT}), stag AS (SELECT *, {L.pos_sql('term')} AS tag FROM ({tok('sent', 'req_no')})), {_CHUNKS}, {_CHUNK_TERMS} SELECT req_no, term, count(*) AS n FROM chunks GROUP BY req_no, term")
+def _(t):
+    return _chunks(t).groupBy("req_no", "term").agg(F.count("*").alias("n"))
+
+
+_FOUND = f"""raw AS MATERIALIZED ({TOK}), tagd AS (SELECT *, {L.pos_sql('term')} AS tag, {L.lemma_sql('term')} AS lemma FROM raw),
+dict AS (SELECT DISTINCT term FROM ({tok('conversations', 'conv_id')})), known AS (SELECT DISTINCT lower(term) AS k FROM ({tok('benchmark', 'item_id')})),
+abbr AS (SELECT * FROM tagd WHERE term NOT IN (SELECT term FROM dict) AND lower(term) NOT IN (SELECT k FROM known)), other AS (SELECT * FROM tagd WHERE term NOT IN (SELECT term FROM abbr)),
+verb AS (SELECT DISTINCT req_no, lemma AS term FROM other WHERE tag = 'VERB'),
+words AS (SELECT 'token' AS branch, req_no, lemma AS term FROM other UNION ALL SELECT 'abbreviation', req_no, term FROM abbr UNION ALL SELECT 'VERB', * FROM verb UNION ALL SELECT 'process VERB', * FROM verb
+  UNION ALL SELECT 'ADJ', req_no, term FROM other WHERE tag = 'ADJ' AND term NOT IN ('gem', 'muss')),
+sent AS ({SENT}), stag AS (SELECT *, {L.pos_sql('term')} AS tag FROM ({tok('sent', 'req_no')})), {_CHUNKS}, {_CHUNK_TERMS},
+found AS MATERIALIZED (SELECT * FROM words WHERE term NOT IN ({STOPS}) AND length(term) > 1 UNION ALL SELECT 'chunk', req_no, term FROM chunks)"""
+
+
+def _found(t) -> DataFrame:
+    dictionary = K.candidates(domain(t)).select("term").distinct()
+    known = K.candidates(general(t)).select(F.lower("term").alias("k")).distinct()
+    rows = K.annotate(K.candidates(reqs(t)))
+    return Z.token_branches(rows, dictionary, known, L.STOP_WORDS).unionByName(_chunks(t))
+
+
+@query("candidate_branches", f"WITH {_FOUND} SELECT branch, term, count(*) AS n, count(DISTINCT req_no) AS n_reqs FROM found GROUP BY branch, term")
+def _(t):
+    return _found(t).groupBy("branch", "req_no", "term").agg(F.count("*").alias("n")).groupBy("branch", "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_reqs"))
+
+
+@query("create_statistics", f"""WITH {_FOUND}, total AS ({TOTAL}), counts AS MATERIALIZED (SELECT branch, req_no, term, count(*) AS tf FROM found GROUP BY ALL),
+freq AS (SELECT branch, term, CAST(sum(tf) AS BIGINT) AS abs_freq, sum(tf) / (SELECT CAST(total_words AS DOUBLE) FROM total) AS rel_freq, string_agg(CAST(req_no AS VARCHAR), ',' ORDER BY req_no) AS req_ids FROM counts GROUP BY branch, term),
+{REFS}, {_LL}, {_DEFS},
+part AS (SELECT branch, req_no, tf, unnest(CASE WHEN branch <> 'chunk' THEN regexp_extract_all(term, '[{W}]{{2,}}') WHEN regexp_full_match(term, '[{W}]{{2,}}( [{W}]{{2,}})*') THEN [term] ELSE [] END) AS term FROM counts),
+tf AS (SELECT branch, req_no, term, sum(tf) AS tf FROM part SEMI JOIN freq USING (branch, term) GROUP BY ALL), df AS (SELECT branch, term, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT branch, req_no, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (branch, term)),
+u AS (SELECT branch, term, w / sqrt(sum(w * w) OVER (PARTITION BY branch, req_no)) AS u FROM w), tfidf AS (SELECT branch, term, round(avg(u), 3) AS tfidf_mean FROM u GROUP BY ALL),
+every AS MATERIALIZED (SELECT ll.*, CASE WHEN branch IN ('token', 'chunk') THEN {L.pos_sql("split_part(term, ' ', 1)")} ELSE branch END AS word_class FROM ll),
+piece AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS w FROM every WHERE branch = 'chunk'),
+inner_ AS (SELECT DISTINCT substr(w, i, n) AS term FROM (SELECT w, i, unnest(range(1, length(w) - i + 2)) AS n FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM piece))),
+merged AS MATERIALIZED (SELECT * FROM every WHERE branch = 'chunk' OR term NOT IN (SELECT term FROM inner_)),
+placed AS (SELECT term, max(upto) - 1 AS alphabetical_order FROM (SELECT term, count(*) OVER (ORDER BY term RANGE UNBOUNDED PRECEDING) AS upto FROM merged) GROUP BY term),
+one AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY term ORDER BY abs_freq, branch DESC) = 1)
+SELECT term, word_class, alphabetical_order, abs_freq, round(rel_freq, 12) AS rel_freq, round(rel_freq_general, 12) AS rel_freq_general, round(rel_freq_domain, 12) AS rel_freq_domain, round({_LLD}, 6) AS ll_domain, round({_LLG}, 6) AS ll_general,
+  tfidf_mean, {_RATIO} AS ratio_domain, coalesce(da.d, '') AS abbrev_definition, coalesce(dt.d, '') AS term_definition, req_ids, 'N/A' AS cluster_label
+FROM one LEFT JOIN da USING (term) LEFT JOIN dt USING (term) JOIN placed USING (term) LEFT JOIN tfidf USING (branch, term)""")
+def _(t):
+    out = Z.create_statistics(_found(t), reqs(t), domain(t), general(t), *definitions(t))
+    digits = {"rel_freq": 12, "rel_freq_domain": 12, "rel_freq_general": 12, "ll_domain": 6, "ll_general": 6}
+    out = out.withColumns({c: F.round(c, d) for c, d in digits.items()}).withColumn("req_ids", F.array_join(F.col("req_ids").cast("array<string>"), ","))
+    return out.select(
+        "term", "word_class", "alphabetical_order", "abs_freq", "rel_freq", "rel_freq_general", "rel_freq_domain", "ll_domain", "ll_general", "tfidf_mean", "ratio_domain", "abbrev_definition", "term_definition", "req_ids", "cluster_label"
+    )
+
+
+@query("split_term_rows", f"""WITH ids AS (SELECT DISTINCT req_no, term FROM ({TOK})), part AS (SELECT DISTINCT req_no, term, unnest(regexp_split_to_array(term, '[ -]')) AS part FROM ids),
+a AS (SELECT part, string_agg(term, '|' ORDER BY term) AS terms FROM (SELECT DISTINCT part, term FROM part) GROUP BY part), b AS (SELECT part, string_agg(CAST(req_no AS VARCHAR), ',' ORDER BY req_no) AS req_ids FROM (SELECT DISTINCT part, req_no FROM part) GROUP BY part)
+SELECT part, terms, req_ids FROM a JOIN b USING (part) WHERE part <> ''""")
+def _(t):
+    out = Z.split_rows(S.occurrence_ids(K.candidates(reqs(t))))
+    return out.select("part", F.array_join("terms", "|").alias("terms"), F.array_join(F.col("req_ids").cast("array<string>"), ",").alias("req_ids"))
+
+
+@query("ngram_range", f"WITH {_FOUND} SELECT CAST(min(n) AS INTEGER) AS shortest, CAST(max(n) AS INTEGER) AS longest FROM (SELECT len(string_split(term, ' ')) AS n FROM found)")
+def _(t):
+    return S.word_length_range(_found(t).select("term"))
+
+
 # Merging -----------------------------------------------------------------------
 
 _BRANCH = f"""{STOK}, branch AS (
@@ -464,7 +542,7 @@ def _(t):
     return _cooc(t)
 
 
-_PARTS = "SELECT DISTINCT item_term AS term FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}]+ [\\p{L}]+')) AS item_term FROM benchmark)"
+PARTS = "SELECT DISTINCT item_term AS term FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}]+ [\\p{L}]+')) AS item_term FROM benchmark)"
 
 
 def _two_words(t) -> DataFrame:
@@ -478,7 +556,7 @@ def _item_cooc(t) -> DataFrame:
     return O.cooccurrence(K.candidates(general(t)).select(F.col("req_no").alias("unit"), F.col("term").alias("word")))
 
 
-@query("term_mean_vector", f"""WITH {_BCOOC}, terms AS ({_PARTS}), word AS (SELECT term, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM (SELECT term, regexp_split_to_array(term, '[ -]') AS ws FROM terms)),
+@query("term_mean_vector", f"""WITH {_BCOOC}, terms AS ({PARTS}), word AS (SELECT term, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM (SELECT term, regexp_split_to_array(term, '[ -]') AS ws FROM terms)),
 k AS (SELECT word.*, word IN (SELECT term FROM u) AS known FROM word), stop AS (SELECT term, min(CASE WHEN NOT known THEN pos END) AS s FROM k GROUP BY term),
 used AS (SELECT k.* FROM k JOIN stop USING (term) WHERE s IS NULL OR pos < s), c AS (SELECT term, count(*) AS c FROM used GROUP BY term)
 SELECT term, dim, round(s / CAST(c AS DOUBLE), 6) AS weight FROM (SELECT used.term, w2 AS dim, sum(n_docs) AS s FROM used JOIN cooc ON w1 = word GROUP BY 1, 2) JOIN c USING (term)""")
@@ -535,12 +613,12 @@ rest AS (SELECT term FROM terms WHERE term NOT IN (SELECT term FROM named)),
 clusters AS (SELECT * FROM named UNION ALL SELECT 'rest', term FROM rest WHERE (SELECT count(*) FROM rest) > 1)"""
 
 
-@query("keyword_clusters", f"WITH terms AS ({_PARTS}), {_KEY} SELECT cluster, term FROM clusters WHERE len(string_split(term, ' ')) <= 5")
+@query("keyword_clusters", f"WITH terms AS ({PARTS}), {_KEY} SELECT cluster, term FROM clusters WHERE len(string_split(term, ' ')) <= 5")
 def _(t):
     return C.keyword_clusters(_two_words(t), L.STOP_WORDS)
 
 
-@query("cluster_postprocess", f"""WITH terms AS ({_PARTS}), {_KEY}, sets AS (SELECT cluster, list(DISTINCT term ORDER BY term) AS ts FROM clusters GROUP BY cluster), one AS (SELECT ts, min(cluster) AS cluster FROM sets GROUP BY ts)
+@query("cluster_postprocess", f"""WITH terms AS ({PARTS}), {_KEY}, sets AS (SELECT cluster, list(DISTINCT term ORDER BY term) AS ts FROM clusters GROUP BY cluster), one AS (SELECT ts, min(cluster) AS cluster FROM sets GROUP BY ts)
 SELECT DISTINCT CASE WHEN len(ts) > 1 THEN cluster ELSE 'cluster0' END AS cluster, unnest(ts) AS term FROM one""")
 def _(t):
     return C.postprocessed(C.keyword_clusters(_two_words(t), L.STOP_WORDS))
@@ -617,7 +695,7 @@ def _(t):
     return S.frequencies(K.candidates(reqs(t)).join(K.candidates(general(t)).select("term").distinct(), "term", "left_semi"))
 
 
-@query("prf_scores", f"""WITH cand AS (SELECT doc_id, detected AS lang FROM ({_LANG}) WHERE detected IS NOT NULL), gold AS (SELECT doc_id, upper(lang) AS lang, source FROM documents),
+@query("prf_scores", f"""WITH cand AS (SELECT doc_id, detected AS lang FROM ({LANG}) WHERE detected IS NOT NULL), gold AS (SELECT doc_id, upper(lang) AS lang, source FROM documents),
 j AS (SELECT coalesce(c.source, g.source) AS source, c.lang AS c, g.lang AS g FROM (SELECT cand.doc_id, cand.lang, d.source FROM cand JOIN documents d USING (doc_id)) c FULL JOIN gold g ON c.doc_id = g.doc_id AND c.lang = g.lang AND c.source = g.source),
 k AS (SELECT source, count(*) FILTER (WHERE c IS NOT NULL AND g IS NOT NULL) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE c IS NULL) AS fn FROM j GROUP BY source),
 s AS (SELECT *, tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS p, tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS r FROM k)
@@ -672,18 +750,18 @@ def _(t):
     return chunk.select("chunk", L.lemma_phrase(c).alias("every"), L.lemma_phrase(c, "determiners").alias("content"), L.lemma_phrase(c, "last").alias("head"))
 
 
-@query("pos_groups", f"WITH {STOK} SELECT tag, string_agg(term, ',' ORDER BY term) AS words FROM (SELECT DISTINCT tag, term FROM tagged WHERE tag IN ('DET', 'ADP', 'ADV', 'CONJ')) GROUP BY tag")
+@query("pos_groups", f"WITH {STOK} SELECT tag, string_agg(term, ',' ORDER BY term) AS words FROM (SELECT DISTINCT tag, term FROM tagged) GROUP BY tag")
 def _(t):
-    rows = tagged(t).where("tag in ('DET', 'ADP', 'ADV', 'CONJ')").select("tag", "term").distinct()
+    rows = tagged(t).select("tag", "term").distinct()
     return rows.groupBy("tag").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("words"))
 
 
 # Template ----------------------------------------------------------------------
 
-_COND = " OR ".join(f"starts_with(text, '{w}')" for w in L.CONDITIONALS)
+COND = " OR ".join(f"starts_with(text, '{w}')" for w in L.CONDITIONALS)
 
 
-@query("template_condition", f"WITH sent AS ({SENT}) SELECT req_no, ({_COND}) AS conditional, CASE WHEN {_COND} THEN split_part(text, ' ', 1) ELSE '' END AS word FROM sent")
+@query("template_condition", f"WITH sent AS ({SENT}) SELECT req_no, ({COND}) AS conditional, CASE WHEN {COND} THEN split_part(text, ' ', 1) ELSE '' END AS word FROM sent")
 def _(t):
     s = F.col("text")
     return sentence_units(t).select("req_no", P.is_conditional(s).alias("conditional"), P.condition_word(s).alias("word"))
@@ -760,3 +838,7 @@ def _(t):
 @query("lines_to_json", "SELECT CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR) AS id, text FROM benchmark")
 def _(t):
     return writers.lines_to_json(t("benchmark"), "item_id", "text")
+
+
+# These modules register further queries of their own.
+from termloom.plans import file_queries, tagger_queries  # noqa: E402, F401

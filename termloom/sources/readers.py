@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 REQUIREMENTS = "id string, text string"
 
 
+#: Tables from the first size on, and up to the second for each core, are dealt over the cores.
+SPREAD_FROM, SPREAD_EACH = 1 << 20, 32 << 20
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, its rows dealt over the cores if the files have too few parts for that."""
+    return spread(spark.read.parquet(path))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table over the cores; a large one is left as its files are.
+
+    A file is read by its row groups, so a single one of a few MB would keep one
+    core busy with all the pattern work.  The size is that of the files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD_FROM <= size < cores * SPREAD_EACH else df
+
+
 def requirements_json(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of a JSON array of objects."""
     return spark.read.schema(REQUIREMENTS).json(path, multiLine=True)
