@@ -566,9 +566,7 @@ def _(t):
 
 @query("cosine_pairs", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS dist FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def _(t):
-    v = t("embeddings")
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(N.cosine_distance(F.col("x"), F.col("y")), 6).alias("dist"))
+    return O.cosine_pairs(t("embeddings"), "label", "vec_id", "embedding").withColumn("dist", F.round("dist", 6))
 
 
 _PAIRS = "p AS (SELECT DISTINCT p_name AS n, p_brand AS g FROM part), q AS (SELECT DISTINCT a.n AS a, b.n AS b FROM p a JOIN p b ON a.g = b.g AND a.n < b.n)"
@@ -648,7 +646,7 @@ def _(t):
 
 @query("fuzzy_cmeans")
 def _(t):
-    return C.fuzzy_c_means(t("embeddings"), "vec_id", "embedding", 8, most=50).withColumn("membership", F.round("membership", 4))
+    return C.fuzzy_c_means(t("embeddings"), "vec_id", "embedding", 8).withColumn("membership", F.round("membership", 4))
 
 
 # Evaluation --------------------------------------------------------------------

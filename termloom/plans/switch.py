@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import clusters as C
 from termloom.operators import cooccur as O
+from termloom.sources.scratch import written
 
 
 def supplied_vectors(terms: DataFrame, units: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -39,6 +40,6 @@ ALGORITHMS: dict[str, Callable[..., DataFrame]] = {"hierarchical": _hierarchical
 
 
 def cluster(terms: DataFrame, units: DataFrame, algorithm: str, embedding: str, embedding_options: dict, **options) -> DataFrame:
-    """(cluster, term) after post-processing: vectors are kept while the algorithm runs."""
-    vectors = EMBEDDINGS[embedding](terms, units, **embedding_options).persist()
+    """(cluster, term) after post-processing; the vectors are computed once, kept as a table and read from it."""
+    vectors = written(EMBEDDINGS[embedding](terms, units, **embedding_options), "vectors")
     return C.postprocessed(ALGORITHMS[algorithm](vectors, **options))

@@ -93,10 +93,20 @@ def _(t):
     return G.steps_table(t("benchmark").sparkSession)
 
 
+def _sweep(t):
+    gold = t("embeddings").select(F.col("label").cast("string").alias("cluster"), F.col("vec_id").alias("node"))
+    points = C.threshold_sweep(t("embeddings"), "label", "vec_id", "embedding", [0.05, 0.115, 0.2])
+    return E.sweep_scores(points.select("threshold", F.concat_ws("-", "label", "cluster").alias("cluster"), F.col("vec_id").alias("node")), gold, "threshold")
+
+
 @query("threshold_omega")
 def _(t):
-    gold = t("embeddings").select(F.col("label").cast("string").alias("cluster"), F.col("vec_id").alias("node"))
-    return E.sweep_scores(C.threshold_sweep(t("embeddings"), "label", "vec_id", "embedding", [0.05, 0.115, 0.2]).select("threshold", F.concat_ws("-", "label", "cluster").alias("cluster"), F.col("vec_id").alias("node")), gold, "threshold")
+    return _sweep(t)
+
+
+@query("best_threshold")
+def _(t):
+    return E.best_point(_sweep(t), "omega", "threshold")
 
 
 @query("overlapping_omega", """WITH a AS (SELECT DISTINCT o_custkey AS node, o_orderstatus AS c FROM orders), b AS (SELECT DISTINCT o_custkey AS node, o_orderpriority AS c FROM orders),

@@ -239,8 +239,10 @@ def test_tagger_steps(spark):
 
 
 def test_piped(spark):
-    df = spark.createDataFrame([("b\ta",)], "sentence string")
-    assert G.piped(df, ["cat"]).first()["fields"] == ["b", "a"]
+    df = spark.createDataFrame([(1, "b\ta"), (2, "c"), (3, ""), (4, None), (5, "d e")], "k int, sentence string").repartition(1).sortWithinPartitions("k")
+    got = [(r.id, r.pos, r.fields) for r in G.piped(df, ["tr", " ", "\n"], id_col="k").collect()]
+    assert got == [("1", 0, ["b"]), ("1", 1, ["a"]), ("2", 0, ["c"]), ("5", 0, ["d"]), ("5", 1, ["e"])]
+    assert G.piped(df.limit(0), ["cat"]).count() == 0
 
 
 def test_stop_words_are_sorted():
@@ -253,3 +255,119 @@ def test_compound_split_until_nothing_changes(spark):
     lex = spark.createDataFrame([(x, 5) for x in parts] + [("".join(parts[k:]), 5) for k in range(1, 4)], "e string, f long")
     words = spark.createDataFrame([("".join(parts),)], "word string")
     assert rows(K.split_recursively(words, lex), "word", "parts") == [("".join(parts), " ".join(parts))]
+
+
+def linkage_brute(d, threshold):
+    """Clusters as sets, all distances kept by pairs of sets."""
+    n = len(d)
+    live = [frozenset([i]) for i in range(n)]
+    dist = {frozenset([a, b]): d[min(a)][min(b)] ** 2 for a, b in itertools.combinations(live, 2)}
+    height = {c: 0.0 for c in live}
+    done = [c for c in live]
+    while len(live) > 1:
+        a, b = min(itertools.combinations(sorted(live, key=min), 2), key=lambda p: (round(dist[frozenset(p)], 12), min(p[0]), min(p[1])))
+        here = dist[frozenset([a, b])]
+        c = a | b
+        live = [x for x in live if x not in (a, b)]
+        for x in live:
+            k, l = len(a), len(b)
+            dist[frozenset([c, x])] = (k * dist[frozenset([a, x])] + l * dist[frozenset([b, x])]) / (k + l) - k * l * here / (k + l) ** 2
+        height[c] = max(height[a], height[b], math.sqrt(max(here, 0)))
+        live.append(c)
+        done.append(c)
+    kept = [c for c in done if height[c] <= threshold]
+    top = {i: max((c for c in kept if i in c), key=len) for i in range(n)}
+    return [min(top[i]) for i in range(n)]
+
+
+def test_hierarchical_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    x[20:] = x[:20] + rng.normal(size=(20, 5)) * 0.2
+    data = [(i % 2, i, [float(v) for v in r]) for i, r in enumerate(x)] + [(0, 100, None), (0, 101, [1.0]), (1, 102, [float("nan")] * 5), (1, 103, [None] * 5), (2, 104, None), (2, 105, [])]
+    df = spark.createDataFrame(data, "g int, id int, v array<double>")
+    for threshold in (0.02, 0.115, 0.4):
+        got = {(r.g, r.id): r.cluster for r in C.hierarchical(df, "g", "id", "v", threshold).collect()}
+        assert len(got) == 46 and all(got[g, i] is None for g, i, _ in data[40:])
+        for g in (0, 1):
+            ids = [i for i in range(40) if i % 2 == g]
+            u = x[ids] / np.linalg.norm(x[ids], axis=1)[:, None]
+            want = linkage_brute(np.clip(1 - u @ u.T, 0, 2), threshold)
+            same = lambda c: {(a, b) for a in range(20) for b in range(20) if c[a] == c[b]}
+            assert same([got[g, i] for i in ids]) == same(want)
+    sweep = C.threshold_sweep(df, "g", "id", "v", [0.02, 0.4])
+    one = C.hierarchical(df, "g", "id", "v", 0.4)
+    assert rows(sweep.where("threshold = 0.4 and cluster is not null"), "g", "id", "cluster") == rows(one.where("cluster is not null"), "g", "id", "cluster")
+
+
+def test_sweep_is_scored_by_omega(spark):
+    members = {0.1: {"a": [1, 2], "b": [3, 4], "c": [5]}, 0.2: {"a": [1, 2, 3], "b": [4, 5]}}
+    gold = {"x": [1, 2], "y": [3, 4, 5]}
+    sweep = spark.createDataFrame([(t, k, n) for t, c in members.items() for k, ns in c.items() for n in ns], "t double, cluster string, node int")
+    g = spark.createDataFrame([(k, n) for k, ns in gold.items() for n in ns], "cluster string, node int")
+    got = E.sweep_scores(sweep, g, "t")
+    assert {r.t: round(r.omega, 9) for r in got.collect()} == {t: round(omega_brute(c, gold), 9) for t, c in members.items()}
+    assert E.best_point(got, "omega", "t").first()["t"] == max(members, key=lambda t: omega_brute(members[t], gold))
+    assert E.sweep_scores(sweep.limit(0), g, "t").count() == 0
+
+
+def test_fuzzy_c_means_against_loops(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(30, 3)) + 4 * c for c in np.eye(3)])
+    data = [(i, r.tolist()) for i, r in enumerate(x)]
+    odd = [(900, None), (901, []), (902, [1.0]), (903, [None, 1.0, 2.0])]
+    df = spark.createDataFrame(data + odd, "id long, v array<double>")
+    got = {(r.id, r.cluster): r.membership for r in C.fuzzy_c_means(df, "id", "v", 3).collect()}
+    first = spark.createDataFrame(data, "id long, v array<double>").orderBy(F.xxhash64("v"), "v").limit(3).collect()
+    c = np.array([r.v for r in first])
+    weight = lambda p: np.array([1 / max(math.dist(p, q), 1e-12) ** (2 / 0.3) for q in c])
+    while True:
+        u = np.array([weight(p) / weight(p).sum() for p in x])
+        new = np.array([sum(u[i, k] ** 1.3 * x[i] for i in range(90)) / sum(u[:, k] ** 1.3) for k in range(3)])
+        moved, c = abs(new - c).max(), new
+        if moved < 0.005:
+            break
+    u = np.array([weight(p) / weight(p).sum() for p in x])
+    want = {(i, k): u[i, k] for i in range(90) for k in range(3) if u[i, k] > 1 / 3}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert C.fuzzy_c_means(df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_similarities(spark):
+    import difflib
+
+    from termloom.functions.similarity import jaro_winkler, ratcliff_obershelp
+
+    pairs = [("MARTHA", "MARHTA"), ("DWAYNE", "DUANE"), ("", ""), ("a", ""), ("WIKIMEDIA", "WIKIMANIA"), ("same", "same"), (None, "x"), ("größe", "grösse")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = {(r.a, r.b): (r.j, r.r) for r in df.select("a", "b", jaro_winkler(F.col("a"), F.col("b")).alias("j"), ratcliff_obershelp(F.col("a"), F.col("b")).alias("r")).collect()}
+    assert round(got["MARTHA", "MARHTA"][0], 4) == 0.9611 and round(got["DWAYNE", "DUANE"][0], 4) == 0.84
+    assert got[None, "x"] == (None, None) and got["", ""] == (1.0, 1.0) and got["a", ""] == (0.0, 0.0)
+    for (a, b), (_, r) in got.items():
+        if a is not None:
+            assert math.isclose(r, difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
+
+
+def test_cooccurrence_in_blocks(spark):
+    words = spark.createDataFrame([(u, f"w{i}") for u, n in ((1, 23), (2, 7), (3, 1)) for i in range(n)], "unit int, word string")
+    whole, cut = O.cooccurrence(words), O.cooccurrence(words, block=5)
+    assert rows(whole, "w1", "w2", "n_docs") == rows(cut, "w1", "w2", "n_docs") and whole.count() == 23 * 24 // 2
+
+
+def test_matrix_refuses_a_pair_given_twice(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "i string, j string, d long")
+    assert rows(E.matrix(df, ["x", "y"]), "i", "x", "y") == [("a", 1, 0), ("b", 0, 2)]
+    with pytest.raises(Exception, match="given twice"):
+        E.matrix(df.union(df), ["x", "y"]).collect()
+
+
+def test_empty_tables(spark):
+    """No rows in, no rows out."""
+    reqs = spark.createDataFrame([], "req_no long, text string")
+    found = K.candidates(reqs)
+    tagged = K.annotate(found)
+    assert found.count() == S.frequencies(found, K.total_words(reqs)).count() == K.noun_runs(tagged).count() == 0
+    assert M.not_inside(found.select("term"), K.noun_runs(tagged)).count() == 0
+    assert P.slots(reqs, "text").count() == G.bracketed(tagged.withColumn("chunk_tag", F.lit("O"))).count() == 0
+    assert O.cooccurrence(found.select(F.col("req_no").alias("unit"), F.col("term").alias("word"))).count() == 0
+    assert S.alphabetical(found.select("term")).count() == S.mean_tfidf(K.rebuilt(found, reqs), found).count() == 0
