@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the ``docs`` of the next.  All but the last return
-the columns of ``documents``.
+the columns of ``documents``; other columns are left out.
+
+Defined cases: a document with a null or empty text, or one without a letter, has
+no language and goes in the first stage.  Null ids are kept: such rows never
+share an id, but near copies among them are reduced to one like any others.  Of
+repeated rows one stays.  A null in another column changes nothing.  An empty
+table gives an empty table in every stage; without benchmark items none goes as
+contaminated.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe_automaton, decontam, langid, line_dedup, ngram_join
-from termloom.llm._store import stored
+from termloom.llm._store import forget, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,7 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
