@@ -80,6 +80,11 @@ def capital_tag(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{Lu}"), "NOUN").otherwise("X")
 
 
+def suffix_tag(word: Column) -> Column:
+    """An annotator by endings alone."""
+    return F.when(ends_in(word, NOUN_SUFFIXES), "NOUN").when(ends_in(word, ADJECTIVE_SUFFIXES), "ADJ").when(ends_in(word, VERB_SUFFIXES), "VERB").otherwise("X")
+
+
 def sql_list(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 

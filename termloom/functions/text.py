@@ -123,3 +123,30 @@ def split_romanian(word: Column) -> Column:
     rest = F.when(has, F.regexp_extract(word, ROMANIAN.head, 2)).otherwise(word)
     behind = F.regexp_extract_all(F.regexp_extract(rest, ROMANIAN.tail, 2), F.lit("-[^-]+"), F.lit(0))
     return F.filter(F.concat(F.array(F.regexp_extract(word, ROMANIAN.head, 1), F.regexp_extract(rest, ROMANIAN.tail, 1)), behind), lambda x: x != "")
+
+
+# Clitics before and behind a word, as patterns, by language.
+CLITICS = {
+    "catalan": ("[dlmnst]['’´]", "['’´](?:n|s|ls|l|hi|ns|t|m|ho)|-(?:se|lo|la|li|los|les|hi|ho|ne|nos|me|s|te|m)"),
+    "english": ("", "['’´](?:s|re|ve|d|m|em|ll)|n['’´]t"),
+    "french": (
+        "(?:[dcjlmnst]|qu|jusqu|lorsqu|quoiqu|puisqu)['’´]",
+        "-t-elles?|-t-ils?|-t-on|-ce|-elles?|-ils?|-je|-la|-les?|-leur|-lui|-mêmes?|-m['’´]|-moi|-nous|-on|-toi|-tu|-t['’´]|-vous|-en|-y|-ci|-là",
+    ),
+    "galician": ("", "-la|-las|-lo|-los|-nos"),
+    "italian": ("(?:d[ae]ll|nell|all|[ld]|sull|quest|un|senz|tutt|c|s)['´’]", ""),
+}
+
+
+def clitic_pattern(language: str) -> str:
+    """Clitics before, the word itself, clitics behind, as three groups."""
+    before, behind = CLITICS[language]
+    return f"^((?:{before})*)(.+?)((?:{behind})*)$" if before and behind else f"^((?:{before})*)(.+)()$" if before else f"^()(.+?)((?:{behind})*)$"
+
+
+def split_clitics(word: Column, language: str) -> Column:
+    """The parts of a word: clitics of the language before it, the word, clitics behind it."""
+    before, behind = CLITICS[language]
+    group = lambda k: F.regexp_extract(word, "(?iu)" + clitic_pattern(language), k)
+    parts = lambda k, pattern: F.regexp_extract_all(group(k), F.lit("(?iu)" + pattern), F.lit(0)) if pattern else F.array().cast("array<string>")
+    return F.when(word == "", F.array().cast("array<string>")).otherwise(F.concat(parts(1, before), F.array(group(2)), parts(3, behind)))

@@ -59,6 +59,17 @@ def longer_than(tokens: DataFrame, n: int = 1) -> DataFrame:
     return tokens.where(F.length("term") > n)
 
 
+def unknown_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Tokens that the dictionary (one column) does not hold, exact case."""
+    return tokens.join(dictionary.toDF("__d"), F.col("term") == F.col("__d"), "left_anti")
+
+
+def gated_language(text: Column) -> Column:
+    """``language``, an error where neither language wins."""
+    found = language(text)
+    return F.coalesce(found, F.raise_error(F.lit("the language is neither English nor German")))
+
+
 def reduced_stops(stops: DataFrame, exceptions: DataFrame) -> DataFrame:
     """The stop list without its exceptions."""
     return stops.join(exceptions, stops.columns[0], "left_anti")
@@ -140,18 +151,25 @@ def plural_in_lexicon(terms: DataFrame, lexicon_: DataFrame) -> DataFrame:
     return terms.withColumn("__base", cut).join(known.withColumn("__known", F.lit(True)), "__base", "left").select("term", F.when(F.col("__known"), F.col("__base")).otherwise(F.col("term")).alias("base"))
 
 
-def best_split(words: DataFrame, lexicon_: DataFrame, least: int = 14, part: int = 4) -> DataFrame:
+def best_split(words: DataFrame, lexicon_: DataFrame, least: int = 14, part: int = 4, linking: str = "") -> DataFrame:
     """(word, head, tail): long words cut where both parts are known.
 
     ``lexicon_`` has (entry, f); the cut with the larger smaller frequency wins,
-    then the earlier one.  A word without such a cut keeps itself as head.
+    then the earlier one.  A head that is known without the ``linking`` letters
+    at its end stands there without them; as it is, it wins a tie.  A word
+    without such a cut keeps itself as head.
     """
     long = words.where(F.length("word") >= least).distinct()
     cuts = long.select("word", F.explode(F.sequence(F.lit(part), F.length("word") - part)).alias("k"))
     cuts = cuts.select("word", "k", F.expr("substr(word, 1, k)").alias("head"), F.expr("substr(word, k + 1)").alias("tail"))
+    if linking:
+        bare = F.when(F.col("head").endswith(linking) & (F.length("head") > len(linking)), F.left("head", F.length("head") - len(linking)))
+        cuts = cuts.select("word", "k", F.posexplode(F.array_compact(F.array("head", bare))).alias("trimmed", "head"), "tail")
+    else:
+        cuts = cuts.withColumn("trimmed", F.lit(0))
     a, b = lexicon_.toDF("head", "f1"), lexicon_.toDF("tail", "f2")
     known = cuts.join(a, "head").join(b, "tail").withColumn("f", F.least("f1", "f2"))
-    best = known.groupBy("word").agg(F.max_by(F.struct("head", "tail"), F.struct("f", (-F.col("k")).alias("k"))).alias("cut"))
+    best = known.groupBy("word").agg(F.max_by(F.struct("head", "tail"), F.struct("f", (-F.col("k")).alias("k"), (-F.col("trimmed")).alias("t"))).alias("cut"))
     return long.join(best, "word", "left").select("word", F.coalesce("cut.head", "word").alias("head"), F.coalesce("cut.tail", F.lit("")).alias("tail"))
 
 

@@ -720,19 +720,26 @@ def _(t):
     return E.tag_mapping(tagged(t), {"ADJ": "JJ", "VERB": "VB"}).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("annotator_scores", f"""WITH {STOK}, lab AS (
-  SELECT 'capital' AS tool, 'pos' AS task, req_no, term || '/' || CASE WHEN regexp_matches(term, '^\\p{{Lu}}') THEN 'NOUN' ELSE 'X' END AS item, CASE WHEN regexp_matches(term, '^\\p{{Lu}}') THEN 'NOUN' ELSE 'X' END AS label FROM tok
-  UNION ALL SELECT 'capital', 'lemma', req_no, term || '/' || lower(term), '' FROM tok),
-c AS (SELECT DISTINCT tool, task, req_no, item FROM lab WHERE task = 'lemma' OR label IN ('NOUN', 'VERB', 'ADJ')),
-g AS (SELECT DISTINCT 'capital' AS tool, 'pos' AS task, req_no, term || '/' || tag AS item FROM tagged WHERE tag IN ('NOUN', 'VERB', 'ADJ') UNION SELECT 'capital', 'lemma', req_no, term || '/' || lemma FROM tagged),
+_CAPITAL = "CASE WHEN regexp_matches(term, '^\\p{Lu}') THEN 'NOUN' ELSE 'X' END"
+_ENDS = lambda xs: " OR ".join(f"ends_with(term, '{x}')" for x in xs)
+_SUFFIX = f"CASE WHEN {_ENDS(L.NOUN_SUFFIXES)} THEN 'NOUN' WHEN {_ENDS(L.ADJECTIVE_SUFFIXES)} THEN 'ADJ' WHEN {_ENDS(L.VERB_SUFFIXES)} THEN 'VERB' ELSE 'X' END"
+_PLURAL = "CASE WHEN length(term) < 14 AND length(term) > 2 AND ends_with(term, 's') THEN regexp_replace(term, 's$', '') ELSE term END"
+
+
+@query("annotator_scores", f"""WITH {STOK}, every AS (SELECT 'capital' AS tool, req_no, pos, term, {_CAPITAL} AS tag, lower(term) AS lemma FROM tok UNION ALL SELECT 'suffix', req_no, pos, term, {_SUFFIX}, {_PLURAL} FROM tok
+  UNION ALL SELECT 'lexicon', req_no, pos, term, tag, lemma FROM tagged UNION ALL SELECT 'gold', req_no, pos, term, tag, lemma FROM tagged),
+runs AS (SELECT tool, req_no, string_agg(term, ' ' ORDER BY pos) AS item, max(CASE WHEN tag = 'NOUN' THEN 1 ELSE 0 END) AS nouns
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY tool, req_no ORDER BY pos) AS island FROM every WHERE tag IN ('DET', 'ADJ', 'NOUN')) GROUP BY tool, req_no, island),
+item AS (SELECT tool, 'pos' AS task, req_no, term || '/' || tag AS item FROM every WHERE tag IN ('NOUN', 'VERB', 'ADJ') UNION SELECT tool, 'lemma', req_no, term || '/' || lemma FROM every UNION SELECT tool, 'chunk', req_no, item FROM runs WHERE nouns = 1),
+g AS (SELECT t.tool, task, req_no, item FROM item, (VALUES ('capital'), ('suffix'), ('lexicon')) t(tool) WHERE item.tool = 'gold'), c AS (SELECT * FROM item WHERE tool <> 'gold'),
 j AS (SELECT coalesce(c.tool, g.tool) AS tool, coalesce(c.task, g.task) AS task, c.item AS ci, g.item AS gi FROM c FULL JOIN g ON c.tool = g.tool AND c.task = g.task AND c.req_no = g.req_no AND c.item = g.item),
 k AS (SELECT tool, task, count(*) FILTER (WHERE ci IS NOT NULL AND gi IS NOT NULL) AS tp, count(*) FILTER (WHERE gi IS NULL) AS fp, count(*) FILTER (WHERE ci IS NULL) AS fn FROM j GROUP BY 1, 2),
 s AS (SELECT *, tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS p, tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS r FROM k)
 SELECT tool, task, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 2) AS f_score FROM s""")
 def _(t):
     rows = K.candidates(sentence_units(t))
-    tool, gold = {"pos": L.capital_tag, "lemma": F.lower}, {"pos": L.pos_tag, "lemma": L.lemma}
-    return E.compare_annotators(rows, {"capital": tool}, gold, {"pos": ["NOUN", "VERB", "ADJ"], "lemma": None})
+    tools = {"capital": {"pos": L.capital_tag, "lemma": F.lower}, "suffix": {"pos": L.suffix_tag, "lemma": T.plural_base}, "lexicon": {"pos": L.pos_tag, "lemma": L.lemma}}
+    return E.compare_annotators(rows, tools, tools["lexicon"], {"pos": ["NOUN", "VERB", "ADJ"], "lemma": None, "chunk": None})
 
 
 def _phrase_sql(expr: str) -> str:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termloom.functions import lexicon as L
+from termloom.functions import text as T
 from termloom.operators import clusters as C
 from termloom.operators import evaluate as E
 from termloom.operators import tagger as G
 from termloom.operators import template as P
+from termloom.operators import stats as S
 from termloom.operators import tokens as K
-from termloom.plans.queries import COND, ORACLES, PARTS, SENT, STOK, TOK, W, general, query, reqs, sentence_units, tagged, tok
+from termloom.plans.queries import _RUNS, COND, LANG, ORACLES, PARTS, SENT, STOK, TOK, W, domain, general, query, reqs, sentence_units, tagged, tok
 
 _PUNCT = rf"<[^<>]*>|(?:\p{{L}}\.){{2,}}|\.\.\.|\p{{N}}+(?:[.,]\p{{N}}+)*|[{W}]+(?:[-''’][{W}]+)*|--|[^ \t\n\x0B\f\r{W}]"
 ORACLES["punctuation_tokens"] = f"SELECT req_no, CAST(unnest(range(0, len(ts))) AS INTEGER) AS pos, unnest(ts) AS term FROM (SELECT doc_id AS req_no, regexp_extract_all(coalesce(text, ''), '{_PUNCT}') AS ts FROM documents)"
@@ -120,3 +122,76 @@ def _(t):
     parts = E.omega_parts(of("o_orderstatus"), of("o_orderpriority"))
     o = E.omega(parts)
     return parts.crossJoin(F.broadcast(o)).select(F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"), F.round("omega", 9).alias("omega"))
+
+
+_WITH_MARKS = "[\\p{L}]+(?:[''’´-][\\p{L}]+)*"
+
+
+def _clitics(language: str) -> None:
+    before, behind = T.CLITICS[language]
+    quote = lambda x: x.replace("'", "''")
+    group = lambda k: f"regexp_extract(word, '(?i){quote(T.clitic_pattern(language))}', {k})"
+    parts = lambda k, x: f"regexp_extract_all({group(k)}, '(?i){quote(x)}')" if x else "[]"
+
+    @query(f"clitics_{language}", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WITH_MARKS}')) AS word FROM documents)
+SELECT word, array_to_string({parts(1, before)} || [{group(2)}] || {parts(3, behind)}, ' ') AS parts FROM w""")
+    def _(t):
+        word = t("documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WITH_MARKS.replace("''", "'")), F.lit(0))).alias("word")).distinct()
+        return word.select("word", F.array_join(T.split_clitics(F.col("word"), language), " ").alias("parts"))
+
+
+for _language in T.CLITICS:
+    _clitics(_language)
+
+
+@query("unknown_words", f"SELECT term, count(*) AS n FROM ({TOK}) WHERE term NOT IN (SELECT term FROM ({tok('conversations', 'conv_id')})) GROUP BY term")
+def _(t):
+    return S.frequencies(K.unknown_words(K.candidates(reqs(t)), K.candidates(domain(t)).select("term").distinct())).withColumnRenamed("abs_freq", "n")
+
+
+@query("gated_language", f"SELECT doc_id, detected FROM ({LANG}) WHERE detected IS NOT NULL")
+def _(t):
+    # Rows that the gate would refuse are left out first.
+    known = t("documents").where(K.language(F.col("text")).isNotNull())
+    return known.select("doc_id", K.gated_language(F.col("text")).alias("detected"))
+
+
+@query("adposition_terms", f"WITH {STOK}, p AS (SELECT term || ' ' || lead(term) OVER (PARTITION BY req_no ORDER BY pos) AS pair FROM tok) SELECT pair, count(*) AS n FROM p WHERE pair IS NOT NULL AND {L.pos_sql("split_part(pair, ' ', 1)")} <> 'ADP' GROUP BY pair")
+def _(t):
+    ws = sentence_units(t).select(T.main_tokens(T.mask_digits(F.col("text"))).alias("ws"))
+    pairs = ws.select(F.explode(T.ngrams(F.col("ws"), 2)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    return pairs.where(L.pos_tag(F.split_part("pair", F.lit(" "), F.lit(1))) != "ADP")
+
+
+@query("word_number_rank", f"WITH {STOK}, {_RUNS}, c AS (SELECT DISTINCT chunk FROM runs WHERE nouns = 1) SELECT chunk, CAST(len(string_split(chunk, ' ')) AS INTEGER) AS words, row_number() OVER (ORDER BY len(string_split(chunk, ' ')), chunk) - 1 AS place FROM c")
+def _(t):
+    chunk = K.noun_runs(tagged(t)).select(F.col("chunk").alias("term")).distinct()
+    # Fewest words first: the order by frequency of the negative number of words.
+    ranked = S.by_frequency(chunk.withColumn("abs_freq", -F.size(F.split("term", " "))))
+    return ranked.select(F.col("term").alias("chunk"), (-F.col("abs_freq")).alias("words"), F.col("frequency_order").alias("place"))
+
+
+_STRIPPED = f"CASE WHEN split_part(chunk, ' ', 1) IN ({L.sql_list([*L.ENGLISH_ARTICLES, *L.GERMAN_ARTICLES])}) THEN replace(chunk, split_part(chunk, ' ', 1) || ' ', '') ELSE chunk END"
+_LAST = "string_split(bare, ' ')"
+
+
+@query("lemma_pairs", f"""WITH {STOK}, {_RUNS}, c AS (SELECT DISTINCT chunk, {_STRIPPED} AS bare FROM runs WHERE nouns = 1)
+SELECT 'word' AS kind, term AS surface, lemma FROM tagged WHERE tag IN ('ADJ', 'VERB') UNION SELECT 'chunk', chunk, array_to_string([{L.lemma_sql('w')} for w in string_split(bare, ' ')], ' ') FROM c
+UNION SELECT 'split', chunk, array_to_string(list_concat({_LAST}[:-2], [{L.lemma_sql(_LAST + '[-1]')}]), ' ') FROM c""")
+def _(t):
+    rows = tagged(t)
+    word = rows.where("tag in ('ADJ', 'VERB')").select(F.lit("word").alias("kind"), F.col("term").alias("surface"), "lemma")
+    chunk = K.noun_runs(rows).select("chunk").distinct().withColumn("bare", T.strip_article(F.col("chunk"), [*L.ENGLISH_ARTICLES, *L.GERMAN_ARTICLES]))
+    whole = chunk.select(F.lit("chunk"), "chunk", L.lemma_phrase(F.col("bare")))
+    split = chunk.select(F.lit("split"), "chunk", L.lemma_phrase(F.col("bare"), "last"))
+    return word.union(whole).union(split).distinct()
+
+
+@query("compound_split_linking", f"""WITH f AS MATERIALIZED (SELECT term AS e, count(*) AS f FROM ({TOK}) GROUP BY term), long AS (SELECT e AS word FROM f WHERE length(e) >= 14),
+cut AS (SELECT word, k, substr(word, 1, k) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(4, length(word) - 3)) AS k FROM long)),
+two AS (SELECT word, k, 0 AS t, head, tail FROM cut UNION ALL SELECT word, k, 1, left(head, length(head) - 1), tail FROM cut WHERE ends_with(head, 's')),
+known AS (SELECT two.*, least(a.f, b.f) AS f FROM two JOIN f a ON a.e = head JOIN f b ON b.e = tail), best AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY word ORDER BY f DESC, k, t) = 1)
+SELECT long.word, coalesce(head, long.word) AS head, coalesce(tail, '') AS tail FROM long LEFT JOIN best ON best.word = long.word""")
+def _(t):
+    freq = S.frequencies(K.candidates(reqs(t)))
+    return K.best_split(freq.select(F.col("term").alias("word")), freq, linking="s")
