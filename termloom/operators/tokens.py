@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import lexicon
 from termloom.functions import text as T
+from termloom.sources.scratch import written
 
 
 def requirements(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,16 +175,24 @@ def best_split(words: DataFrame, lexicon_: DataFrame, least: int = 14, part: int
 
 
 def split_recursively(words: DataFrame, lexicon_: DataFrame, rounds: int | None = None, **options) -> DataFrame:
-    """(word, parts): cuts repeated on long parts until none changes, or ``rounds`` times."""
-    now = words.select("word", F.col("word").alias("piece"), F.array(F.lit(0)).alias("path")).distinct()
+    """(word, parts): cuts repeated on long parts until none changes, or ``rounds`` times.
+
+    Parts are entries of the lexicon, so the cuts of all words and entries are
+    found once; a round looks up the parts in that table.
+    """
+    lexicon_ = written(lexicon_, "lexicon")
+    entry = lexicon_.columns[0]
+    every = words.select("word").unionByName(lexicon_.select(F.col(entry).alias("word")))
+    cuts = written(best_split(every, lexicon_, **options).where("tail <> ''").withColumnRenamed("word", "piece"), "cuts")
+    now = written(words.select("word", F.col("word").alias("piece"), F.array(F.lit(0)).alias("path"), F.lit(True).alias("new")).distinct(), "parts")
     turn = 0
-    while rounds is None or turn < rounds:
+    # Each cut shortens its parts, so this ends.
+    while (rounds is None or turn < rounds) and not now.where("new").isEmpty():
         turn += 1
-        cut = best_split(now.select(F.col("piece").alias("word")), lexicon_, **options)
-        # Each cut shortens its parts, so this ends.
-        if rounds is None and cut.where("tail <> ''").isEmpty():
-            break
-        joined = now.join(cut.withColumnRenamed("word", "piece"), "piece", "left")
-        pair = F.filter(F.array(F.struct(F.lit(0).alias("side"), F.coalesce("head", "piece").alias("piece")), F.struct(F.lit(1).alias("side"), F.coalesce("tail", F.lit("")).alias("piece"))), lambda x: x["piece"] != "")
-        now = joined.select("word", "path", F.explode(pair).alias("x")).select("word", F.col("x.piece").alias("piece"), F.concat("path", F.array("x.side")).alias("path"))
+        joined = now.join(cuts, "piece", "left")
+        pair = F.when(F.col("head").isNull(), F.array(F.struct(F.lit(0).alias("side"), F.col("piece").alias("piece"), F.lit(False).alias("new")))).otherwise(
+            F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("piece"), F.lit(True).alias("new")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("piece"), F.lit(True).alias("new")))
+        )
+        cut = joined.select("word", "path", F.explode(pair).alias("x"))
+        now = written(cut.select("word", F.col("x.piece").alias("piece"), F.concat("path", F.array("x.side")).alias("path"), F.col("x.new").alias("new")), "parts")
     return now.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "piece"))), lambda x: x["piece"]), " ").alias("parts"))
