@@ -10,7 +10,8 @@ a mixing step; hashing a range costs two lookups in a prefix sum.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Poly:
-    """Range hashes of one sequence after another."""
+    """Range hashes of one sequence after another.
+
+    Powers come from two small tables, of low and of high exponents, so their
+    memory does not depend on the length of a sequence.
+    """
+
+    STEP = 1 << 16
 
     def __init__(self, seed: int):
         self.base = _odd(seed)
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self._table(self.base, 1 << 12)
-        self.inverses = self._table(self.inverse, 1 << 12)
+        self.powers, self.inverses = (self._table(x, self.STEP) for x in (self.base, self.inverse))
+        self.high, self.high_inverses = self._highs(16)
 
     @staticmethod
     def _table(base: int, n: int) -> np.ndarray:
@@ -53,21 +60,41 @@ class Poly:
         x[0] = 1
         return np.cumprod(x, dtype=U64)
 
+    def _highs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(self._table(pow(x, self.STEP, 1 << 64), n) for x in (self.base, self.inverse))
+
+    def _reach(self, n: int) -> None:
+        if n // self.STEP >= len(self.high):
+            self.high, self.high_inverses = self._highs(2 * (n // self.STEP + 1))
+
+    def _times(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The values, each times the power of its place."""
+        out = np.empty(len(values), U64)
+        for k, lo in enumerate(range(0, len(values), self.STEP)):
+            part = values[lo : lo + self.STEP]
+            np.multiply(part, low[: len(part)], out=out[lo : lo + self.STEP])
+            if k:
+                out[lo : lo + self.STEP] *= high[k]
+        return out
+
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        if len(values) >= len(self.powers):
-            n = 2 * len(values)
-            self.powers, self.inverses = self._table(self.base, n), self._table(self.inverse, n)
+        self._reach(len(values))
         out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.powers[: len(values)], out=out[1:])
+        np.cumsum(self._times(values, self.powers, self.high), out=out[1:])
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.inverses[start])
+        self._reach(len(prefix))
+        out = (prefix[end] - prefix[start]) * self.inverses[start & (self.STEP - 1)]
+        if len(prefix) > self.STEP:
+            out *= self.high_inverses[start >> 16]
+        return mix(out)
 
     def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
         """Hashes of all k consecutive values."""
+        self._reach(len(prefix))
         n = max(0, len(prefix) - k)
-        return mix((prefix[k:] - prefix[:-k]) * self.inverses[:n]) if n else np.zeros(0, U64)
+        return mix(self._times(prefix[k:] - prefix[:-k], self.inverses, self.high_inverses)) if n else np.zeros(0, U64)
 
 
 _BYTES = np.random.default_rng(20240517).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -129,3 +156,35 @@ def signed(x: np.ndarray) -> np.ndarray:
 def extended(df: DataFrame, more: str) -> StructType:
     """The schema of ``df`` followed by the columns of a DDL string."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: Bytes of rows that are sent to a worker at a time, a single longer row aside.
+BATCH = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` by workers that give their memory back, as they live on for other stages.
+
+    Lowers the session's limit of the bytes of a batch to ``BATCH``, if it is
+    higher: with the usual 10,000 rows, long texts would fill both sides' memory.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(str(conf.get(_LIMIT)).rstrip("bB")) <= BATCH:
+        conf.set(_LIMIT, str(BATCH))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)

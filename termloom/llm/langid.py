@@ -241,8 +241,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             model = train([(lang, np.frombuffer(bucket, np.int32), np.frombuffer(part, np.float32)) for lang, _, bucket, part in rows])
             yield pa.RecordBatch.from_arrays([pa.array([model.dumps()], pa.binary())], ["model"])
 
-    bags = chosen.mapInArrow(features, "lang string, id string, bucket binary, share binary")
-    kept = stored(bags.repartition(1).mapInArrow(learn, "model binary"), "language-model")
+    bags = _text.mapped(chosen, features, "lang string, id string, bucket binary, share binary")
+    kept = stored(_text.mapped(bags.repartition(1), learn, "model binary"), "language-model")
     got = kept.first()
     for scratch in (kept, counts):
         forget(scratch)
@@ -272,7 +272,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
             off = (best < 0) | (score < m.reject_below)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept_at), pa.array(label[best], pa.string()), pa.array(score), pa.array(off)], names)
 
-    return given.mapInArrow(run, _text.extended(kept, "lang_pred string, score double, rejected boolean"))
+    return _text.mapped(given, run, _text.extended(kept, "lang_pred string, score double, rejected boolean"))
 
 
 def op10_language_id(docs: DataFrame) -> DataFrame:
