@@ -31,9 +31,9 @@ alike.  Any number of columns may follow; names of the results replace theirs.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -50,12 +50,12 @@ from termloom.llm._store import forget, stored
 
 U64 = np.uint64
 END = "</w>"
-#: Words that a worker remembers; when full, those of the texts at hand stay.
-CACHE = 150_000
+#: Words of a generation of a worker's memory; it keeps two.
+CACHE = 60_000
 #: Characters of text handled at a time.
-PART = 2 << 20
-#: Longer words are walked one at a time, in plain Python.
-LONG = 48
+PART = 512 << 10
+#: Longer words, and fewer words of one length, are walked one at a time, in plain Python.
+LONG, FEW = 48, 48
 #: Texts of these characters only (Latin letters that are their own normal form
 #: and have plain lower-case forms) are split by a pattern over whole texts;
 #: pieces of all others by the library's own tables.
@@ -118,24 +118,11 @@ class Arcs:
             out[:, k] = np.packbits(part.T, axis=1, bitorder="little")[:, 0]
         return cls(out, row.astype(np.int32), column)
 
-    def dumps(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, rows=self.rows, row=self.row, column=self.column)
-        return zlib.compress(out.getvalue(), 1)
-
-    @classmethod
-    def loads(cls, blob: bytes) -> Arcs:
-        x = np.load(io.BytesIO(zlib.decompress(blob)))
-        return cls(x["rows"], x["row"], x["column"])
-
 
 class Automaton:
-    """The compiled automaton of a byte-level BPE with word-end symbols.
+    """The compiled automaton of a byte-level BPE with word-end symbols."""
 
-    Given ``arcs``, the merges are not compiled again.
-    """
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int], arcs: Arcs | None = None):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
         self.special, self.size = special, max([*vocab.values(), *special.values()]) + 1
         self.label = [""] * self.size
         for token, k in [*vocab.items(), *special.items()]:
@@ -164,7 +151,7 @@ class Automaton:
         self.place[inner] = np.arange(1, len(inner) + 1)
         self.inner = np.zeros(self.size, bool)
         self.inner[inner] = True
-        self.arcs = arcs or Arcs.merged(self._compile(vocab, merges, 1 + len(inner)))
+        self.arcs = Arcs.merged(self._compile(vocab, merges, 1 + len(inner)))
         self._index()
 
     def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]], states: int) -> np.ndarray:
@@ -217,6 +204,7 @@ class Automaton:
             self.slots[at + step], self.keys[at + step] = k, h
             self.probes = max(self.probes, step + 1)
         self.words = {s: k for k, s in self.symbols.items()}
+        del self.symbols
 
     @staticmethod
     def _hash(symbols: np.ndarray) -> np.uint64:
@@ -244,7 +232,8 @@ class Automaton:
         state[:, 0] = self.size
         for end in range(1, length + 1):
             todo = np.arange(n)
-            for size in range(min(end, self.longest), 0, -1):
+            # Just one label fits; short ones are the likely ones.
+            for size in range(1, min(end, self.longest) + 1):
                 begin = end - size
                 h = _text.mix((prefix[todo, end] - prefix[todo, begin]) * _poly.inverses[begin])
                 token = self._token(h)
@@ -270,11 +259,11 @@ class Automaton:
             out.append(path)
         return out
 
-    def _walk_long(self, symbols: np.ndarray) -> list[int]:
+    def _walk_alone(self, symbols: np.ndarray) -> list[int]:
         length, symbols = len(symbols), symbols.astype(np.int16)
         state = [self.size] + [-1] * length
         for end in range(1, length + 1):
-            for size in range(min(end, self.longest), 0, -1):
+            for size in range(1, min(end, self.longest) + 1):
                 last = state[end - size]
                 token = self.words.get(symbols[end - size : end].tobytes()) if last >= 0 else None
                 if token is not None and self.arcs(token, self.place[last]):
@@ -298,7 +287,7 @@ class Automaton:
                 part = rows[lo : lo + 8192]
                 table = np.frombuffer(b"".join(data[k] for k in part), np.uint8).reshape(len(part), length).astype(np.int64)
                 table[:, -1] += 256
-                found = self._walk(table) if length <= LONG else [self._walk_long(t) for t in table]
+                found = self._walk(table) if length <= LONG and len(part) >= FEW else [self._walk_alone(t) for t in table]
                 for k, path in zip(part, found, strict=True):
                     out[k] = path
         return out
@@ -339,27 +328,34 @@ class Splitter:
 
 
 class Encoder:
-    """Encodes texts word by word with a bounded memory of words."""
+    """Encodes texts word by word with a bounded memory of words.
+
+    The memory has two generations: words that are met again move to the young
+    one, and when that is full it becomes the old one, whose words go.
+    """
 
     def __init__(self, automaton: Automaton, library: Tokenizer):
         self.automaton = automaton
         self.splitter = Splitter(automaton.special, library)
-        self.ids: dict[str, str] = {}
-        self.labels: dict[str, str] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.ids) > CACHE:
-            old_ids, old_labels = self.ids, self.labels
-            known = words & old_ids.keys()
-            self.ids, self.labels = {w: old_ids[w] for w in known}, {w: old_labels[w] for w in known}
-        new = list(words.difference(self.ids))
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.old, self.known = self.known, {}
+            new = words
+        again = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in again)
         label = self.automaton.label
-        plain = [w for w in new if w[0] != "\n"]
-        for w in new:
+        plain = []
+        for w in new - again:
             if w[0] == "\n":
-                self.ids[w], self.labels[w] = str(self.automaton.special[w[1:]]), w[1:]
+                self.known[w] = str(self.automaton.special[w[1:]]), w[1:]
+            else:
+                plain.append(w)
         for w, path in zip(plain, self.automaton.encode_words(plain), strict=True):
-            self.ids[w], self.labels[w] = " ".join(map(str, path)), " ".join([label[k] for k in path])
+            self.known[w] = " ".join(map(str, path)), " ".join([label[k] for k in path])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text: its ids and its labels, joined by spaces."""
@@ -371,41 +367,53 @@ class Encoder:
                 size += len(texts[lo] or "")
                 lo += 1
             self._learn(set().union(*part))
+            known = self.known
             for words in part:
-                yield " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.labels.__getitem__, words))
+                found = [known[w] for w in words]
+                yield " ".join([x for x, _ in found]), " ".join([x for _, x in found])
 
 
-def read_tokenizer(path: str, arcs: Arcs | None = None) -> Automaton:
+def read_tokenizer(path: str) -> Automaton:
     """Compile a tokenizer file; its merges must be in order and its words end in ``</w>``."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
-    merges = [] if arcs else [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    return Automaton(model["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]}, arcs)
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return Automaton(model["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
-def normaliser(path: str) -> Tokenizer:
+def _without_model(path: str) -> str:
     """The tokenizer file without its model: normalisation and pre-splitting only."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     spec["model"] |= {"vocab": {}, "merges": [], "unk_token": None}
-    return Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None}))
+    return json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None})
+
+
+def packed(path: str) -> bytes:
+    """The compiled automaton and the normaliser, for shipping to the workers."""
+    return zlib.compress(pickle.dumps((read_tokenizer(path), _without_model(path)), 5), 1)
+
+
+def unpacked(blob: bytes) -> Encoder:
+    automaton, rest = pickle.loads(zlib.decompress(blob))
+    return Encoder(automaton, Tokenizer.from_str(rest))
 
 
 _compiled: dict[tuple, bytes] = {}
 
 
-def packed_arcs(spark: SparkSession, path: str) -> bytes:
-    """The arcs of the automaton, compiled in a task and compressed; some 4 MB, kept by the driver."""
+def packed_once(spark: SparkSession, path: str) -> bytes:
+    """``packed``, compiled in a task; some 4 MB, kept by the driver."""
     key = (path, os.path.getmtime(path))
     if key not in _compiled:
 
         def compile_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _ in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([read_tokenizer(path).arcs.dumps()], pa.binary())], ["arcs"])
+                yield pa.RecordBatch.from_arrays([pa.array([packed(path)], pa.binary())], ["automaton"])
 
-        table = stored(spark.range(1, numPartitions=1).mapInArrow(compile_, "arcs binary"), "automaton")
-        _compiled[key] = bytes(table.first()["arcs"])
+        table = stored(_text.mapped(spark.range(1, numPartitions=1), compile_, "automaton binary"), "automaton")
+        _compiled[key] = bytes(table.first()["automaton"])
         forget(table)
     return _compiled[key]
 
@@ -413,11 +421,12 @@ def packed_arcs(spark: SparkSession, path: str) -> bytes:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, packed: Broadcast) -> Encoder:
-    """The encoder of this worker; the arcs are unpacked, not compiled again."""
+def _encoder(path: str, shared: Broadcast) -> Encoder:
+    """The encoder of this worker; the automaton is unpacked, not compiled again."""
     if path not in _encoders:
-        _encoders[path] = Encoder(read_tokenizer(path, Arcs.loads(packed.value)), normaliser(path))
-        packed.__dict__.pop("_value", None)  # the packed copy is not needed again
+        _encoders[path] = unpacked(shared.value)
+        shared.__dict__.pop("_value", None)  # the packed copy is not needed again
+        _text.release()
     return _encoders[path]
 
 
@@ -429,7 +438,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
     kept = given if keep_text else given.drop(text_col)
     text_at, at = given.columns.index(text_col), [given.columns.index(c) for c in kept.columns]
     names = [*kept.columns, *added]
-    shared = docs.sparkSession.sparkContext.broadcast(packed_arcs(docs.sparkSession, path))
+    shared = docs.sparkSession.sparkContext.broadcast(packed_once(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared)
@@ -451,7 +460,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in at), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     schema = "n_tokens long" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded + ", ids_sha256 string, decoded_sha256 string" * digest
-    return given.mapInArrow(run, _text.extended(kept, schema))
+    return _text.mapped(given, run, _text.extended(kept, schema))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -466,7 +475,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             out = [None if ids is None else " ".join(label[k] for k in ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
 
-    return given.mapInArrow(run, _text.extended(given, "decoded string"))
+    return _text.mapped(given, run, _text.extended(given, "decoded string"))
 
 
 def _labels(path: str) -> list[str]:
