@@ -6,16 +6,20 @@ repeated, and its words go.  Fingerprints are taken by winnowing: of the
 windows share an anchor, and about one word in fourteen needs an index row.
 
 Index: each batch of documents is fingerprinted, counted and written as an
-immutable run sorted by fingerprint.  A new batch is merge-joined with the runs
-already there, which names the anchors seen before; ``compact`` merges all runs
-into one.  Runs are bucketed by range, so the merge join streams.
+immutable run, bucketed and sorted by fingerprint; a manifest in the same folder
+names the runs, so an index can be opened again at any time.  A new batch is
+merge-joined with each run: all have the same buckets, so no run is shuffled
+again.  The join names the anchors that the batch or the history holds again.
+When there are more than ``fanout`` runs they are compacted into one, which the
+next batch then meets; the manifest is replaced before old runs are deleted.
 
 Verification: anchors counted at least twice go into a Bloom filter of fixed
 size (a false positive only costs work).  Windows whose anchor is in the filter
 are hashed in full to 96 bits and counted exactly, first within each piece of
 text, so a very common window reaches the shuffle once a piece; only windows
 counted twice are removed.  No text is moved until the last step, which joins the removed
-positions to their documents.
+positions to their documents.  In incremental use the windows of a batch are
+verified against the texts of the history that hold one of its anchors.
 
 Defined cases: a null text has no words.  Each row is a document of its own, so
 a repeated row of ``size`` or more words is removed whole from both.  An empty
@@ -25,6 +29,8 @@ table gives an empty result, a text of fewer than ``size`` words is kept.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import _text
-from termloom.llm._store import new_path, stored
+from termloom.llm._store import drop, new_path, stored
 
 U64 = np.uint64
 SIZE, GRAM = 35, 8
@@ -83,52 +89,97 @@ def fingerprints(docs: DataFrame, text_col: str = "text", size: int = SIZE, gram
                 if len(fp):
                     yield pa.RecordBatch.from_arrays([pa.array(_text.signed(fp)), pa.array(n)], ["fp", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "fp long, n long")
+    return _text.mapped(docs.select(text_col), run, "fp long, n long")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n) below one folder of the shared store."""
+    """Sorted immutable runs of (fp, n) in one folder that all executors reach.
 
-    def __init__(self, spark: SparkSession, size: int = SIZE, gram: int = GRAM):
-        self.spark, self.size, self.gram, self.runs = spark, size, gram, []
+    An index is opened, or begun if there is none, by its folder; without one it
+    lies in the scratch folder.  ``buckets`` and the shape of the windows are
+    those it was begun with.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = SIZE, gram: int = GRAM, buckets: int | None = None, fanout: int = 4):
+        self.spark, self.path, self.fanout = spark, path or new_path(spark, "fingerprints"), fanout
+        self.number, found = self._newest()
+        state = found or {"size": size, "gram": gram, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": []}
+        self.size, self.gram, self.buckets, self.runs = state["size"], state["gram"], state["buckets"], state["runs"]
+
+    def _files(self):
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder, jvm.org.apache.hadoop.fs.Path
+
+    def _newest(self) -> tuple[int, dict | None]:
+        """Number and content of the newest manifest; a broken one, of a writer that was lost, is passed over."""
+        fs, folder, _ = self._files()
+        if not fs.exists(folder):
+            return 0, None
+        names = [str(f.getPath().getName()) for f in fs.listStatus(folder)]
+        numbers = sorted((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), reverse=True)
+        for k in numbers:
+            text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest-{k}.json").collect())
+            try:
+                return numbers[0], json.loads(text)
+            except ValueError:
+                continue
+        return (numbers[0] if numbers else 0), None
+
+    def _commit(self) -> None:
+        fs, _, path = self._files()
+        self.number += 1
+        out = fs.create(path(f"{self.path}/manifest-{self.number}.json"), False)
+        out.write(bytearray(json.dumps({"size": self.size, "gram": self.gram, "buckets": self.buckets, "runs": self.runs}).encode()))
+        out.close()
 
     def _write(self, counted: DataFrame) -> str:
-        path = new_path(self.spark, "run")
-        counted.sortWithinPartitions("fp").write.parquet(path)
-        return path
+        name = f"termloom_run_{uuid.uuid4().hex}"
+        dealt = counted.repartition(self.buckets, "fp")
+        dealt.write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fp long, n long").parquet(path)
+    def _read(self, name: str) -> DataFrame:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalog; their files stay."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def ingest(self, batch: DataFrame, text_col: str = "text") -> DataFrame:
         """Append a run for ``batch`` and merge-join it with the earlier ones.
 
         Returns (fp, n, before): the anchors of the batch that it or the earlier
         runs hold again."""
-        path = self._write(fingerprints(batch, text_col, self.size, self.gram).groupBy("fp").agg(F.sum("n").alias("n")))
-        new = self._read(path)
-        history = self.merged() if self.runs else None
-        self.runs.append(path)
-        if history is None:
-            return new.select("fp", "n", F.lit(0).cast("long").alias("before")).where("n > 1")
-        old = history.withColumnRenamed("n", "before").hint("merge")
-        return new.join(old, "fp", "left").select("fp", "n", F.coalesce("before", F.lit(0).cast("long")).alias("before")).where("n + before > 1")
+        name = self._write(fingerprints(batch, text_col, self.size, self.gram).groupBy("fp").agg(F.sum("n").alias("n")))
+        met, before = self._read(name), F.lit(0).cast("long")
+        for k, run in enumerate(self.runs):
+            met = met.join(self._read(run).withColumnRenamed("n", f"n{k}").hint("merge"), "fp", "left")
+            before = before + F.coalesce(F.col(f"n{k}"), F.lit(0).cast("long"))
+        again = stored(met.select("fp", "n", before.alias("before")).where("n + before > 1"), "anchors")
+        self.runs = [*self.runs, name]
+        self._commit()
+        if len(self.runs) > self.fanout:
+            self.compact()
+        return again
 
     def merged(self) -> DataFrame:
         """All runs as one relation (fp, n)."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "fp long, n long")
-        if len(self.runs) == 1:
-            return self._read(self.runs[0])
-        every = self._read(self.runs[0])
-        for path in self.runs[1:]:
-            every = every.unionByName(self._read(path))
+        every = self.spark.createDataFrame([], "fp long, n long")
+        for name in self.runs:
+            every = every.unionByName(self._read(name))
         return every.groupBy("fp").agg(F.sum("n").alias("n"))
 
     def compact(self) -> None:
-        """Merge all runs into one; the replaced runs stay until the folder is cleared."""
+        """Merge all runs into one; the manifest names it before the others are deleted."""
         if len(self.runs) > 1:
-            self.runs = [self._write(self.merged())]
+            old, self.runs = self.runs, [self._write(self.merged())]
+            self._commit()
+            for name in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                drop(self.spark, f"{self.path}/{name}")
 
 
 def _slots(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +243,11 @@ def repeated_windows(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id"
                 p = np.concatenate([place, np.full(len(lead), -1, np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array(_text.signed(w)), pa.array(v), of, pa.array(p)], ["w", "v", "rid", "p"])
 
-    found = docs.select(text_col, F.xxhash64(id_col, text_col)).mapInArrow(run, "w long, v long, rid long, p int")
-    found.createOrReplaceTempView("__termloom_windows")
-    twice = spark.sql("SELECT rid, p FROM (SELECT rid, p, v, count(*) OVER g AS c, min(p) OVER g AS q FROM __termloom_windows WINDOW g AS (PARTITION BY w, v)) WHERE (c > 1 OR q < 0 OR v < 0) AND p >= 0")
-    spark.catalog.dropTempView("__termloom_windows")
+    found = _text.mapped(docs.select(text_col, F.xxhash64(id_col, text_col)), run, "w long, v long, rid long, p int")
+    view = f"termloom_windows_{uuid.uuid4().hex}"
+    found.createOrReplaceTempView(view)
+    twice = spark.sql(f"SELECT rid, p FROM (SELECT rid, p, v, count(*) OVER g AS c, min(p) OVER g AS q FROM {view} WINDOW g AS (PARTITION BY w, v)) WHERE (c > 1 OR q < 0 OR v < 0) AND p >= 0")
+    spark.catalog.dropTempView(view)
     return twice.groupBy("rid").agg(F.collect_list("p").alias("starts"))
 
 
@@ -228,28 +280,70 @@ def _kept(raw: np.ndarray, offs: np.ndarray, starts: list[np.ndarray | None], si
     return np.diff(before), np.diff(removed), texts
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, batches: int = 2, digest: bool = False, keep_text: bool = True, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+def _holding(docs: DataFrame, anchors: DataFrame, text_col: str, size: int, gram: int, bloom_bits: int) -> DataFrame:
+    """The rows whose texts hold one of the anchors (or, rarely, seem to)."""
+    table = docs.sparkSession.sparkContext.broadcast(bloom(anchors.select("fp"), bloom_bits))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, hi, raw, offs in _text.pieces(batch.column(at)):
+                _, before, _, low = _scan(raw, offs, size, gram)
+                hit = np.flatnonzero(low)
+                hit = hit[_in_bloom(table.value, low[hit], bloom_bits)]
+                keep[lo + np.searchsorted(before, hit, "right") - 1] = True
+            yield batch.filter(pa.array(keep))
+
+    return _text.mapped(docs, run, docs.schema)
+
+
+def remove_repeated(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SIZE,
+    gram: int = GRAM,
+    batches: int = 2,
+    digest: bool = False,
+    keep_text: bool = True,
+    bloom_bits: int = BLOOM_BITS,
+    index: FingerprintIndex | None = None,
+    history: DataFrame | None = None,
+) -> DataFrame:
     """Remove every word that a repeated window covers.
 
-    The rows are ingested in ``batches`` parts by a hash of the id, as a history
-    would grow.  Returns all columns (the text replaced by its kept words, or
-    left out), then n_words, n_removed and, with ``digest``, kept_sha256; input
-    columns of those names are replaced.
+    With an ``index``, ``docs`` is one new batch: it is ingested, and its windows
+    count as repeated if they occur again in it or in ``history``, the rows (id,
+    text) of all batches ingested before.  Without one, all rows are judged
+    against each other: they are ingested in ``batches`` parts by a hash of the
+    id into an index of their own.
+
+    Returns all columns (the text replaced by its kept words, or left out), then
+    n_words, n_removed and, with ``digest``, kept_sha256; input columns of those
+    names are replaced.
     """
-    index = FingerprintIndex(docs.sparkSession, size, gram)
-    part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(batches))
-    hits = [index.ingest(docs.where(part == k).select(text_col), text_col).select("fp") for k in range(batches)]
-    anchors = hits[0]
-    for more in hits[1:]:
-        anchors = anchors.unionByName(more)
+    seen = docs.select(id_col, text_col)
+    if index is None:
+        own = FingerprintIndex(docs.sparkSession, None, size, gram)
+        part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(batches))
+        anchors = None
+        for k in range(batches):
+            more = own.ingest(docs.where(part == k).select(text_col), text_col).select("fp")
+            anchors = more if anchors is None else anchors.unionByName(more)
+        own.close()
+    else:
+        size, gram = index.size, index.gram
+        anchors = index.ingest(docs.select(text_col), text_col).select("fp")
+        if history is not None:
+            seen = seen.unionByName(_holding(history.select(id_col, text_col), anchors, text_col, size, gram, bloom_bits))
     added = ["n_words", "n_removed", *(["kept_sha256"] if digest else [])]
     given = docs.select(*[c for c in docs.columns if c not in added])
     kept_cols = given if keep_text else given.drop(text_col)
     names, text_at = [*kept_cols.columns, *added], given.columns.index(text_col)
     at = [given.columns.index(c) for c in kept_cols.columns]
     out_at = kept_cols.columns.index(text_col) if keep_text else None
-    marks = repeated_windows(docs, anchors, id_col, text_col, size, gram, bloom_bits).select(F.col("rid").alias("__rid"), F.col("starts").alias("__starts"))
-    index.compact()
+    marks = repeated_windows(seen, anchors, id_col, text_col, size, gram, bloom_bits).select(F.col("rid").alias("__rid"), F.col("starts").alias("__starts"))
     joined = given.withColumn("__rid", F.xxhash64(id_col, text_col)).join(marks, "__rid", "left").select(*given.columns, "__starts")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +360,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     more.append(pa.array([hashlib.sha256(x).hexdigest() for x in texts]))
                 yield pa.RecordBatch.from_arrays([*cols, *more], names)
 
-    return joined.mapInArrow(run, _text.extended(kept_cols, "n_words long, n_removed long" + ", kept_sha256 string" * digest))
+    return _text.mapped(joined, run, _text.extended(kept_cols, "n_words long, n_removed long" + ", kept_sha256 string" * digest))
 
 
 def op2_substring_dedup(docs: DataFrame) -> DataFrame:
