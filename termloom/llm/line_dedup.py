@@ -2,13 +2,14 @@
 
 1. Every line is reduced to a key (ASCII white space stripped at both ends, A-Z
    lower-cased) and hashed to 128 bits.  Rows are counted per key before and
-   after one shuffle.  Keys in fewer than ``min_docs`` documents can never be
-   dropped and stay out of the index.
+   after one shuffle.  Lines that only one row holds stay out of the index: no
+   threshold can drop them, and they are found absent by fingerprint.
 2. The distinct hashes left are dealt to shards of bounded size.  Each shard
    holds a minimal perfect hash function (levels of collision-free bits) and
-   three arrays addressed by it: fingerprint, number of documents, and the
-   document that keeps the line.
-3. Documents probe the arrays.  Arrays of up to ``broadcast_bytes`` go to every
+   three arrays addressed by it: fingerprint, number of documents (four bytes),
+   and the document that keeps the line.  The keys themselves are not kept.
+3. Documents probe the arrays: a line goes if its fingerprint is there, its
+   count reaches ``min_docs`` and another document keeps it.  Arrays of up to ``broadcast_bytes`` go to every
    task; larger ones stay sharded, and the hashes of the lines, salted, stream
    past them, so that no task holds more than one shard.
 
@@ -96,10 +97,11 @@ class PerfectHash:
 class Shard:
     """A perfect hash with its fingerprint, count and keeper arrays."""
 
-    NO_KEEPER = np.iinfo(np.int64).min
+    NO_KEEPER, MOST = np.iinfo(np.int64).min, np.iinfo(np.uint32).max
 
     def __init__(self, hash_: PerfectHash, fingerprint: np.ndarray, count: np.ndarray, keeper: np.ndarray):
-        self.hash, self.fingerprint, self.count, self.keeper = hash_, fingerprint, count, keeper
+        self.hash, self.fingerprint, self.keeper = hash_, fingerprint, keeper
+        self.count = np.minimum(count, self.MOST).astype(np.uint32)
 
     @classmethod
     def build(cls, key: np.ndarray, fingerprint: np.ndarray, count: np.ndarray, keeper: np.ndarray) -> Shard:
@@ -120,14 +122,14 @@ class Shard:
         x = dict(np.load(io.BytesIO(blob)))
         return cls(PerfectHash.load(x), x["fingerprint"], x["count"], x["keeper"])
 
-    def drops(self, key: np.ndarray, fingerprint: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether each line is repeated and kept by another document."""
+    def drops(self, key: np.ndarray, fingerprint: np.ndarray, doc: np.ndarray, min_docs: int) -> np.ndarray:
+        """Whether at least ``min_docs`` documents hold each line and another one keeps it."""
         at = self.hash.index(key)
         known = at >= 0
         known[known] = self.fingerprint[at[known]] == fingerprint[known]
         out = np.zeros(len(key), bool)
         keeper = self.keeper[at[known]]
-        out[known] = (keeper != doc[known]) & (keeper != self.NO_KEEPER)
+        out[known] = (self.count[at[known]] >= min_docs) & (keeper != doc[known]) & (keeper != self.NO_KEEPER)
         return out
 
 
@@ -174,13 +176,13 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 got = one.groupby(["key", "fp"], sort=False).agg(n=("row", "size"), keeper=("doc", "max")).reset_index()
                 yield pa.RecordBatch.from_pandas(got, preserve_index=False)
 
-    part = docs.select(id_col, text_col).mapInArrow(run, "key long, fp long, n long, keeper long")
+    part = _text.mapped(docs.select(id_col, text_col), run, "key long, fp long, n long, keeper long")
     return part.groupBy("key", "fp").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(shard, shards, blob): the index over all lines in at least ``min_docs`` rows."""
-    keys = stored(line_counts(docs, id_col, text_col, min_chars).where(F.col("n") >= min_docs), "line-keys")
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """(shard, shards, blob): the index over all lines in more than one row."""
+    keys = stored(line_counts(docs, id_col, text_col, min_chars).where("n > 1"), "line-keys")
     shards = max(1, -(-keys.count() // shard_keys))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +233,7 @@ def drop_repeated_lines(
     at = [given.columns.index(c) for c in kept_cols.columns]
     out_at = kept_cols.columns.index(text_col) if keep_text else None
     schema = _text.extended(kept_cols, "n_lines long, n_dropped long" + ", kept_sha256 string" * digest)
-    index = build_index(docs, id_col, text_col, min_chars, min_docs, shard_keys)
+    index = build_index(docs, id_col, text_col, min_chars, shard_keys)
     total = index.agg(F.sum(F.length("blob")), F.max("shards")).first()
 
     if (total[0] or 0) <= broadcast_bytes:
@@ -248,14 +250,14 @@ def drop_repeated_lines(
                     of = key.view(np.int64) % shards
                     for s, shard in loaded.items():
                         mine = np.flatnonzero(of == s)
-                        drop[line[mine]] = shard.drops(key[mine], fp[mine], ids[lo + row[line[mine]]])
+                        drop[line[mine]] = shard.drops(key[mine], fp[mine], ids[lo + row[line[mine]]], min_docs)
                     kept = _rewrite(raw, offs, row, start, end, drop)
                     n = hi - lo
                     yield _output([batch.column(i).slice(lo, n) for i in at], names, out_at, kept, np.bincount(row, minlength=n), np.bincount(row[drop], minlength=n), digest)
 
-        return given.mapInArrow(run, schema)
+        return _text.mapped(given, run, schema)
 
-    drops = _streamed_drops(docs, index, int(total[1]), id_col, text_col, min_chars)
+    drops = _streamed_drops(docs, index, int(total[1]), id_col, text_col, min_chars, min_docs)
     rid = F.xxhash64(id_col, text_col)
     joined = given.withColumn("__rid", rid).join(drops.withColumnRenamed("rid", "__rid"), "__rid", "left").select(*given.columns, "__lines")
 
@@ -273,10 +275,10 @@ def drop_repeated_lines(
                 n = hi - lo
                 yield _output([batch.column(i).slice(lo, n) for i in at], names, out_at, kept, np.bincount(row, minlength=n), np.bincount(row[drop], minlength=n), digest)
 
-    return joined.mapInArrow(rewrite, schema)
+    return _text.mapped(joined, rewrite, schema)
 
 
-def _streamed_drops(docs: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str, min_chars: int, salts: int = 8) -> DataFrame:
+def _streamed_drops(docs: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str, min_chars: int, min_docs: int, salts: int = 8) -> DataFrame:
     """(rid, __lines): numbers of the lines to drop of every document that has some.
 
     The rows of a partition are sorted so that a shard comes before the lines
@@ -297,7 +299,7 @@ def _streamed_drops(docs: DataFrame, index: DataFrame, shards: int, id_col: str,
                 )
 
     kinds = "shard int, salt int, kind int, blob binary, rid long, line int, key long, fp long, doc long"
-    rows = docs.select(id_col, text_col, F.xxhash64(id_col, text_col)).mapInArrow(probes, kinds)
+    rows = _text.mapped(docs.select(id_col, text_col, F.xxhash64(id_col, text_col)), probes, kinds)
     arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "blob")
     both = arrays.unionByName(rows, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
@@ -317,10 +319,10 @@ def _streamed_drops(docs: DataFrame, index: DataFrame, shards: int, id_col: str,
                 key, fp, doc = (batch.column(i).slice(lo, hi - lo).to_numpy() for i in (6, 7, 8))
                 mine = shard_of[lo:hi] == held[0]
                 out = np.zeros(hi - lo, bool)
-                out[mine] = held[1].drops(key[mine].view(U64), fp[mine].view(U64), doc[mine])
+                out[mine] = held[1].drops(key[mine].view(U64), fp[mine].view(U64), doc[mine], min_docs)
                 yield pa.RecordBatch.from_arrays([batch.column(4).slice(lo, hi - lo).filter(pa.array(out)), batch.column(5).slice(lo, hi - lo).filter(pa.array(out))], ["rid", "line"])
 
-    found = both.mapInArrow(probe, "rid long, line int")
+    found = _text.mapped(both, probe, "rid long, line int")
     return found.groupBy("rid").agg(F.collect_set("line").alias("__lines"))
 
 
