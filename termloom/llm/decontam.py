@@ -20,7 +20,8 @@ are few; otherwise the same joins shuffle.
 
 Defined cases: null texts have no words; an item without words matches
 nothing, one of fewer than ``window`` words is one window.  Equal rows are
-reported alike, once for each.  A null item id adds hits but no id.  An empty
+reported alike, once for each.  Items are told apart by id and text: two texts
+of one id are two items, whose id is listed once; a repeated item is one.  A null item id adds hits but no id.  An empty
 benchmark or table gives documents without hits.
 """
 
@@ -68,7 +69,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
 def phrase_runs(index: DataFrame, items: DataFrame) -> DataFrame:
     """(row, item, item_id, lo, hi): runs of words, at least one window long, that match consecutive words of an item."""
     postings = index.where("term is not null").select("term", "row", "pos")
-    freq = postings.groupBy("term").agg(F.count("*").alias("f"))
+    freq = stored(postings.groupBy("term").agg(F.count("*").alias("f")), "frequencies")
     word = items.select("item", "item_id", "width", F.posexplode("ws").alias("i", "w")).select("item", "item_id", "width", "i", F.xxhash64("w").alias("term"))
     word = stored(word.join(small(freq), "term", "left"), "item-words")
     starts = items.select("item", "width", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("width"))).alias("s"))
@@ -135,20 +136,21 @@ OP7_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ), b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+  SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
 ), win AS (
-  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(list_slice(ws, s, s + least(10, len(ws)) - 1), ' ') AS phrase
-  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)
+  SELECT DISTINCT iid, item_id, least(10, len(ws)) AS n, array_to_string(list_slice(ws, s, s + least(10, len(ws)) - 1), ' ') AS phrase
+  FROM (SELECT iid, item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)
 ), widths AS (SELECT DISTINCT n FROM win),
 dwin AS (
   SELECT rid, p, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS phrase
   FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, widths WHERE len(ws) >= n)
 ), found AS (
-  SELECT rid, p, w.n, item_id FROM dwin JOIN win w ON w.n = dwin.n AND w.phrase = dwin.phrase
+  SELECT rid, p, w.n, iid, item_id FROM dwin JOIN win w ON w.n = dwin.n AND w.phrase = dwin.phrase
 ), hit AS (
   SELECT rid, count(DISTINCT i) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS i FROM (SELECT DISTINCT rid, p, n FROM found)) GROUP BY rid
 ), items AS (
-  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY rid
+  SELECT rid, count(*) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, iid, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY rid
 )
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
   sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated

@@ -14,7 +14,7 @@ bounded cache.
 
 Defined cases: a null text is empty and holds the end id only.  Rows without an
 id come first, in any order among themselves; rows with equal ids are ordered
-by their text.  An empty table writes an empty data set.
+by a hash of their text.  An empty table writes an empty data set.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import _text
-from termloom.llm._store import new_path
+from termloom.llm._store import new_path, small
 from termloom.llm.bpe_automaton import END, Splitter
 
 END_ID = 1
@@ -36,6 +36,8 @@ END_ID = 1
 CACHE, PART = 700_000, 2 << 20
 #: Bytes of text aimed at in one file.
 FILE_BYTES = 32 << 20
+#: Shards whose offsets are added up together.
+SHARD_GROUP = 4096
 ORC = {
     "orc.compress": "LZ4",
     "orc.stripe.size": str(16 << 20),
@@ -137,7 +139,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(files, "doc_id", "key").sortWithinPartitions("doc_id", "key")
-    placed = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(run, "shard int, doc_id long, start long, n_tokens int, ids array<int>")
+    placed = _text.mapped(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text"), run, "shard int, doc_id long, start long, n_tokens int, ids array<int>")
     placed.write.options(**ORC).orc(out)
 
 
@@ -149,9 +151,11 @@ def read(spark: SparkSession, out: str) -> DataFrame:
 def documents(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, computed from the files."""
     files = read(spark, out)
-    ends = files.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
-    # One row for each file.
-    before = ends.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    ends = files.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n")).withColumn("group", F.floor(F.col("shard") / SHARD_GROUP))
+    # Shards are added up inside their group; only the groups are ordered as a whole.
+    groups = ends.groupBy("group").agg(F.sum("n").alias("m")).select("group", (F.sum("m").over(Window.orderBy("group")) - F.col("m")).alias("groups_before"))
+    inside = F.sum("n").over(Window.partitionBy("group").orderBy("shard")) - F.col("n")
+    before = ends.withColumn("inside", inside).join(groups, "group").select("shard", (F.col("groups_before") + F.col("inside")).alias("before"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +165,8 @@ def documents(spark: SparkSession, out: str) -> DataFrame:
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = files.mapInArrow(check, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = _text.mapped(files, check, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(small(before), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_orc(docs: DataFrame, path: str | None = None) -> DataFrame:

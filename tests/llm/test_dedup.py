@@ -95,10 +95,13 @@ def test_perfect_hash_is_minimal():
     assert sorted(h.index(keys).tolist()) == list(range(len(keys)))
     again = line_dedup.PerfectHash.load(h.dump())
     assert (again.index(keys) == h.index(keys)).all()
-    s = line_dedup.Shard.build(keys, keys + np.uint64(1), np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64))
+    counts = np.arange(len(keys)) % 9 + 2
+    s = line_dedup.Shard.build(keys, keys + np.uint64(1), counts, np.zeros(len(keys), np.int64))
     s = line_dedup.Shard.loads(s.dumps())
-    assert s.drops(keys, keys + np.uint64(1), np.ones(len(keys), np.int64)).all()
-    assert not s.drops(keys, keys, np.ones(len(keys), np.int64)).any()
+    doc = np.ones(len(keys), np.int64)
+    assert s.drops(keys, keys + np.uint64(1), doc, 0).all()
+    assert not s.drops(keys, keys, doc, 0).any()
+    assert (s.drops(keys, keys + np.uint64(1), doc, 5) == (counts >= 5)).all()
 
 
 # Substrings
@@ -145,6 +148,35 @@ def test_index_names_what_history_holds(spark):
     assert len(index.runs) == 1 and index.merged().where("n > 1").count() == merged
 
 
+def test_batches_over_an_index_that_is_opened_again(spark, documents, tmp_path):
+    """Each batch meets the runs that earlier sessions left, before and after compaction."""
+    path = f"file://{tmp_path}/index"
+    data = rows(documents)
+    passage = " ".join(f"z{i}" for i in range(50))
+    data += [(100 + k, f"kopf{k} {passage} fuß{k}") for k in range(5)] + [(200, " ".join(f"allein{i}" for i in range(60)))]
+    kinds, past = "doc_id long, text string", []
+    for turn in range(5):
+        session = spark.newSession()
+        index = substring_dedup.FingerprintIndex(session, path, fanout=2)
+        assert index.size == 35 and len(index.runs) == [0, 1, 2, 1, 2][turn]
+        now = data[turn::5]
+        batch, history = session.createDataFrame(now, kinds), session.createDataFrame(past, kinds)
+        got = substring_dedup.remove_repeated(batch, digest=True, keep_text=False, index=index, history=history)
+        want = brute_substrings(past + now, 35)
+        mine = [w for w in want if w[0] in {d for d, _ in now}]
+        got = sorted([tuple(r) for r in got.collect()], key=key)
+        assert set(got) <= set(mine) and len(got) == len(now)
+        past += now
+        index.close()
+    plan = substring_dedup.FingerprintIndex(spark, path)
+    assert plan.ingest(spark.createDataFrame([(None,), ("",)], "text string")).count() == 0 and len(plan.runs) == 2
+    met = plan._read(plan.runs[0]).join(plan._read(plan.runs[1]).withColumnRenamed("n", "m").hint("merge"), "fp")
+    text = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Exchange" not in text
+    assert sum(r.n for r in plan.merged().collect()) == sum(r.n for r in substring_dedup.fingerprints(spark.createDataFrame(data, kinds)).collect())
+    plan.close()
+
+
 # Shingles
 
 
@@ -184,6 +216,28 @@ def test_join_of_near_copies(spark, factor):
     assert sorted([tuple(r) for r in got.collect()], key=key) == brute_join(data)
 
 
+def test_divide_skip_against_counting():
+    rng = np.random.default_rng(4)
+    for turn in range(400):
+        lists = [sorted(set(rng.integers(0, 60, rng.integers(0, 40)).tolist())) for _ in range(rng.integers(0, 12))]
+        count = Counter(x for part in lists for x in part)
+        for need in range(1, 8):
+            assert sorted(ngram_join.divide_skip(lists, need)) == sorted((m, c) for m, c in count.items() if c >= need), (turn, need)
+
+
+def test_a_shingle_that_all_documents_share(spark, monkeypatch):
+    """One hot list, cut into many ranges, and groups of near copies behind it."""
+    monkeypatch.setattr(ngram_join, "SEARCH_ROWS", 16)
+    data = []
+    for k in range(60):
+        words = ["alle", "teilen", "diese", "fünf", "Worte", *(f"w{k // 3}x{i}" for i in range(12 if k % 3 else 13))]
+        data.append((k, " ".join([*words, *["ende"] * (k % 2)])))
+    data += [(100 + k, "alle teilen diese fünf Worte" + f" {k}" * (k % 5)) for k in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.op9_ngram_join(df).collect())
+    assert got == sorted(brute_join(data))
+
+
 def test_join_of_odd_rows(documents, empty):
     got = ngram_join.op9_ngram_join(documents)
     assert sorted([tuple(r) for r in got.collect()], key=key) == brute_join(rows(documents))
@@ -224,7 +278,7 @@ def brute_vectors(data, limit=0.95):
     return {k: (n[k], root[k], k == root[k]) for k, _ in data}
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 16}, {"bits": 6}])
+@pytest.mark.parametrize("options", [{}, {"block": 16}, {"bits": 6}, {"bits": 10, "radius": 1, "block": 32}])
 def test_vectors(spark, options):
     df = vectors(spark)
     want = brute_vectors([(r.vec_id, r.embedding) for r in df.collect()])
@@ -238,6 +292,47 @@ def test_vectors(spark, options):
         assert got == want
 
 
+def test_codes_within_the_radius_meet(spark):
+    """Pairs whose codes differ in fewer than (radius + 1) * tables bits are all found, each once."""
+    df = vectors(spark)
+    ids, rows = zip(*[(r.vec_id, r.embedding) for r in df.where("vec_id < 600").orderBy("vec_id").collect()])
+    x = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    for radius, bits in ((0, 8), (1, 8), (1, 16)):
+        codes = itq_dedup.Codes(64, 600, 1.0, bits, radius, itq_dedup.learn_rotation(x))
+        assert codes.tables == 64 // bits
+        keys = codes.keys(x)
+        apart = np.bitwise_count(keys[:, None, :] ^ keys[None, :, :])
+        want = np.triu((apart.min(2) <= radius) & (x @ x.T >= -0.2), 1)
+        near = np.triu(apart.sum(2) < (radius + 1) * codes.tables, 1) & (x @ x.T >= -0.2)
+        assert (near & ~want).sum() == 0
+        got = np.zeros((600, 600), int)
+        for t in range(codes.tables):
+            for key in np.unique(keys[:, t]):
+                home = np.flatnonzero(keys[:, t] == key)
+                guests = np.flatnonzero((np.bitwise_count(keys[:, t] ^ key) == 1) & (keys[:, t] > key)) if radius else home[:0]
+                at = np.concatenate([home, guests])
+                guest = np.arange(len(at)) >= len(home)
+                links = itq_dedup._local_links(at, x[at], keys[at], t, -0.2, None, guest, radius)
+                got[0, links["u"]] += links["n"]
+        assert (got[0] == want.sum(0) + want.sum(1)).all()
+
+
+def test_every_length_of_vectors_is_compared(spark, monkeypatch):
+    """Two close vectors of each of 70 lengths, repeated ids, and a missing id."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(2, 72):
+        v = rng.normal(size=d)
+        rows += [(2 * d, v.tolist()), (2 * d + 1, (v * 3).tolist())]
+    same = rng.normal(size=80).tolist()
+    rows += [(1, same), (1, same), (1, rng.normal(size=80).tolist()), (None, same), (999, same)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(itq_dedup, "LEARNED", 8)
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in itq_dedup.deduplicate(df).collect())
+    want = [(k, 1, k - k % 2, k % 2 == 0) for k in range(4, 144)] + [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (-1, 0, -1, True), (999, 2, 1, False)]
+    assert got == sorted(want)
+
+
 def test_no_vectors(spark):
     assert itq_dedup.deduplicate(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -73,3 +73,36 @@ def test_pipeline_against_brute_force(spark):
         assert got[d].ids == ids and got[d].n_tokens == len(ids)
         assert got[d].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[d].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_stages_on_odd_rows(spark, documents, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table: each stage keeps its columns."""
+    cols = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, ids string"
+    rows = [(r.doc_id, r.text, r.lang, None if i % 3 else "s", None if i % 4 else 1, 7, "x") for i, r in enumerate(documents.collect())]
+    for name, data in (("odd", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(data, cols).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "kopf 1"), (2, "")] if data else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs, before = spark.read.parquet(f"{folder}/documents.parquet"), len(data)
+        for stage, function in corpus_pipeline.STAGES:
+            out = function(spark, docs, folder)
+            out.write.parquet(f"{folder}/{stage}")
+            docs = spark.read.parquet(f"{folder}/{stage}")
+            assert docs.count() <= before
+            before = docs.count()
+            if stage != "bpe":
+                assert docs.columns == corpus_pipeline.COLUMNS
+        assert docs.where("n_tokens <> size(ids)").count() == 0
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert (len(ids) > 3 and ids.count(0) <= 1) if data else not ids
+        assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, folder).collect())
+
+
+def test_small_measures_all_types(spark):
+    from termloom.llm._store import small
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 10) AS s", "array('ab', 'c') AS a", "map('k', 1) AS m", "cast('yy' AS binary) AS b", "named_struct('n', sequence(1, 50)) AS t")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString()
+    assert hinted(small(df)) and not hinted(small(df, rows=99))
+    assert hinted(small(df.select("t"), most=100 * 600)) and not hinted(small(df.select("t"), most=100 * 300))
+    assert not hinted(small(df.select("a"), most=100 * 8)) and not hinted(small(df.select("b"), most=150))

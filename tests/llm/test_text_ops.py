@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,28 @@ def test_token_files_in_many_shards_with_pruning(spark, tmp_path, library):
 # Chats
 
 
+def test_row_index_and_bloom_filter_skip_rows(spark, tmp_path, monkeypatch):
+    """A present id reads its row group only; an absent one between present ones, which bounds cannot exclude, none."""
+    out = f"file://{tmp_path}/tokens"
+    docs = spark.range(20_000).selectExpr("2 * id AS doc_id", "concat('wort ', id) AS text")
+    token_orc.write(docs, out, P.path("word_bpe_49k.json"), file_bytes=1 << 30)
+
+    def rows_read(k):
+        query = token_orc.read(spark, out).where(F.col("doc_id") == k)._jdf.queryExecution()
+        n = query.toRdd().count()
+        return n, query.executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert rows_read(20_000)[0] == 1 and rows_read(20_000)[1] <= 2048
+    assert sum(rows_read(k)[1] for k in (5001, 10_001, 20_001, 30_003)) <= 2048
+    monkeypatch.setattr(token_orc, "SHARD_GROUP", 2)
+    many = f"file://{tmp_path}/many"
+    token_orc.write(docs, many, P.path("word_bpe_49k.json"), file_bytes=20_000)
+    assert token_orc.read(spark, many).select("shard").distinct().count() > 8
+    key = lambda path: sorted(tuple(r) for r in token_orc.documents(spark, path).collect())
+    assert key(many) == key(out)
+
+
+
 def test_snapshots_collapse(spark):
     turns = lambda conv, *texts: [(conv, i, "user" if i % 2 == 0 else "bot", t, "x") for i, t in enumerate(texts)]
     rows = [*turns(1, "a"), *turns(2, "a", "b"), *turns(3, "a", "b", "c"), *turns(4, "a", "b", "c"), *turns(5, "a", "x"), *turns(6, "b"), (7, 0, None, None, "y"), (None, 0, "user", "n", "z"), *[(8, i, "user", "t", "") for i in range(6)]]
@@ -187,6 +210,23 @@ def test_contamination(spark, documents, empty):
     assert kept.columns == ["doc_id", "text", "row"] and kept.count() == got.where("not contaminated").count()
 
 
+def test_items_that_share_an_id(spark):
+    """Two texts of one id are two items, a repeated item is one; operator, SQL and brute force agree."""
+    import duckdb
+
+    bench = [(1, "eins zwei drei"), (1, "vier fünf sechs"), (1, "vier fünf sechs"), (2, "sieben acht"), (None, "neun zehn"), (3, None)]
+    data = [(1, "x eins zwei drei vier fünf sechs y"), (2, "sieben acht neun zehn"), (3, None), (4, "sauber")]
+    docs, items = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    out = decontam.op7_decontamination(docs, items)
+    got = sorted([tuple(r) for r in out.collect()], key=key)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", items.toPandas().astype({"item_id": "Int64"}))
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({decontam.OP7_SQL})").fetchall()
+    assert got == sorted(want, key=key)
+    assert [r[3] for r in got] == [2, 2, 0, 0] and got[0][4] == sha("1")
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x x beta"), (3, "beta alpha")], "doc_id long, text string")
     index = decontam.build_index(docs, spark.createDataFrame([("alpha",), ("beta",)], "word string"))
@@ -243,6 +283,46 @@ def test_language_of_odd_rows(spark, documents, empty):
     assert langid.op10_language_id(documents).count() == documents.count()
 
 
+def brute_language(model, text):
+    """One text by the definition: the mean over all n-grams, one after another."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    total, mask = np.zeros(model.embed.shape[1]), (1 << 32) - 1
+    for k in range(len(raw)):
+        a = raw[k : k + 4] + b"\0" * (4 - len(raw[k : k + 4]))
+        three, four = int.from_bytes(a[:3], "little"), int.from_bytes(a, "little")
+        total += model.embed[(three * 0x9E3779B1 & mask) >> 16] + model.embed[((four ^ four >> 15) * 0x85EBCA6B & mask) >> 16]
+    z = (total / (2 * len(raw)) @ model.weights + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+@pytest.mark.parametrize("labels", [3, 40])
+def test_language_against_brute_force(spark, documents, monkeypatch, labels):
+    """Few labels use the table of products, many the embeddings; long texts are read in parts."""
+    monkeypatch.setattr(langid, "PART", 64)
+    rng = np.random.default_rng(labels)
+    words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)] for k in range(labels)}
+    data = [(i, " ".join(rng.choice(words[f"l{i % labels:02}"], 30)), f"l{i % labels:02}") for i in range(20 * labels)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == sorted(words)
+    again = langid.LanguageModel.loads(model.dumps())
+    assert (again.embed == model.embed).all() and (again.languages, again.temperature, again.reject_below) == (model.languages, model.temperature, model.reject_below)
+    texts = [r.text for r in documents.collect()] + [t for _, t, _ in data]
+    best, score = model.scores(pa.array(texts, pa.string()))
+    for text, b, s in zip(texts, best, score, strict=True):
+        lang, want = brute_language(model, text)
+        assert ("und" if b < 0 else model.languages[b]) == lang and abs(s - want) < 1e-4
+
+
+def test_language_sample_is_bounded(spark):
+    df = spark.createDataFrame([(i, "abc def " * (i % 7), f"l{i % 50}") for i in range(2000)], "doc_id long, text string, lang string")
+    assert len(langid.fit(df, sample_rows=20).languages) <= 20
+    assert langid.fit(df, sample_bytes=0).languages == []
+
+
 def test_lang_column_is_no_input_of_a_prediction(spark):
     df = corpus(spark)
     model = langid.fit(df)
