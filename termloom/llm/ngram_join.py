@@ -27,6 +27,7 @@ classes; it never needs every pair of a class.
    merged by a heap that skips, and what reaches T without them is looked up in
    these by binary search.  T is the least number of common prefix shingles that
    any size present would need.
+   Tables by shingle grow with the corpus and are never broadcast.
 5. *Probing.*  A found pair is kept if its count and the most that the lists
    behind the prefixes could add reach the overlap of its sizes; then its
    shingles are looked up in the sorted set of the partner (whether a member is
@@ -198,7 +199,7 @@ def _lists(docs: DataFrame, ranks: np.ndarray, text_col: str, size: int, percent
     bits = min(BLOOM_BITS, max(12, (16 * shared.count()).bit_length()))
     known = spark.sparkContext.broadcast(bloom(shared.select(F.col("h").alias("fp")), bits))
     # The filter keeps most single shingles from the shuffle, the join the rest.
-    found = _prefixes(docs, rank, text_col, size, percent, known, bits).join(small(shared, 200_000), "h").select("h", "sig", "n", "s", "m", "n0", "n1")
+    found = _prefixes(docs, rank, text_col, size, percent, known, bits).join(shared, "h").select("h", "sig", "n", "s", "m", "n0", "n1")
     return stored(found.dropDuplicates(["h", "sig"]), "shingle-lists")
 
 
@@ -276,7 +277,7 @@ def _enough(percent: int, shared):
 def _hub_pairs(open_: DataFrame, rank, percent: int) -> DataFrame:
     """Pairs (a, b) of the hub of a list and a set of another class in it that may link."""
     hubs = open_.groupBy("h").agg(F.max(F.struct(rank.alias("d"), "sig", "n", "class")).alias("hub")).select("h", F.col("hub.sig").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.class").alias("a_class"))
-    met = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("b_n"), "class").join(small(stored(hubs, "hubs"), 500_000), "h").where("class <> a_class")
+    met = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("b_n"), "class").join(hubs, "h").where("class <> a_class")
     return met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count("*").alias("c")).where(_enough(percent, F.col("c"))).select("a", "b")
 
 
@@ -291,7 +292,7 @@ def _search(open_: DataFrame, large: DataFrame, heavy: int, percent: int) -> Dat
     parts = max(1, -(-heavy // SEARCH_ROWS))
     in_range = open_.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts)).cast("int"))
     # A large class has rows of its own, which its members never ask.
-    marked = in_range.join(small(stored(large, "classes"), 500_000), ["h", "class"], "left")
+    marked = in_range.join(large, ["h", "class"], "left")
     lists = marked.groupBy("h", "own", "part").agg(F.array_sort(F.collect_list(F.struct("sig", "n", "s", "class"))).alias("x"))
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / ROW_MEMBERS).cast("int"))).alias("c")
     lists = lists.select("h", "own", "part", "x", chunk).select("h", "own", "part", F.slice("x", F.col("c") * ROW_MEMBERS + 1, F.lit(ROW_MEMBERS)).alias("x"))
@@ -404,7 +405,7 @@ def _open(lists: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
         return _reaching(lists.withColumn("class", F.col("sig")), percent)
     labelled = _labelled(lists, links)
     spread = labelled.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("h")
-    return _reaching(labelled, percent).join(small(stored(spread, "spread"), 500_000), "h", "left_semi")
+    return _reaching(labelled, percent).join(spread, "h", "left_semi")
 
 
 def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, merge_factor: int = MERGE_FACTOR, max_hub_rounds: int = 3) -> DataFrame:
