@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import _text
-from termloom.llm._store import new_path, small
+from termloom.llm._store import new_path, small, stored
 from termloom.llm.bpe_automaton import END, Splitter
 
 END_ID = 1
@@ -151,7 +151,8 @@ def read(spark: SparkSession, out: str) -> DataFrame:
 def documents(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, computed from the files."""
     files = read(spark, out)
-    ends = files.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n")).withColumn("group", F.floor(F.col("shard") / SHARD_GROUP))
+    # One row for each file, read several times below.
+    ends = stored(files.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n")).withColumn("group", F.floor(F.col("shard") / SHARD_GROUP)), "shards")
     # Shards are added up inside their group; only the groups are ordered as a whole.
     groups = ends.groupBy("group").agg(F.sum("n").alias("m")).select("group", (F.sum("m").over(Window.orderBy("group")) - F.col("m")).alias("groups_before"))
     inside = F.sum("n").over(Window.partitionBy("group").orderBy("shard")) - F.col("n")
