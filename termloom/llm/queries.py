@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bpe_automaton, chat_format, decontam, fim, itq_dedup, langid, license_scan, line_dedup, ngram_join, substring_dedup, token_orc
+from termloom.llm import bpe_automaton, chat_format, decontam, fim, itq_dedup, langid, license_scan, line_dedup, ngram_join, substring_dedup, token_orc, toxicity
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": _over("documents", license_scan.op8_license_scan),
     "op9_ngram_join": _over("documents", ngram_join.op9_ngram_join),
     "op10_language_id": _over("documents", langid.op10_language_id),
+    "op11_toxicity": lambda spark, sf_dir: toxicity.op11_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op13_fill_in_middle": _over("documents", fim.op13_fill_in_middle),
 }
 
