@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bpe_automaton, chat_format, decontam, fim, itq_dedup, langid, license_scan, line_dedup, ngram_join, substring_dedup, token_orc, toxicity
+from termloom.llm import bpe_automaton, chat_format, decontam, fim, itq_dedup, langid, license_scan, line_dedup, ngram_join, spelling, substring_dedup, token_orc, toxicity
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": _over("documents", ngram_join.op9_ngram_join),
     "op10_language_id": _over("documents", langid.op10_language_id),
     "op11_toxicity": lambda spark, sf_dir: toxicity.op11_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op12_spelling_variants": _over("documents", spelling.op12_spelling_variants),
     "op13_fill_in_middle": _over("documents", fim.op13_fill_in_middle),
 }
 
@@ -36,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontam.OP7_SQL,
     "op8_license_scan": license_scan.OP8_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
