@@ -846,4 +846,4 @@ def _(t):
 
 
 # These modules register further queries of their own.
-from termloom.plans import file_queries, tagger_queries  # noqa: E402, F401
+from termloom.plans import cluster_queries, compound_queries, file_queries, tagger_queries  # noqa: E402, F401
