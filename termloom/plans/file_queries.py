@@ -139,7 +139,7 @@ def _(t):
     return E.missing_terms(gold, K.candidates(reqs(t)).select("term").distinct(), reqs(t))
 
 
-@query("plural_in_lexicon", f"WITH w AS (SELECT DISTINCT term FROM ({TOK})) SELECT a.term, coalesce(b.term, a.term) AS base FROM w a LEFT JOIN w b ON length(a.term) < 14 AND length(a.term) > 2 AND ends_with(a.term, 's') AND b.term = left(a.term, length(a.term) - 1)")
+@query("plural_in_lexicon", f"WITH w AS MATERIALIZED (SELECT DISTINCT term FROM ({TOK})), c AS MATERIALIZED (SELECT term, CASE WHEN length(term) < 14 AND length(term) > 2 AND ends_with(term, 's') THEN left(term, length(term) - 1) END AS cut FROM w) SELECT c.term, coalesce(w.term, c.term) AS base FROM c LEFT JOIN w ON w.term = c.cut")
 def _(t):
     terms = K.candidates(reqs(t)).select("term").distinct()
     return K.plural_in_lexicon(terms, terms.withColumnRenamed("term", "word"))

@@ -90,7 +90,7 @@ SENT = """SELECT concat_ws(':', req_no, s_no) AS req_no, trim(s) AS text FROM (
   SELECT doc_id AS req_no, unnest(ps) AS s, unnest(range(0, len(ps))) AS s_no FROM (SELECT doc_id, regexp_split_to_array(text, '[.\\n]') AS ps FROM documents)) WHERE trim(s) <> ''"""
 STOK = f"sent AS ({SENT}), tok AS ({tok('sent', 'req_no')}), tagged AS (SELECT *, {L.pos_sql('term')} AS tag, {L.lemma_sql('term')} AS lemma FROM tok)"
 STOPS = L.sql_list(L.STOP_WORDS)
-FREQ = f"tok AS ({TOK}), total AS ({TOTAL}), freq AS (SELECT term, count(*) AS abs_freq, count(*) / (SELECT CAST(total_words AS DOUBLE) FROM total) AS rel_freq FROM tok GROUP BY term)"
+FREQ = f"tok AS MATERIALIZED ({TOK}), total AS MATERIALIZED ({TOTAL}), freq AS MATERIALIZED (SELECT term, count(*) AS abs_freq, count(*) / (SELECT CAST(total_words AS DOUBLE) FROM total) AS rel_freq FROM tok GROUP BY term)"
 REFS = f"""dom AS (SELECT term, count(*) / (SELECT CAST(sum(len(regexp_extract_all(text, '{MAIN}'))) AS DOUBLE) FROM conversations) AS f FROM ({tok('conversations', 'conv_id')}) GROUP BY term),
 gen AS (SELECT term, count(*) / (SELECT CAST(sum(len(regexp_extract_all(text, '{MAIN}'))) AS DOUBLE) FROM benchmark) AS f FROM ({tok('benchmark', 'item_id')}) GROUP BY term),
 refs AS (SELECT freq.*, coalesce(dom.f, 0) AS rel_freq_domain, coalesce(gen.f, 0) AS rel_freq_general FROM freq LEFT JOIN dom USING (term) LEFT JOIN gen USING (term))"""
@@ -319,8 +319,8 @@ def _(t):
     return _measured(t).select("term", F.round("ll_domain", 6).alias("ll_domain"), F.round("ll_general", 6).alias("ll_general"))
 
 
-@query("log_likelihood_g2", f"""WITH a AS (SELECT term, CAST(count(*) AS DOUBLE) AS f FROM ({TOK}) GROUP BY term), b AS (SELECT term, CAST(count(*) AS DOUBLE) AS f FROM ({tok('conversations', 'conv_id')}) GROUP BY term),
-n AS (SELECT (SELECT sum(f) FROM a) AS c, (SELECT sum(f) FROM b) AS d), j AS (SELECT a.term, a.f AS a, coalesce(b.f, 0) AS b, c, d, (a.f + coalesce(b.f, 0)) / (c + d) AS s FROM a LEFT JOIN b USING (term), n)
+@query("log_likelihood_g2", f"""WITH a AS MATERIALIZED (SELECT term, CAST(count(*) AS DOUBLE) AS f FROM ({TOK}) GROUP BY term), b AS MATERIALIZED (SELECT term, CAST(count(*) AS DOUBLE) AS f FROM ({tok('conversations', 'conv_id')}) GROUP BY term),
+n AS MATERIALIZED (SELECT (SELECT sum(f) FROM a) AS c, (SELECT sum(f) FROM b) AS d), m AS MATERIALIZED (SELECT a.term, a.f AS a, coalesce(b.f, 0) AS b FROM a LEFT JOIN b ON b.term = a.term), j AS (SELECT m.*, c, d, (a + b) / (c + d) AS s FROM m CROSS JOIN n)
 SELECT term, round(2 * (a * ln(a / (c * s)) + CASE WHEN b > 0 THEN b * ln(b / (d * s)) ELSE 0 END), 4) AS g2 FROM j""")
 def _(t):
     a, b = S.frequencies(K.candidates(reqs(t))), S.frequencies(K.candidates(domain(t))).withColumnRenamed("abs_freq", "b")
@@ -329,11 +329,11 @@ def _(t):
     return j.select("term", F.round(N.g2(F.col("abs_freq").cast("double"), F.col("b").cast("double"), F.col("c"), F.col("d")), 4).alias("g2"))
 
 
-_TFIDF = """word AS (SELECT req_no, unnest(regexp_extract_all(s, '[\\p{L}\\p{N}_]{2,}')) AS term FROM rebuilt),
-tf AS (SELECT req_no, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM freq) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-w AS (SELECT req_no, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term)),
+_TFIDF = """word AS MATERIALIZED (SELECT req_no, unnest(regexp_extract_all(s, '[\\p{L}\\p{N}_]{2,}')) AS term FROM rebuilt),
+tf AS MATERIALIZED (SELECT word.req_no, word.term, count(*) AS tf FROM word JOIN freq ON freq.term = word.term GROUP BY 1, 2), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT req_no, term, tf * (ln((1 + docs) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN (SELECT count(*) AS docs FROM documents)),
 u AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY req_no)) AS u FROM w), tfidf AS (SELECT term, round(avg(u), 3) AS tfidf_mean FROM u GROUP BY term)"""
-_REBUILT = "rebuilt AS (SELECT req_no, string_agg(term, ' ' ORDER BY pos) AS s FROM tok GROUP BY req_no)"
+_REBUILT = "rebuilt AS MATERIALIZED (SELECT req_no, string_agg(term, ' ' ORDER BY pos) AS s FROM tok GROUP BY req_no)"
 
 
 @query("tfidf_mean", f"WITH {FREQ}, {_REBUILT}, {_TFIDF} SELECT freq.term, tfidf_mean FROM freq LEFT JOIN tfidf USING (term)")
@@ -477,10 +477,10 @@ def _(t):
     return S.alphabetical(K.candidates(reqs(t)).select("term"))
 
 
-@query("frequency_order", f"SELECT term, abs_freq, words FROM (SELECT term, count(*) AS abs_freq, CAST(len(string_split(term, '-')) AS INTEGER) AS words FROM ({TOK}) GROUP BY term) ORDER BY abs_freq DESC, term LIMIT 100")
+@query("frequency_order", f"SELECT term, abs_freq, words FROM (SELECT term, count(*) AS abs_freq, CAST(len(string_split(term, '-')) AS INTEGER) AS words FROM ({TOK}) GROUP BY term) ORDER BY abs_freq DESC, term")
 def _(t):
     out = S.frequencies(K.candidates(reqs(t))).withColumn("words", F.size(F.split("term", "-")))
-    return out.orderBy(F.desc("abs_freq"), "term").limit(100)
+    return out.orderBy(F.desc("abs_freq"), "term")
 
 
 @query("frequency_rank", f"SELECT term, abs_freq, CAST(len(string_split(term, '-')) AS INTEGER) AS words, row_number() OVER (ORDER BY abs_freq DESC, term) - 1 AS frequency_order FROM (SELECT term, count(*) AS abs_freq FROM ({TOK}) GROUP BY term)")
@@ -510,8 +510,8 @@ def _(t):
     return M.composed(M.filled(first), second)
 
 
-@query("compound_split", f"""WITH f AS (SELECT term AS e, count(*) AS f FROM ({TOK}) GROUP BY term), long AS (SELECT e AS word FROM f WHERE length(e) >= 14),
-cut AS (SELECT word, k, substr(word, 1, k) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(4, length(word) - 3)) AS k FROM long)),
+@query("compound_split", f"""WITH f AS MATERIALIZED (SELECT term AS e, count(*) AS f FROM ({TOK}) GROUP BY term), long AS MATERIALIZED (SELECT e AS word FROM f WHERE length(e) >= 14),
+cut AS MATERIALIZED (SELECT word, k, substr(word, 1, k) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(4, length(word) - 3)) AS k FROM long)),
 known AS (SELECT cut.*, least(a.f, b.f) AS f FROM cut JOIN f a ON a.e = head JOIN f b ON b.e = tail),
 best AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY word ORDER BY f DESC, k) = 1)
 SELECT long.word, coalesce(head, long.word) AS head, coalesce(tail, '') AS tail FROM long LEFT JOIN best ON best.word = long.word""")

@@ -187,9 +187,9 @@ def _(t):
     return word.union(whole).union(split).distinct()
 
 
-@query("compound_split_linking", f"""WITH f AS MATERIALIZED (SELECT term AS e, count(*) AS f FROM ({TOK}) GROUP BY term), long AS (SELECT e AS word FROM f WHERE length(e) >= 14),
-cut AS (SELECT word, k, substr(word, 1, k) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(4, length(word) - 3)) AS k FROM long)),
-two AS (SELECT word, k, 0 AS t, head, tail FROM cut UNION ALL SELECT word, k, 1, left(head, length(head) - 1), tail FROM cut WHERE ends_with(head, 's')),
+@query("compound_split_linking", f"""WITH f AS MATERIALIZED (SELECT term AS e, count(*) AS f FROM ({TOK}) GROUP BY term), long AS MATERIALIZED (SELECT e AS word FROM f WHERE length(e) >= 14),
+cut AS MATERIALIZED (SELECT word, k, substr(word, 1, k) AS head, substr(word, k + 1) AS tail FROM (SELECT word, unnest(range(4, length(word) - 3)) AS k FROM long)),
+two AS MATERIALIZED (SELECT word, k, 0 AS t, head, tail FROM cut UNION ALL SELECT word, k, 1, left(head, length(head) - 1), tail FROM cut WHERE ends_with(head, 's')),
 known AS (SELECT two.*, least(a.f, b.f) AS f FROM two JOIN f a ON a.e = head JOIN f b ON b.e = tail), best AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY word ORDER BY f DESC, k, t) = 1)
 SELECT long.word, coalesce(head, long.word) AS head, coalesce(tail, '') AS tail FROM long LEFT JOIN best ON best.word = long.word""")
 def _(t):
