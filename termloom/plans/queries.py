@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from termloom.functions import lexicon as L
 from termloom.functions import numeric as N
 from termloom.functions import text as T
+from termloom.operators import automaton as A
 from termloom.operators import clusters as C
 from termloom.operators import cooccur as O
 from termloom.operators import evaluate as E
@@ -816,9 +817,22 @@ def _(t):
     return G.with_lexicon(tagged(t), lex).groupBy("term", "tag").agg(F.count("*").alias("n"))
 
 
+def _units(t) -> DataFrame:
+    """(unit, tags): pairs of words of the benchmark items, and the first 3 to 6 words of each."""
+    words = t("benchmark").select(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0)).alias("ws"))
+    heads = words.select("ws", F.explode(F.sequence(F.lit(3), F.lit(6))).alias("n")).where(F.size("ws") >= F.col("n")).select(F.array_join(F.slice("ws", 1, F.col("n")), " ").alias("unit"))
+    units = _two_words(t).select(F.col("term").alias("unit")).unionByName(heads).distinct()
+    return units.withColumn("tags", F.concat(F.lit("W"), F.size(F.split("unit", " ")).cast("string")))
+
+
 @query("multiword_units")
 def _(t):
-    return G.multiword_units(K.candidates(sentence_units(t)), _two_words(t).select(F.col("term").alias("unit")))
+    return G.multiword_units(K.candidates(sentence_units(t)), _units(t))
+
+
+@query("pattern_hits", f"""WITH pattern AS ({PARTS}) SELECT doc_id, term AS pattern FROM documents JOIN pattern ON contains(text, term)""")
+def _(t):
+    return A.hits(t("documents"), _two_words(t), pattern="term", keep=["doc_id"])
 
 
 @query("chunk_brackets")

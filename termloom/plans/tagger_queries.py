@@ -20,11 +20,21 @@ ORACLES["punctuation_tokens"] = f"SELECT req_no, CAST(unnest(range(0, len(ts)))
 ORACLES["requirement_parts"] = f"""WITH sent AS ({SENT}), m AS (SELECT req_no, text || '.' AS s, regexp_matches(text || '.', '{P.REQUIREMENT}') AS ok FROM sent)
 SELECT req_no, CASE WHEN ok THEN regexp_replace(regexp_extract(s, '{P.REQUIREMENT}', 5), ' zu$', '') END AS object, CASE WHEN ok THEN regexp_replace(regexp_extract(s, '{P.REQUIREMENT}', 7), ' zu$', '') END AS verb FROM m"""
 
-# All listed units have two words, so of a run of overlapping matches every other one stays.
-ORACLES["multiword_units"] = f"""WITH sent AS ({SENT}), tok AS ({tok('sent', 'req_no')}), unit AS ({PARTS}),
-g AS (SELECT req_no, pos, term || ' ' || lead(term) OVER (PARTITION BY req_no ORDER BY pos) AS unit FROM tok),
-hit AS (SELECT req_no, pos, unit, pos - row_number() OVER (PARTITION BY req_no ORDER BY pos) AS island FROM g WHERE unit IN (SELECT term FROM unit) OR lower(unit) IN (SELECT term FROM unit))
-SELECT req_no, CAST(pos AS INTEGER) AS pos, 2 AS n, unit FROM hit QUALIFY row_number() OVER (PARTITION BY req_no, island ORDER BY pos) % 2 = 1"""
+_CAPITAL = "upper(left(lower(term), 1)) || substr(lower(term), 2)"
+# A walk follows the first of three arcs that exists; chosen units are reached from the first of a sentence.
+ORACLES["multiword_units"] = f"""WITH RECURSIVE sent AS MATERIALIZED ({SENT}), tok AS MATERIALIZED ({tok('sent', 'req_no')}),
+item AS (SELECT regexp_extract_all(text, '[\\p{{L}}]+') AS ws FROM benchmark),
+unit AS MATERIALIZED (SELECT term AS unit FROM ({PARTS}) UNION SELECT array_to_string(ws[1:n], ' ') FROM item, (SELECT unnest(range(3, 7)) AS n) WHERE len(ws) >= n),
+arc AS MATERIALIZED (SELECT DISTINCT array_to_string(ws[1:k], ' ') AS p FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT string_split(unit, ' ') AS ws FROM unit))),
+form AS MATERIALIZED (SELECT term, unnest([term, lower(term), {_CAPITAL}]) AS form, unnest([1, 2, 3]) AS rank FROM (SELECT DISTINCT term FROM tok)),
+step AS MATERIALIZED (SELECT p, regexp_replace(p, ' ?[^ ]+$', '') AS before, list_last(string_split(p, ' ')) AS word FROM arc),
+move AS MATERIALIZED (SELECT before, term, arg_min(p, rank) AS p FROM step JOIN form ON form = word GROUP BY 1, 2),
+walk AS (SELECT req_no, pos AS start, 1 AS n, p, term AS seen FROM tok JOIN move USING (term) WHERE before = ''
+  UNION ALL SELECT walk.req_no, start, n + 1, move.p, seen || ' ' || tok.term FROM walk JOIN tok ON tok.req_no = walk.req_no AND tok.pos = start + n JOIN move ON move.before = walk.p AND move.term = tok.term),
+hit AS MATERIALIZED (SELECT req_no, start AS pos, max(n) AS n, arg_max(seen, n) AS unit, arg_max(p, n) AS p FROM walk WHERE n > 1 AND p IN (SELECT unit FROM unit) GROUP BY 1, 2),
+nxt AS MATERIALIZED (SELECT a.req_no, a.pos, min(b.pos) AS nxt FROM hit a JOIN hit b ON a.req_no = b.req_no AND b.pos >= a.pos + a.n GROUP BY 1, 2),
+pick AS (SELECT req_no, min(pos) AS pos FROM hit GROUP BY req_no UNION ALL SELECT pick.req_no, nxt FROM pick JOIN nxt USING (req_no, pos))
+SELECT req_no, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n, unit, 'W' || len(string_split(p, ' ')) AS tags FROM hit JOIN pick USING (req_no, pos)"""
 
 ORACLES["chunk_brackets"] = f"""WITH {STOK}, t AS (SELECT *, tag IN ('DET', 'ADJ', 'NOUN') AS ok FROM tagged), i AS (SELECT *, CASE WHEN ok THEN pos - row_number() OVER (PARTITION BY req_no, ok ORDER BY pos) END AS island FROM t),
 part AS (SELECT req_no, min(pos) AS pos, ok, string_agg('(' || tag || ' ' || term || ')', ' ' ORDER BY pos) AS ws FROM i GROUP BY req_no, ok, island, CASE WHEN ok THEN NULL ELSE pos END)
