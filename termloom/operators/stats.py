@@ -98,6 +98,39 @@ def _mean_weights(tf: DataFrame, vocabulary: DataFrame, n_reqs: DataFrame, keys:
     return vocabulary.join(mean, on, "left")
 
 
+def vocabulary_counts(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(req_no, term, tf): the n-grams of each sentence that are terms of the vocabulary.
+
+    Words are those of the weights; a term that they do not spell, such as one
+    with a hyphen or with a single letter, never occurs.  N-grams are made only
+    where a word begins a term, and only of the lengths of the terms that begin
+    with it.  Overlapping n-grams count each.
+    """
+    parts = F.regexp_extract_all("term", F.lit(WEIGHT_WORD), F.lit(0))
+    terms = vocabulary.select("term").where("term is not null").distinct().select("term", parts.alias("ws")).where(F.array_join("ws", " ") == F.col("term")).where(F.size("ws") > 0)
+    terms = written(terms, "vocabulary")
+    longest = terms.agg(F.max(F.size("ws"))).first()[0] or 1
+    heads = terms.groupBy(F.element_at("ws", 1).alias("word")).agg(F.array_sort(F.collect_set(F.size("ws"))).alias("lengths"))
+    words = sentences.select("req_no", F.regexp_extract_all(F.coalesce("sentence", F.lit("")), F.lit(WEIGHT_WORD), F.lit(0)).alias("ws"))
+    # A window of a sentence is no longer than the longest term.
+    at = words.select("req_no", F.explode(F.transform("ws", lambda w, i: F.slice(F.col("ws"), i + 1, longest))).alias("ws"))
+    # Equal windows of a sentence are one row from here on.
+    at = at.groupBy("req_no", "ws").agg(F.count("*").alias("tf")).withColumn("word", F.element_at("ws", 1))
+    begun = at.join(heads, "word").select("req_no", "ws", "tf", F.explode(F.filter("lengths", lambda n: n <= F.size("ws"))).alias("n"))
+    grams = begun.select("req_no", F.array_join(F.slice("ws", F.lit(1), F.col("n")), " ").alias("term"), "tf")
+    return grams.groupBy("req_no", "term").agg(F.sum("tf").alias("tf")).join(terms.select("term"), "term", "left_semi").select("req_no", "term", "tf")
+
+
+def ngram_tfidf(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, tfidf_mean) of all terms, of one word or more, over whole rebuilt sentences (req_no, sentence).
+
+    Weights as in ``mean_tfidf``; every sentence counts as a document, an empty or
+    null one too; terms that no sentence holds are null.
+    """
+    counts = vocabulary_counts(sentences, vocabulary)
+    return _mean_weights(counts, vocabulary.select("term").where("term is not null").distinct(), sentences.agg(F.count("*").alias("n_reqs")), [])
+
+
 def word_length_range(vocabulary: DataFrame) -> DataFrame:
     """One row (shortest, longest): words of the shortest and of the longest term, for the n-grams of the weights."""
     n = F.size(F.split("term", " "))

@@ -27,6 +27,7 @@ from termloom.operators import template as P
 from termloom.operators import tokens as K
 from termloom.plans import statistics as Z
 from termloom.sources import readers, writers
+from termloom.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -343,6 +344,29 @@ def _(t):
     return S.mean_tfidf_of(counts, reqs(t).agg(F.count("*").alias("n_reqs")))
 
 
+_TERMS = """vocabulary AS MATERIALIZED (SELECT term FROM tok GROUP BY term HAVING count(*) >= 5 UNION SELECT array_to_string(ws[p:p + n - 1], ' ') FROM (
+  SELECT ws, p, unnest(range(2, 5)) AS n FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT regexp_extract_all(text, '[\\p{L}\\p{N}_]{2,}') AS ws FROM benchmark))) WHERE p + n - 1 <= len(ws))"""
+
+
+def _vocabulary(t) -> DataFrame:
+    """Terms of at least five occurrences, and all runs of two to four words of the general corpus."""
+    often = S.frequencies(K.candidates(reqs(t))).where("abs_freq >= 5").select("term")
+    words = general(t).select(F.regexp_extract_all("text", F.lit(S.WEIGHT_WORD), F.lit(0)).alias("ws"))
+    for n in (2, 3, 4):
+        often = often.unionByName(words.select(F.explode(T.ngrams(F.col("ws"), n)).alias("term")))
+    return often.distinct()
+
+
+@query("ngram_tfidf", f"""WITH {FREQ}, {_REBUILT}, {_TERMS}, word AS MATERIALIZED (SELECT req_no, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM (SELECT req_no, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws FROM rebuilt)),
+more AS MATERIALIZED (SELECT req_no, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM word WINDOW o AS (PARTITION BY req_no ORDER BY p)),
+gram AS (SELECT req_no, w AS term FROM more UNION ALL SELECT req_no, w || ' ' || w2 FROM more UNION ALL SELECT req_no, w || ' ' || w2 || ' ' || w3 FROM more UNION ALL SELECT req_no, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM more),
+tf AS MATERIALIZED (SELECT req_no, term, count(*) AS tf FROM gram JOIN vocabulary USING (term) GROUP BY 1, 2), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT req_no, term, tf * (ln((1 + docs) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN (SELECT count(*) AS docs FROM documents)),
+u AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY req_no)) AS u FROM w) SELECT term, tfidf_mean FROM vocabulary LEFT JOIN (SELECT term, round(avg(u), 3) AS tfidf_mean FROM u GROUP BY term) USING (term)""")
+def _(t):
+    return S.ngram_tfidf(K.rebuilt(K.candidates(reqs(t)), reqs(t)), written(_vocabulary(t), "terms"))
+
+
 _DEFS = f"""da AS (SELECT term, 'item ' || CAST(min(req_no) AS VARCHAR) AS d FROM ({tok('benchmark', 'item_id')}) GROUP BY term), dt AS (SELECT term, min(req_no) AS d FROM ({tok('conversations', 'role')}) GROUP BY term)"""
 
 

@@ -371,3 +371,25 @@ def test_empty_tables(spark):
     assert P.slots(reqs, "text").count() == G.bracketed(tagged.withColumn("chunk_tag", F.lit("O"))).count() == 0
     assert O.cooccurrence(found.select(F.col("req_no").alias("unit"), F.col("term").alias("word"))).count() == 0
     assert S.alphabetical(found.select("term")).count() == S.mean_tfidf(K.rebuilt(found, reqs), found).count() == 0
+
+
+def test_ngram_tfidf_by_definition(spark):
+    import re
+
+    docs = {1: "Nachweis Item a Nachweis Item prüfen", 2: "Item Nachweis-Item", 3: "", 4: None, 5: "prüfen das Item das Item das"}
+    vocabulary = ["Nachweis", "Item", "Nachweis Item", "das Item das", "Nachweis-Item", "a", "Item Nachweis Item", "fehlt", "das", None, ""]
+    want, tf = {}, {}
+    for d, s in docs.items():
+        ws = re.findall(r"\w\w+", s or "")
+        grams = [" ".join(ws[i : i + n]) for n in range(1, 4) for i in range(len(ws) - n + 1)]
+        tf[d] = {v: grams.count(v) for v in vocabulary if v and grams.count(v)}
+    weight = {d: {v: n * (math.log((1 + len(docs)) / (1 + sum(v in x for x in tf.values()))) + 1) for v, n in x.items()} for d, x in tf.items()}
+    for v in vocabulary:
+        if v is not None:
+            unit = [x[v] / math.sqrt(sum(w * w for w in x.values())) for x in weight.values() if v in x]
+            want[v] = round(sum(unit) / len(unit), 3) if unit else None
+    s = spark.createDataFrame(list(docs.items()), "req_no int, sentence string")
+    v = spark.createDataFrame([(x,) for x in [*vocabulary, "das"]], "term string")
+    assert {r.term: r.tfidf_mean for r in S.ngram_tfidf(s, v).collect()} == want
+    assert want["Nachweis-Item"] is None and want["a"] is None and want["das Item das"]
+    assert S.ngram_tfidf(s, v.limit(0)).count() == 0
