@@ -342,7 +342,7 @@ WITH lines AS (
 ), often AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rid) >= 5
 ), judged AS (
-  SELECT e.*, o.k IS NOT NULL AND e.doc_id <> o.keeper AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k
+  SELECT e.*, o.k IS NOT NULL AND coalesce(e.doc_id <> o.keeper, o.keeper IS NOT NULL) AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256

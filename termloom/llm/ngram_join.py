@@ -476,22 +476,22 @@ def op9_ngram_join(docs: DataFrame) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), w AS (
-  SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d
-), sh AS (
-  SELECT DISTINCT doc_id, s FROM (
-    SELECT doc_id, i, n, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS s FROM w)
+  SELECT rid, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d
+), sh AS MATERIALIZED (
+  SELECT DISTINCT rid, s FROM (
+    SELECT rid, i, n, array_to_string(list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS s FROM w)
   WHERE i + 4 <= n OR (i = 1 AND n < 5)
-), size AS (SELECT doc_id, count(*) AS k FROM sh GROUP BY doc_id),
-link AS (
+), size AS (SELECT rid, count(*) AS k FROM sh GROUP BY rid),
+link AS MATERIALIZED (
   SELECT p.x, p.y FROM (
-    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
-  JOIN size u ON u.doc_id = p.x JOIN size v ON v.doc_id = p.y WHERE 100 * c >= 75 * (u.k + v.k - c)
+    SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY 1, 2) p
+  JOIN size u ON u.rid = p.x JOIN size v ON v.rid = p.y WHERE 100 * c >= 75 * (u.k + v.k - c)
 ), reach(x, y) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+  SELECT rid, rid FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
 )
-SELECT d.doc_id, coalesce(any_value(s.k), 0) AS n_shingles, min(r.y) AS component_id
-FROM d JOIN reach r ON r.x = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(any_value(s.k), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach r ON r.x = d.rid JOIN d o ON o.rid = r.y LEFT JOIN size s ON s.rid = d.rid GROUP BY d.rid, d.doc_id
 """

@@ -258,3 +258,22 @@ def test_toxicity_without_labels(spark, marked):
     assert {r.score for r in toxicity.op11_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert {r.score for r in toxicity.op11_toxicity(docs, labels.where("toxic = 1")).collect()} == {1.0}
     assert toxicity.op11_toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+# SQL of earlier operators on null and repeated ids
+
+
+def test_sql_of_null_and_repeated_ids(spark):
+    import duckdb
+
+    from termloom.llm import line_dedup, ngram_join
+
+    line = "A line that many documents hold, long enough to count."
+    texts = [f"kopf {i}\n{line}\nfuß" for i in range(4)] + ["eins zwei drei vier fünf sechs sieben"] * 3 + [None, "", "kurz"]
+    rows = [*enumerate(texts), (None, f"ohne\n{line}"), (None, f"ohne\n{line}"), (None, texts[4]), (None, "allein ohne Nummer und ohne Partner"), (None, None), (3, "eine andere Zeile unter gleicher Nummer wie vorher"), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    count = lambda got: collections.Counter(tuple(None if v != v else v for v in r) for r in got)
+    for operator, sql, cols in ((line_dedup.op6_line_dedup, line_dedup.OP6_SQL, ["doc_id", "n_lines", "n_dropped", "kept_sha256"]), (ngram_join.op9_ngram_join, ngram_join.OP9_SQL, ["doc_id", "n_shingles", "component_id"])):
+        assert count(operator(df).select(cols).collect()) == count(con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
