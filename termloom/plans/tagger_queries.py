@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from termloom.functions import lexicon as L
 from termloom.functions import text as T
+from termloom.operators import brackets as B
 from termloom.operators import clusters as C
 from termloom.operators import evaluate as E
 from termloom.operators import tagger as G
 from termloom.operators import template as P
 from termloom.operators import stats as S
 from termloom.operators import tokens as K
+from termloom.operators import transducer as X
 from termloom.plans.queries import _RUNS, COND, LANG, ORACLES, PARTS, SENT, STOK, TOK, W, domain, general, query, reqs, sentence_units, tagged, tok
 
 _PUNCT = rf"<[^<>]*>|(?:\p{{L}}\.){{2,}}|\.\.\.|\p{{N}}+(?:[.,]\p{{N}}+)*|[{W}]+(?:[-''’][{W}]+)*|--|[^ \t\n\x0B\f\r{W}]"
@@ -205,3 +207,62 @@ SELECT long.word, coalesce(head, long.word) AS head, coalesce(tail, '') AS tail
 def _(t):
     freq = S.frequencies(K.candidates(reqs(t)))
     return K.best_split(freq.select(F.col("term").alias("word")), freq, linking="s")
+
+
+# Machines -----------------------------------------------------------------------
+
+
+def _punctuated(t):
+    """Tokens with punctuation of the documents, tagged by words and signs."""
+    rows = reqs(t).select("req_no", F.posexplode(G.punctuation_tokens(F.col("text"))).alias("pos", "term"))
+    verb = F.when(F.col("term").rlike("[eln]n$"), F.when(F.length("term") % 2 == 0, "VVFIN").otherwise("VVINF"))
+    tag = F.when(F.col("term") == ",", "$,").when(F.col("term").rlike("^[.;:!?]$"), "$.").when(F.col("term").isin(L.MODALS), "VMFIN").when(F.col("term").isin("to", "zu", "de"), "PTKZU").otherwise(F.coalesce(verb, F.lit("X")))
+    return rows.withColumn("tag", tag)
+
+
+@query("verb_tags")
+def _(t):
+    return X.repaired_verbs(_punctuated(t))
+
+
+@query("joined_numbers")
+def _(t):
+    return X.joined_numbers(_punctuated(t).select("req_no", "pos", "term"))
+
+
+@query("segment_sentences")
+def _(t):
+    """Segments of all texts, with sentence marks where a token of punctuation ends one."""
+    rows = reqs(t).select("req_no", F.posexplode(X.korean_segments(F.col("text"))).alias("pos", "term"))
+    tag = F.when(F.col("term").rlike("^<.*>$"), F.lit(None)).when(F.col("term").rlike("^[.!?]$"), "SF").otherwise("NNG")
+    return X.korean_sentences(rows.withColumn("tag", tag))
+
+
+def _chunk_tagged(t):
+    label = F.when(F.col("tag").isin("DET", "ADJ", "NOUN"), "I-NP").when(F.col("tag") == "CONJ", "B-COORD").otherwise("O")
+    return tagged(t).withColumn("chunk_tag", label)
+
+
+_LINES = f"""WITH {STOK}, n AS (SELECT *, CASE WHEN tag IN ('DET', 'ADJ', 'NOUN') THEN 'NP' WHEN tag = 'CONJ' THEN 'COORD' END AS name FROM tagged),
+i AS (SELECT *, CASE WHEN name = 'NP' THEN pos - row_number() OVER (PARTITION BY req_no, name ORDER BY pos) ELSE 1000000 + pos END AS island FROM n),
+part AS (SELECT req_no, name, min(pos) AS pos, string_agg(term, chr(10) ORDER BY pos) AS words FROM i GROUP BY req_no, name, island),
+lines AS (SELECT req_no, string_agg(CASE name WHEN 'NP' THEN chr(3) || chr(10) || words || chr(10) || chr(2) WHEN 'COORD' THEN chr(5) || chr(10) || words || chr(10) || chr(6) ELSE words END, chr(10) ORDER BY pos) || chr(10) AS s FROM part GROUP BY req_no),
+pattern AS (SELECT '(' || chr(3) || chr(10) || '[^' || chr(2) || ']*' || chr(2) || chr(10) || ')(' || chr(5) || chr(10) || '[^' || chr(6) || ']*' || chr(6) || chr(10) || ')(' || chr(3) || chr(10) || '[^' || chr(2) || ']*' || chr(2) || chr(10) || ')' AS p)"""
+_DECODED = "replace(replace(replace(replace({0}, chr(3), '<NP>'), chr(2), '</NP>'), chr(5), '<COORD>'), chr(6), '</COORD>')"
+
+
+@query("chunk_lines", f"{_LINES} SELECT req_no, rtrim({_DECODED.format('s')}, chr(10)) AS lines FROM lines")
+def _(t):
+    return B.chunk_lines(_chunk_tagged(t), ["NP", "COORD"]).select("req_no", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("coordinated_phrases", f"""{_LINES} SELECT req_no, rtrim({_DECODED.format("regexp_replace(s, p, chr(3) || chr(10) || '\\1\\2\\3' || chr(2) || chr(10), 'g')")}, chr(10)) AS lines FROM lines, pattern""")
+def _(t):
+    return B.chunk_lines(_chunk_tagged(t), ["NP", "COORD"]).select("req_no", F.array_join(B.coordinated(F.col("lines")), "\n").alias("lines"))
+
+
+@query("sentence_trees", f"""WITH {STOK}, i AS (SELECT *, CASE WHEN tag IN ('DET', 'ADJ', 'NOUN') THEN pos - row_number() OVER (PARTITION BY req_no, tag IN ('DET', 'ADJ', 'NOUN') ORDER BY pos) ELSE 1000000 + pos END AS island FROM tagged),
+part AS (SELECT req_no, min(pos) AS pos, max(tag) AS tag, string_agg('(' || term || ' ' || tag || ')', ' ' ORDER BY pos) AS ws, island < 1000000 AS np FROM i GROUP BY req_no, island)
+SELECT req_no, '(S ' || string_agg(CASE WHEN np THEN '(NP ' || ws || ')' WHEN tag = 'CONJ' THEN '(COORD ' || ws || ')' ELSE ws END, ' ' ORDER BY pos) || ')' AS tree FROM part GROUP BY req_no""")
+def _(t):
+    return B.sentence_trees(_chunk_tagged(t), ["NP", "COORD"])
