@@ -13,8 +13,10 @@ from termloom.operators import tagger as G
 from termloom.operators import template as P
 from termloom.operators import stats as S
 from termloom.operators import tokens as K
+from termloom.operators import trained as R
 from termloom.operators import transducer as X
 from termloom.plans.queries import _RUNS, COND, LANG, ORACLES, PARTS, SENT, STOK, TOK, W, domain, general, query, reqs, sentence_units, tagged, tok
+from termloom.sources.scratch import written
 
 _PUNCT = rf"<[^<>]*>|(?:\p{{L}}\.){{2,}}|\.\.\.|\p{{N}}+(?:[.,]\p{{N}}+)*|[{W}]+(?:[-''’][{W}]+)*|--|[^ \t\n\x0B\f\r{W}]"
 ORACLES["punctuation_tokens"] = f"SELECT req_no, CAST(unnest(range(0, len(ts))) AS INTEGER) AS pos, unnest(ts) AS term FROM (SELECT doc_id AS req_no, regexp_extract_all(coalesce(text, ''), '{_PUNCT}') AS ts FROM documents)"
@@ -266,3 +268,30 @@ part AS (SELECT req_no, min(pos) AS pos, max(tag) AS tag, string_agg('(' || term
 SELECT req_no, '(S ' || string_agg(CASE WHEN np THEN '(NP ' || ws || ')' WHEN tag = 'CONJ' THEN '(COORD ' || ws || ')' ELSE ws END, ' ' ORDER BY pos) || ')' AS tree FROM part GROUP BY req_no""")
 def _(t):
     return B.sentence_trees(_chunk_tagged(t), ["NP", "COORD"])
+
+
+# Training -----------------------------------------------------------------------
+
+
+def _halves(t):
+    """Tagged tokens of sentences of even and of odd documents."""
+    rows = tagged(t).select("req_no", "pos", "term", "tag", (F.split_part("req_no", F.lit(":"), F.lit(1)).cast("long") % 2).alias("half"))
+    rows = written(rows, "halves")
+    return rows.where("half = 0").drop("half"), rows.where("half = 1").drop("half")
+
+
+@query("tagger_scores")
+def _(t):
+    """How well a tagger trained on even documents tags the odd ones, by tag."""
+    learn, test = _halves(t)
+    found = R.tag(test, R.train(learn))
+    items = lambda df: df.select("tag", F.col("req_no").alias("unit"), F.concat_ws("/", F.col("pos").cast("string"), "term").alias("item"))
+    return E.set_scores(items(found), items(test), ["tag"])
+
+
+@query("trained_lemmas")
+def _(t):
+    """Lemmas of the words of odd documents by rules learned from those of even ones."""
+    learn, test = _halves(t)
+    pairs = learn.select(F.col("term").alias("surface"), L.lemma(F.col("term")).alias("lemma")).distinct()
+    return R.lemmatise(test.select("term"), R.lemma_rules(pairs))
