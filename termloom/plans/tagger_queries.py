@@ -104,9 +104,16 @@ def _(t):
     return G.repaired_verbs(rows.withColumn("tag", tag)).where("tag <> 'X'")
 
 
-@query("tagger_steps", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, '{x}')" for k, steps in G.STEPS.items() for i, x in enumerate(steps)) + ") v(language, place, step)")
+@query("tagger_steps", "SELECT lang, language, place, step, n AS documents FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) JOIN (VALUES " + ", ".join(f"('{c}', '{k}', {i}, '{x}')" for c, k in G.CHAINS.items() for i, x in enumerate(G.STEPS[k])) + ") v(code, language, place, step) ON code = lang")
 def _(t):
-    return G.steps_table(t("benchmark").sparkSession)
+    return G.steps_table(t("documents"))
+
+
+@query("process_lines", f"""WITH sent AS ({SENT}), w AS (SELECT req_no, string_split_regex(text, '[ \t\n\x0B\f\r]+') AS ws FROM sent), u AS (SELECT req_no, unnest(ws) AS line, unnest(range(0, len(ws))) AS pos FROM w)
+SELECT req_no AS id, CAST(pos AS INTEGER) AS pos, line FROM u""")
+def _(t):
+    """Each sentence through a process that prints a line for each word."""
+    return G.piped(sentence_units(t), ["sed", "-u", "s/ /\\n/g"], "text", "req_no").select("id", "pos", "line")
 
 
 def _sweep(t):

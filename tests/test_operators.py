@@ -393,3 +393,23 @@ def test_ngram_tfidf_by_definition(spark):
     assert {r.term: r.tfidf_mean for r in S.ngram_tfidf(s, v).collect()} == want
     assert want["Nachweis-Item"] is None and want["a"] is None and want["das Item das"]
     assert S.ngram_tfidf(s, v.limit(0)).count() == 0
+
+
+DYING = "import sys\nfor n, line in enumerate(sys.stdin):\n    print(line.strip().upper(), flush=True)\n    if n == {0}: sys.exit({1})"
+SLOW = "import sys, time\nfor line in sys.stdin:\n    time.sleep(0.01)\n    print(line.strip().upper(), flush=True)"
+
+
+def test_processes_that_die_or_are_slow(spark):
+    import sys
+
+    texts = [(i, f"satz {i}" if i % 7 else "") for i in range(120)]
+    df = spark.createDataFrame(texts, "k int, sentence string").repartition(2)
+    want = sorted((str(i), 0, s.upper()) for i, s in texts if s)
+    ask = lambda code, window: sorted((r.id, r.pos, r.line) for r in G.piped(df, [sys.executable, "-c", code], id_col="k", window=window).collect())
+    # Answers a few sentences and dies, again and again; also in the midst of one.
+    for code in (DYING.format(7, 1), DYING.format(8, 1), DYING.format(9, 0), SLOW):
+        assert ask(code, 3) == want
+    for window in (2, 1000):  # answers nothing before its input ends
+        assert sorted((r.id, r.line) for r in G.piped(df, ["tr", "a-z", "A-Z"], id_col="k", window=window).collect()) == [(i, s) for i, _, s in want]
+    with pytest.raises(Exception, match="unanswered"):
+        ask(DYING.format(0, 1), 3)
