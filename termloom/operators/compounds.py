@@ -58,7 +58,9 @@ def scored_cuts(words: DataFrame, grams: DataFrame, word: str = "word", least: i
     start = F.max_by(F.when(F.col("after"), F.col("begins") / others), F.when(F.col("after"), F.col("n")))
     end = F.max_by(F.when(~F.col("after"), F.col("ends") / others), F.when(~F.col("after"), F.col("n")))
     best = known.groupBy("word", "k").agg(start.alias("start"), end.alias("end"))
-    return best.select("word", "k", (F.coalesce(2 * F.col("start") - 1, F.lit(NO_START)) + F.coalesce("end", F.lit(NO_END))).alias("score"))
+    # Rounded, so that fractions that cancel give 0.0 and not almost, or minus, zero.
+    score = F.coalesce(2 * F.col("start") - 1, F.lit(NO_START)) + F.coalesce("end", F.lit(NO_END))
+    return best.select("word", "k", (F.round(score, 9) + F.lit(0.0)).alias("score"))
 
 
 def best_cuts(words: DataFrame, grams: DataFrame, **options) -> DataFrame:

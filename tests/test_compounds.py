@@ -33,7 +33,7 @@ def brute_cut(word, grams, least=14):
         end = side([w[k - n : k] for n in range(8, 2, -1) if n <= k], 2)
         if start is None and end is None:
             continue
-        score = (-2.0 if start is None else 2 * start - 1) + (-1.0 if end is None else end)
+        score = round((-2.0 if start is None else 2 * start - 1) + (-1.0 if end is None else end), 9) + 0.0
         if best is None or score > best[1]:
             best = (k, score)
     return best
