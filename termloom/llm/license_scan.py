@@ -21,8 +21,11 @@ the licence is no unit of its own.
 Templates are a fixed list, or a table of (license, text) whose size is checked
 before it is broadcast.  The fixed list has notices, the full texts below
 ``licenses``, and the paragraphs of these that no other licence shares.
-Templates of more than ``WINDOW`` bigrams are compared with whole texts only;
-the paragraphs find their parts.
+Templates of any length are searched in windows.  For a text that holds enough
+bigrams of one this takes as many steps as there are pairs of a start and an end
+inside a window, some 20 million for a licence of 3,000 bigrams; full texts of
+more than ``LONG`` bigrams are therefore compared with whole texts first, and what
+they match is not searched again.
 
 Defined cases: a null text, or one without two words in a line, matches
 nothing.  Repeated rows are reported alike.  Of equal scores all licences are
@@ -40,8 +43,8 @@ from pyspark.sql import functions as F
 from termloom.llm._store import small, stored
 
 DICE = 0.8
-#: Templates of more distinct bigrams are not searched for in windows.
-WINDOW = 400
+#: Full texts of more distinct bigrams are compared with whole texts and lines too.
+LONG = 400
 #: Fewest distinct bigrams of a paragraph that is a template of its own.
 PARAGRAPH = 20
 # Public licence notices and short licence texts.
@@ -105,7 +108,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def _unit_templates(spark: SparkSession) -> DataFrame:
     """The templates of whole texts and lines."""
-    return spark.createDataFrame(TEMPLATES + [x for x in full_texts() if len(_plain_grams(x[1])) > WINDOW], "license string, text string")
+    return spark.createDataFrame(TEMPLATES + [x for x in full_texts() if len(_plain_grams(x[1])) > LONG], "license string, text string")
 
 
 def _window_templates(spark: SparkSession) -> DataFrame:
@@ -164,7 +167,7 @@ def _anchors(held: DataFrame) -> list[str]:
 def passages(docs: DataFrame, found: DataFrame, bank: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE) -> DataFrame:
     """(rid, license, lo, hi, dice, new): passages of bigrams ``lo`` to ``hi``; ``new`` if no matching line of ``found`` overlaps."""
     need, most = F.ceil(F.col("m") * (dice / (2 - dice)) - 1e-9).cast("int"), F.floor(F.col("long") * ((2 - dice) / dice) + 1e-9).cast("int")
-    held = stored(_numbered(_window_templates(docs.sparkSession) if bank is None else bank).where(F.col("m") <= WINDOW).select("*", need.alias("need"), most.alias("most")), "window-templates")
+    held = stored(_numbered(_window_templates(docs.sparkSession) if bank is None else bank).select("*", need.alias("need"), most.alias("most")), "window-templates")
     grams_of = small(held.select("tid", "license", "need", F.explode("tgrams").alias("gram")))
     texts = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     # Texts with an anchor and enough distinct bigrams of a template.

@@ -277,3 +277,37 @@ def test_sql_of_null_and_repeated_ids(spark):
     count = lambda got: collections.Counter(tuple(None if v != v else v for v in r) for r in got)
     for operator, sql, cols in ((line_dedup.op6_line_dedup, line_dedup.OP6_SQL, ["doc_id", "n_lines", "n_dropped", "kept_sha256"]), (ngram_join.op9_ngram_join, ngram_join.OP9_SQL, ["doc_id", "n_shingles", "component_id"])):
         assert count(operator(df).select(cols).collect()) == count(con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
+
+
+def test_long_licences_inside_longer_texts(spark):
+    from termloom.llm import license_scan
+
+    rng = random.Random(12)
+    some = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    long = rng.choices(some, k=600)
+    bank = spark.createDataFrame([("long", " ".join(long)), ("half", " ".join(long[:300]))], "license string, text string")
+    prose = lambda n: " ".join("".join(rng.choices("klmnop", k=4)) for _ in range(n))
+    changed = [w if k % 29 else "xyz" for k, w in enumerate(long)]
+    texts = [f"{prose(300)} {' '.join(long)} {prose(500)}", f"{prose(900)}\n{' '.join(changed[:250])}\n{' '.join(changed[250:])} {prose(3)}", prose(2000), " ".join(long[:380]) + " " + prose(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = license_scan.matches(docs, bank)
+    got = {}
+    for r in license_scan.passages(docs, none, bank).join(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid")), "rid").collect():
+        got[r.doc_id, r.license] = max(round(r.dice, 6), got.get((r.doc_id, r.license), 0))
+
+    def best(text, template):
+        pairs = lambda ws: list(zip(ws, ws[1:]))
+        t, p = set(pairs(template)), pairs(text.split())
+        at = [k for k, g in enumerate(p) if g in t]
+        top = 0.0
+        for a in at:
+            seen, c = set(), 0
+            for k in range(a, min(len(p), a + int(len(t) * 1.5) + 60)):
+                if p[k] not in seen:
+                    seen.add(p[k])
+                    c += p[k] in t
+                top = max(top, 2 * c / (len(seen) + len(t)))
+        return round(top, 6)
+
+    want = {(i, name): b for i, x in enumerate(texts) for name, ws in (("long", long), ("half", long[:300])) if (b := best(x, ws)) >= license_scan.DICE}
+    assert got == want and want[0, "long"] == 1.0 and (1, "long") in want
