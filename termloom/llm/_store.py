@@ -60,10 +60,25 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have every executor collect its garbage, so that its heap shrinks to what is in use.
+
+    A heap grows to its limit under one heavy stage and keeps that size, while
+    the Python workers of the next stage need the memory.  Each task of a small
+    job calls the collector of its own executor.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
+#: Bytes of a row group, which a writing task holds in memory.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it back with its schema."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._termloom_path = path
     return out

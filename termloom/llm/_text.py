@@ -166,9 +166,10 @@ def release() -> None:
         trim(0)
 
 
-#: Bytes of rows that are sent to a worker at a time, a single longer row aside.
-BATCH = 4 << 20
+#: Bytes of rows that are sent to a worker at a time, a single longer row aside, and rows that a reader decodes at a time.
+BATCH, READ_ROWS = 4 << 20, 512
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -176,8 +177,11 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     Lowers the session's limit of the bytes of a batch to ``BATCH``, if it is
     higher: with the usual 10,000 rows, long texts would fill both sides' memory.
+    Readers decode ``READ_ROWS`` rows at a time for the same reason.
     """
     conf = df.sparkSession.conf
+    if int(conf.get(_READ)) > READ_ROWS:
+        conf.set(_READ, str(READ_ROWS))
     if not 0 < int(str(conf.get(_LIMIT)).rstrip("bB")) <= BATCH:
         conf.set(_LIMIT, str(BATCH))
 

@@ -51,7 +51,7 @@ from termloom.llm._store import forget, stored
 U64 = np.uint64
 END = "</w>"
 #: Words of a generation of a worker's memory; it keeps two.
-CACHE = 60_000
+CACHE = 30_000
 #: Characters of text handled at a time.
 PART = 512 << 10
 #: Longer words, and fewer words of one length, are walked one at a time, in plain Python.
