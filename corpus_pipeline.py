@@ -19,34 +19,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe_automaton, decontam, langid, line_dedup, ngram_join
-from termloom.llm._store import forget, stored
+from termloom.llm._store import forget, give_back, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language is rejected or undetermined."""
+    give_back(spark)
     return langid.identify(docs, langid.fit(docs)).where(~F.col("rejected")).select(COLUMNS)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines inside the texts; every document stays."""
+    give_back(spark)
     out = line_dedup.drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each class of near copies."""
+    give_back(spark)
     return ngram_join.keep_one_of_each(docs).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a passage of a benchmark item."""
+    give_back(spark)
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts and decode the ids."""
+    give_back(spark)
     out = bpe_automaton.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False, digest=True, with_decoded=False)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
