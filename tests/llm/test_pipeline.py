@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, con, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), con.execute(ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    table = lambda df: sorted(repr([None if v is None or v != v or v is pd.NA else int(v) if isinstance(v, float) and v == int(v) else v for v in r]) for r in df[cols].astype(object).values.tolist())
+    table = lambda df: sorted(repr([None if pd.isna(v) is True else int(v) if isinstance(v, float) and v == int(v) else v for v in r]) for r in df[cols].astype(object).values.tolist())
     assert table(got) == table(want)
 
 
