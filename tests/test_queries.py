@@ -45,6 +45,14 @@ def test_frequency_rank_has_all_terms(spark):
     assert ordered == [(r.term, r.abs_freq, r.words) for r in QUERIES["frequency_order"](spark, DATA).collect()]
 
 
+def _plan(spark, name):
+    return QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_article_strip_moves_no_tokens(spark):
+    assert "collect_list" not in _plan(spark, "article_strip")
+
+
 def test_annotators_of_arrays(spark):
     """Arrays of tokens are compared as rows of tokens are; a gap between places parts a chunk."""
     from pyspark.sql import functions as F
