@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -49,6 +50,12 @@ def _plan(spark, name):
     return QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["tfidf_mean", "document_frequency"])
+def test_pairs_of_texts_and_terms_are_counted_in_place(spark, name):
+    """Texts are moved, not their pairs with terms."""
+    assert not re.search(r"hashpartitioning\((req_no#\d+L?, term#\d+|term#\d+, req_no#\d+L?)", _plan(spark, name))
+
+
 def test_article_strip_moves_no_tokens(spark):
     assert "collect_list" not in _plan(spark, "article_strip")
 
