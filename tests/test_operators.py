@@ -238,6 +238,30 @@ def test_tagger_steps(spark):
     assert rows(G.repaired_verbs(verbs), "pos", "tag") == [(0, "VMFIN"), (1, "VVINF"), (2, "$.")]
 
 
+def test_branches_of_tokens_are_counted_at_once(spark):
+    """Both lists are met by lemma, in one shuffle of counts; equal lemmas of a requirement are one row."""
+    from termloom.plans import statistics as Z
+
+    data = [(1, "Haus"), (1, "haus"), (1, "ABC"), (1, "laden"), (1, "laden"), (2, "ordnen"), (2, "muss"), (2, "Kfz"), (2, "the"), (2, "nutzbar")]
+    t = spark.createDataFrame(data, "req_no int, term string")
+    words = lambda *ws: spark.createDataFrame([(w,) for w in ws], "w string")
+    out = Z.token_counts(t, words("Haus", "laden", "ordnen", "muss", "the", "nutzbar"), words("kfz"), ["the"], ["ordnen"])
+    assert rows(out, "branch", "req_no", "term", "tf") == sorted([
+        ("token", 1, "hau", 1), ("abbreviation", 1, "haus", 1), ("abbreviation", 1, "ABC", 1), ("token", 1, "laden", 2), ("VERB", 1, "laden", 1), ("process VERB", 1, "laden", 1),
+        ("token", 2, "ordnen", 1), ("token", 2, "mus", 1), ("token", 2, "kfz", 1), ("token", 2, "nutzbar", 1), ("ADJ", 2, "nutzbar", 1),
+    ])
+    assert Z.token_counts(t.limit(0), words(), words(), []).count() == 0
+
+
+def test_chunks_inside_a_row(spark):
+    t = reqs(spark, "die Steuerung der Anlage mit laden und 1 Motor", "laden", "")
+    items = K.packed(t, tag=L.pos_tag)
+    assert items.count() == 2
+    found = [list(r.c) for r in items.select("req_no", K.noun_chunks(F.col("items")).alias("c")).orderBy("req_no").collect()]
+    flat = K.noun_runs(K.annotate(K.candidates(t)))
+    assert found == [[r.chunk for r in flat.orderBy("pos").collect()], []]
+
+
 def test_piped(spark):
     df = spark.createDataFrame([(1, "b\ta"), (2, "c"), (3, ""), (4, None), (5, "d e")], "k int, sentence string").repartition(1).sortWithinPartitions("k")
     got = [(r.id, r.pos, r.fields) for r in G.piped(df, ["tr", " ", "\n"], id_col="k").collect()]
