@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from termloom.operators.transducer import in_order
+
 #: Bytes of patterns in a shard, and the length from which a pattern is looked up by itself.
 SHARD_BYTES, LONG_PATTERN = 1 << 18, 1 << 12
 #: Lanes that a batch is cut into.
@@ -190,7 +192,7 @@ def longest_unit(trie: dict, words: list[str], start: int) -> tuple[int, str | N
 
 
 def unit_matches(tokens: DataFrame, units: DataFrame) -> DataFrame:
-    """(req_no, pos, n, unit, tags): the longest unit at every place of each sequence (req_no, pos, term).
+    """(req_no, pos, n, unit, tags): the longest unit at every place of each sequence (req_no, pos, term), or of arrays (req_no, items).
 
     ``units`` has ``unit``, words with single blanks, and may have ``tags``.
     Units of the same first word, whatever its case, are in one shard, and so
@@ -199,7 +201,7 @@ def unit_matches(tokens: DataFrame, units: DataFrame) -> DataFrame:
     tagged = units if "tags" in units.columns else units.withColumn("tags", F.lit(None).cast("string"))
     tagged = tagged.where("unit is not null and unit like '% %'").groupBy("unit").agg(F.min("tags").alias("tags"))
     tagged = tagged.withColumn("shard", F.xxhash64(F.lower(F.substring_index("unit", " ", 1))))
-    rows = tokens.groupBy("req_no").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("ts")).select("req_no", F.col("ts.pos").alias("ps"), F.col("ts.term").alias("ws"))
+    rows = in_order(tokens, "term").select("req_no", F.col("items.pos").alias("ps"), F.col("items.term").alias("ws"))
     id_type = tokens.schema["req_no"]
     schema = StructType([id_type, *StructType.fromDDL("pos int, n int, unit string, tags string").fields])
     out = tokens.select("req_no", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit("").alias("unit"), F.lit(None).cast("string").alias("tags")).where(F.lit(False))

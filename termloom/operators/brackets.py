@@ -10,10 +10,13 @@ A null label is outside; a requirement without tokens has no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.operators.transducer import Machine, classed, sequences
+from termloom.operators.transducer import Machine, in_order
 
 #: Tokens that end a sentence for chunks, and tags that end one for trees.
 PERIOD, SENTENCE_TAGS = ".", ["SENT", "$.", "FS"]
@@ -47,45 +50,70 @@ def chunk_machine(names: list[str]) -> Machine:
     return Machine(1 + many, 2 * (3 * many + 1), step)
 
 
-def chunked(tagged: DataFrame, names: list[str]) -> DataFrame:
-    """(req_no, pos, term, tag, chunk, name): the number of each token's chunk in its requirement, from 1, and its name; null outside."""
-    machine = chunk_machine(names)
+#: A mark of a token: 1 + the name of the chunk it opens, of the one it closes, and whether it is inside.
+_OPENS, _CLOSES, _IN = 1, 1 << 8, 1 << 16
+
+
+def _marks(names: list[str]) -> Callable:
+    """Marks of all tokens from their classes and the machine's outputs."""
+
+    def run(flat: np.ndarray, out: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        after = np.append(out[1:], _OUTSIDE)
+        after[offs[1:][np.diff(offs) > 0] - 1] = _OUTSIDE
+        begin = np.flatnonzero(out == _BEGINS)
+        # A chunk has no gaps, so beginnings and ends alternate.
+        end = np.flatnonzero((out != _OUTSIDE) & ((after == _OUTSIDE) | (after == _BEGINS)))
+        name = flat[begin] // 6 + 1
+        name[out[end] == _WIDENED] = names.index(WIDER) + 1 if WIDER in names else 0
+        marks = (out != _OUTSIDE).astype(np.int32) * _IN
+        marks[begin] += _OPENS * name
+        marks[end] += _CLOSES * name
+        return marks
+
+    return run
+
+
+def _marked(tagged: DataFrame, names: list[str]) -> DataFrame:
+    """(req_no, items): tokens of a requirement in order, with ``inside`` and the names of the chunk that each ``opens`` and ``closes``.
+
+    ``tagged`` has rows of tokens, or ``items``, arrays of whole requirements, which stay where they are.
+    """
     labels = [f"{place}-{name}" for name in names for place in "BIE"]
     label = lambda x: F.coalesce(F.array_position(F.array(*map(F.lit, labels)), x["chunk_tag"]), F.lit(0)).cast("int")
     kind = lambda x: 2 * F.when(label(x) > 0, label(x) - 1).otherwise(len(labels)) + (x["term"] == PERIOD).cast("int")
-    seq = sequences(tagged.select("req_no", "pos", "term", "tag", "chunk_tag"), "term", "tag", "chunk_tag")
-    run = seq.select("req_no", "items", machine.outputs(F.transform("items", kind)).alias("o"))
-    rows = run.select("req_no", F.explode(F.arrays_zip("items", "o")).alias("z")).select("req_no", "z.items.*", "z.o")
-    order = Window.partitionBy("req_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumn("chunk", F.when(F.col("o") > 0, F.sum((F.col("o") == _BEGINS).cast("int")).over(order)))
-    whole = Window.partitionBy("req_no", "chunk")
-    wide, first = F.max("o").over(whole) == _WIDENED, F.max(F.when(F.col("o") == _BEGINS, F.substring("chunk_tag", 3, 100))).over(whole)
-    return numbered.withColumn("name", F.when(F.col("chunk").isNotNull(), F.when(wide, WIDER).otherwise(first))).drop("o", "chunk_tag")
+    seq = in_order(tagged, "term", "tag", "chunk_tag")
+    run = seq.select("req_no", "items", chunk_machine(names).outputs(F.transform("items", kind), _marks(names)).alias("o"))
+    named = lambda o, shift: F.get(F.array(*map(F.lit, names)), F.shiftright(o, shift).bitwiseAND(255) - 1)
+    item = lambda x, o: F.struct(x["pos"].alias("pos"), x["term"].alias("term"), x["tag"].alias("tag"), (o >= _IN).alias("inside"), named(o, 0).alias("opens"), named(o, 8).alias("closes"))
+    return run.select("req_no", F.zip_with("items", "o", item).alias("items"))
 
 
-def _edges(rows: DataFrame) -> DataFrame:
-    whole = Window.partitionBy("req_no", "chunk")
-    inside = F.col("chunk").isNotNull()
-    return rows.withColumn("opens", inside & (F.col("pos") == F.min("pos").over(whole))).withColumn("closes", inside & (F.col("pos") == F.max("pos").over(whole)))
+def chunked(tagged: DataFrame, names: list[str]) -> DataFrame:
+    """(req_no, pos, term, tag, chunk, name): the number of each token's chunk in its requirement, from 1, and its name; null outside."""
+    rows = _marked(tagged, names).select("req_no", F.inline("items"))
+    order = Window.partitionBy("req_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    chunk, name = F.count("opens").over(order), F.last("opens", True).over(order)
+    return rows.select("req_no", "pos", "term", "tag", *[F.when(F.col("inside"), c).alias(n) for n, c in (("chunk", chunk), ("name", name))])
 
 
 def sentence_trees(tagged: DataFrame, names: list[str]) -> DataFrame:
-    """(req_no, tree): words with tags in brackets inside chunks inside sentences; several sentences have one root."""
-    rows = _edges(chunked(tagged, names))
-    leaf = F.concat(F.when(F.col("opens"), F.concat(F.lit("("), "name", F.lit(" "))).otherwise(""), F.lit("("), "term", F.lit(" "), "tag", F.lit(")"), F.when(F.col("closes"), ")").otherwise(""))
-    w = Window.partitionBy("req_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("leaf", leaf).withColumn("s", F.coalesce(F.sum(F.col("tag").isin(SENTENCE_TAGS).cast("int")).over(w), F.lit(0)))
-    text = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), " ")
-    one = numbered.groupBy("req_no", "s").agg(text("pos", "leaf").alias("leaves")).withColumn("node", F.concat(F.lit("(S "), "leaves", F.lit(")")))
-    every = one.groupBy("req_no").agg(text("s", "node").alias("nodes"), F.count("*").alias("n"))
-    return every.select("req_no", F.when(F.col("n") > 1, F.concat(F.lit("(ROOT "), "nodes", F.lit(")"))).otherwise(F.col("nodes")).alias("tree"))
+    """(req_no, tree): words with tags in brackets inside chunks inside sentences; several sentences have one root.
+
+    Trees are made inside the row of a requirement; terms and tags hold no NUL.
+    """
+    leaf = lambda x: F.concat(
+        F.coalesce(F.concat(F.lit("("), x["opens"], F.lit(" ")), F.lit("")), F.lit("("), x["term"], F.lit(" "), x["tag"], F.lit(")"), F.when(x["closes"].isNotNull(), ")").otherwise(""), F.when(x["tag"].isin(SENTENCE_TAGS), "\x00").otherwise("")
+    )
+    joined = F.array_join(F.transform("items", leaf), " ")
+    rows = _marked(tagged, names).select("req_no", F.regexp_replace(joined, "\x00$", "").alias("leaves"))
+    node = F.concat(F.lit("(S "), F.replace("leaves", F.lit("\x00 "), F.lit(") (S ")), F.lit(")"))
+    return rows.select("req_no", F.when(F.contains("leaves", F.lit("\x00")), F.concat(F.lit("(ROOT "), node, F.lit(")"))).otherwise(node).alias("tree"))
 
 
 def chunk_lines(tagged: DataFrame, names: list[str]) -> DataFrame:
     """(req_no, lines): tokens in order with ``<X>`` before and ``</X>`` after each chunk."""
-    rows = _edges(chunked(tagged, names))
-    some = F.filter(F.array(F.when(F.col("opens"), F.concat(F.lit("<"), "name", F.lit(">"))), F.col("term"), F.when(F.col("closes"), F.concat(F.lit("</"), "name", F.lit(">")))), lambda x: x.isNotNull())
-    return rows.groupBy("req_no").agg(F.array_sort(F.collect_list(F.struct("pos", some.alias("lines")))).alias("parts")).select("req_no", F.flatten(F.col("parts.lines")).alias("lines"))
+    some = lambda x: F.array_compact(F.array(F.concat(F.lit("<"), x["opens"], F.lit(">")), x["term"], F.concat(F.lit("</"), x["closes"], F.lit(">"))))
+    return _marked(tagged, names).select("req_no", F.flatten(F.transform("items", some)).alias("lines"))
 
 
 # One character for each mark that matters, so that what lies between is a class of characters.

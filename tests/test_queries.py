@@ -56,7 +56,7 @@ def test_pairs_of_texts_and_terms_are_counted_in_place(spark, name):
     assert not re.search(r"hashpartitioning\((req_no#\d+L?, term#\d+|term#\d+, req_no#\d+L?)", _plan(spark, name))
 
 
-@pytest.mark.parametrize("name", ["chunk_terms", "candidate_branches", "ngram_tfidf"])
+@pytest.mark.parametrize("name", ["chunk_terms", "candidate_branches", "ngram_tfidf", "chunk_lines", "coordinated_phrases", "sentence_trees", "chunk_brackets"])
 def test_tokens_are_not_gathered_in_sentences(spark, name):
     """Chunks and runs of words are made inside the row of a text; no token is moved for that."""
     plan = _plan(spark, name)
