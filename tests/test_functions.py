@@ -73,3 +73,10 @@ def test_tags(spark):
     tags = {w: one(spark, w, L.pos_tag) for w in ["der", "mit", "und", "Anlage", "lenkung", "möglich", "laden", "xyz"]}
     assert tags == {"der": "DET", "mit": "ADP", "und": "CONJ", "Anlage": "NOUN", "lenkung": "NOUN", "möglich": "ADJ", "laden": "VERB", "xyz": "X"}
     assert one(spark, "sachlich", L.pos_tag) == "ADJ"
+
+
+def test_ngrams_read_words_in_place(spark):
+    """No slice is made for each n-gram; nulls are skipped, short arrays give none."""
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", None, "c"],), (["a", "b"],), ([],), (None,)], "ws array<string>").select(T.ngrams(F.col("ws"), 3).alias("g"))
+    assert [r.g for r in df.collect()] == [["a b c", "b c d"], ["a c"], [], [], []]
+    assert df._jdf.queryExecution().executedPlan().toString().count("array_join") == 0
