@@ -63,6 +63,10 @@ def test_tokens_are_not_gathered_in_sentences(spark, name):
     assert "collect_list" not in plan and "left_anti" not in plan.lower().replace("leftanti", "left_anti")
 
 
+def test_first_words_are_not_cut_for_each_ending(spark):
+    assert _plan(spark, "adposition_terms").count("split_part") == 0
+
+
 def test_article_strip_moves_no_tokens(spark):
     assert "collect_list" not in _plan(spark, "article_strip")
 
