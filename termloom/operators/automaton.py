@@ -24,6 +24,8 @@ from termloom.operators.transducer import in_order
 
 #: Bytes of patterns in a shard, and the length from which a pattern is looked up by itself.
 SHARD_BYTES, LONG_PATTERN = 1 << 18, 1 << 12
+#: Bytes of texts that are read at a time; a longer text is read alone.
+PIECE_BYTES = 4 << 20
 #: Lanes that a batch is cut into.
 LANES = 4096
 
@@ -77,7 +79,9 @@ class Automaton:
         # Class 0 between rows leads back to the beginning.
         read = np.zeros(len(raw) + rows, self.classes.dtype)
         begin = offs[:-1] + np.arange(rows)
-        read[np.arange(len(raw)) + np.repeat(np.arange(rows), np.diff(offs))] = self.classes[raw]
+        inside = np.ones(len(read), bool)
+        inside[offs[1:] + np.arange(rows)] = False
+        read[inside] = self.classes[raw]
         if not len(read):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         early = self.longest - 1
@@ -150,10 +154,14 @@ def hits(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str
             names = pa.array(words, pa.string())
             for batch in batches:
                 raw, offs = _buffers(batch.column(len(keep)))
-                row, which = machine.occurrences(raw, offs)
-                pair = np.unique(row * len(words) + which)
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(pair // len(words))) for k in range(len(keep))), names.take(pa.array(pair % len(words)))], [*keep, "pattern"])
+                lo = 0
+                while lo < len(batch):
+                    hi = max(int(np.searchsorted(offs, offs[lo] + PIECE_BYTES, "right")) - 1, lo + 1)
+                    row, which = machine.occurrences(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                    pair = np.unique((row + lo) * len(words) + which)
+                    if len(pair):
+                        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(pair // len(words))) for k in range(len(keep))), names.take(pa.array(pair % len(words)))], [*keep, "pattern"])
+                    lo = hi
 
         out = out.unionByName(given.mapInArrow(run, schema))
     return out

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -73,3 +74,20 @@ def test_units(spark, monkeypatch, size):
         got.setdefault(r.req_no, []).append((r.pos, r.n, r.unit, r.tags))
     assert got == {i: found for i, ws in sentences.items() if (found := brute_units(ws, {k: v for k, v in units.items() if " " in k}))}
     assert G.multiword_units(t, u.limit(0)).count() == 0 == G.multiword_units(t.limit(0), u).count()
+
+
+def test_texts_are_read_in_pieces(spark, monkeypatch):
+    """What a batch takes is bounded by a piece, and a piece by few times its bytes."""
+    import tracemalloc
+
+    raw = np.frombuffer(b"abcab cabc " * 200_000, np.uint8)
+    tracemalloc.start()
+    A.Automaton([b"zz", b"bz"]).occurrences(raw, np.arange(0, len(raw) + 1, 11))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(raw)
+    texts = [(i, "ab" * (i % 7) + "c" * (i % 3)) for i in range(60)] + [(60, None), (61, "")]
+    df, pats = spark.createDataFrame(texts, "i int, text string").coalesce(1), spark.createDataFrame([("ba",), ("bc",), ("c",)], "pattern string")
+    monkeypatch.setattr(A, "PIECE_BYTES", 9)
+    got = sorted((r.i, r.pattern) for r in A.hits(df, pats, keep=["i"]).collect())
+    assert got == sorted((i, p) for i, t in texts for p in ("ba", "bc", "c") if t and p in t)
