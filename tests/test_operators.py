@@ -262,6 +262,14 @@ def test_chunks_inside_a_row(spark):
     assert found == [[r.chunk for r in flat.orderBy("pos").collect()], []]
 
 
+def test_fields_of_piped_lines_are_cut_by_spark(spark):
+    df = spark.createDataFrame([("a", "x\ty\t"), ("b", "")], "k string, sentence string")
+    out = G.piped(df, ["tr", " ", "\t"], id_col="k")
+    assert [(r.id, r.line, r.fields) for r in out.collect()] == [("a", "x\ty", ["x", "y"])]
+    assert "split" not in out.select("id", "line")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "split" in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_piped(spark):
     df = spark.createDataFrame([(1, "b\ta"), (2, "c"), (3, ""), (4, None), (5, "d e")], "k int, sentence string").repartition(1).sortWithinPartitions("k")
     got = [(r.id, r.pos, r.fields) for r in G.piped(df, ["tr", " ", "\n"], id_col="k").collect()]
