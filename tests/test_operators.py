@@ -386,6 +386,27 @@ def test_cooccurrence_in_blocks(spark):
     assert rows(whole, "w1", "w2", "n_docs") == rows(cut, "w1", "w2", "n_docs") and whole.count() == 23 * 24 // 2
 
 
+def test_cosine_pairs_in_blocks(spark):
+    """Blocks of matrix products give the pairs and the rounded distances of Spark's own sums."""
+    import random
+
+    from termloom.functions import numeric as N
+
+    r = random.Random(7)
+    data = [(i, i % 2, [float(r.randint(-9, 9)) for _ in range(5)]) for i in range(60)]
+    data += [(60, 0, [0.0] * 5), (61, 0, None), (62, 0, [1.0, None, 1.0, 1.0, 1.0]), (63, 0, [1.0, 2.0]), (64, 0, []), (65, 0, [float("inf"), 1.0, 1.0, 1.0, 1.0])]
+    data += [(66, 0, [2.0, 4.0, 6.0, 8.0, 1.0]), (66, 0, [1.0, 2.0, 3.0, 4.0, 0.5]), (None, 0, [1.0] * 5), (67, None, [1.0] * 5), (68, 2, [1.0] * 5)]
+    v = spark.createDataFrame(data, "id long, g int, v array<float>")
+    x, y = v.toDF("a", "g", "x"), v.toDF("b", "g", "y")
+    expect = x.join(y, "g").where("a < b").select("a", "b", F.round(N.cosine_distance(F.col("x"), F.col("y")), 3).alias("dist"))
+    want = sorted(map(str, expect.collect()))
+    for block in (4, 2048):
+        assert sorted(map(str, O.cosine_pairs(v, "g", "id", "v", block=block, digits=3).collect())) == want
+    texts = v.select(F.col("id").cast("string").alias("id"), "g", "v")
+    assert O.cosine_pairs(texts, "g", "id", "v", block=9).where("a >= b").count() == 0
+    assert O.cosine_pairs(texts, "g", "id", "v", block=9).count() == len(want) and O.cosine_pairs(v.limit(0), "g", "id", "v").count() == 0
+
+
 def test_matrix_refuses_a_pair_given_twice(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "i string, j string, d long")
     assert rows(E.matrix(df, ["x", "y"]), "i", "x", "y") == [("a", 1, 0), ("b", 0, 2)]
