@@ -407,6 +407,26 @@ def test_cosine_pairs_in_blocks(spark):
     assert O.cosine_pairs(texts, "g", "id", "v", block=9).count() == len(want) and O.cosine_pairs(v.limit(0), "g", "id", "v").count() == 0
 
 
+def test_cooccurrence_counts_pairs_where_words_meet(spark, monkeypatch):
+    """Frequent words apart, several portions of a task merged, and by brute force the same."""
+    import collections
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    units = {u: sorted({"a", *(f"w{r.randint(0, 30)}" for _ in range(r.randint(0, 12)))}) for u in range(80)}
+    want = collections.Counter((x, y) for ws in units.values() for i, x in enumerate(ws) for y in ws[i:])
+    monkeypatch.setattr(O, "OFTEN", 0)
+    words = spark.createDataFrame([(u, w) for u, ws in units.items() for w in ws] + [(0, None)], "unit int, word string")
+    for share in (1, 3, 1000):
+        assert rows(O.cooccurrence(words, block=4, share=share), "w1", "w2", "n_docs") == sorted((x, y, n) for (x, y), n in want.items())
+    monkeypatch.setattr(O, "TASK_PAIRS", 20)
+    batches = [pa.record_batch({"w1": ws, "rest": [ws[i:] for i in range(len(ws))]}) for ws in units.values()]
+    found = [tuple(x.values()) for b in O._pairs_counted(iter(batches)) for x in b.to_pylist()]
+    assert sorted(found) == sorted((x, y, n) for (x, y), n in want.items()) and list(O._pairs_counted(iter([]))) == []
+
+
 def test_matrix_refuses_a_pair_given_twice(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "i string, j string, d long")
     assert rows(E.matrix(df, ["x", "y"]), "i", "x", "y") == [("a", 1, 0), ("b", 0, 2)]
