@@ -51,7 +51,7 @@ from termloom.llm._store import forget, stored
 U64 = np.uint64
 END = "</w>"
 #: Words of a generation of a worker's memory; it keeps two.
-CACHE = 30_000
+CACHE = 60_000
 #: Characters of text handled at a time.
 PART = 512 << 10
 #: Longer words, and fewer words of one length, are walked one at a time, in plain Python.
@@ -249,15 +249,17 @@ class Automaton:
                 todo = todo[left]
                 if not len(todo):
                     break
-        out: list[list[int]] = []
-        for row in state.tolist():
-            at, path = length, []
-            while at:
-                path.append(row[at])
-                at -= int(self.length[row[at]])
-            path.reverse()
-            out.append(path)
-        return out
+        # All paths are followed back side by side, from the end of the word.
+        back, steps = np.empty((n, length), np.int32), np.zeros(n, np.int64)
+        at, live, k = np.full(n, length), np.arange(n), 0
+        while len(live):
+            token = state[live, at[live]]
+            back[live, k] = token
+            at[live] -= self.length[token]
+            k += 1
+            steps[live] = k
+            live = live[at[live] > 0]
+        return [row[m::-1] for row, m in zip(back[:, :k].tolist(), (steps - 1).tolist(), strict=True)]
 
     def _walk_alone(self, symbols: np.ndarray) -> list[int]:
         length, symbols = len(symbols), symbols.astype(np.int16)
@@ -337,6 +339,7 @@ class Encoder:
     def __init__(self, automaton: Automaton, library: Tokenizer):
         self.automaton = automaton
         self.splitter = Splitter(automaton.special, library)
+        self.number = [str(k) for k in range(automaton.size)]
         self.known: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
 
@@ -347,7 +350,7 @@ class Encoder:
             new = words
         again = new & self.old.keys()
         self.known.update((w, self.old[w]) for w in again)
-        label = self.automaton.label
+        label, number = self.automaton.label, self.number
         plain = []
         for w in new - again:
             if w[0] == "\n":
@@ -355,7 +358,7 @@ class Encoder:
             else:
                 plain.append(w)
         for w, path in zip(plain, self.automaton.encode_words(plain), strict=True):
-            self.known[w] = " ".join(map(str, path)), " ".join([label[k] for k in path])
+            self.known[w] = " ".join([number[k] for k in path]), " ".join([label[k] for k in path])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text: its ids and its labels, joined by spaces."""

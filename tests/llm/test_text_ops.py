@@ -76,6 +76,14 @@ def test_encoding_matches_the_library(automaton, library):
         assert labels == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_words_side_by_side_follow_the_paths_of_words_alone(automaton):
+    rng = np.random.default_rng(11)
+    for length in (1, 2, 7, 48):
+        table = rng.integers(97, 107, (60, length))
+        table[:, -1] += 256
+        assert automaton._walk(table) == [automaton._walk_alone(x) for x in table]
+
+
 def test_cache_may_be_emptied(automaton, library, monkeypatch):
     monkeypatch.setattr(bpe_automaton, "CACHE", 5)
     monkeypatch.setattr(bpe_automaton, "PART", 40)
