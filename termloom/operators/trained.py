@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from termloom.operators import evaluate as E
 from termloom.sources.scratch import written
 
 #: Longest ending that is learned, and what is added to counts of pairs of tags.
@@ -112,24 +113,53 @@ def word_scores(words: DataFrame, model: Tagger) -> DataFrame:
 
 def tag(tokens: DataFrame, model: Tagger) -> DataFrame:
     """(req_no, pos, term, tag): the most likely tags of whole sequences."""
-    given = tokens.select("req_no", "pos", "term")
+    given = tokens.select("req_no", "pos", "term", F.lit(None).cast("string").alias("gold"))
     if not model.tags:
-        return given.withColumn("tag", F.lit(None).cast("string"))
+        return given.select("req_no", "pos", "term", F.lit(None).cast("string").alias("tag"))
+    return tag_rows(given, model).select("req_no", F.explode(F.arrays_zip("pos", "term", "tag")).alias("z")).select("req_no", "z.pos", "z.term", "z.tag")
+
+
+def tag_rows(given: DataFrame, model: Tagger) -> DataFrame:
+    """(req_no, pos, term, gold, tag): arrays of the tokens (req_no, pos, term, gold) of a sequence and their most likely tags."""
     scored = given.withColumn("__w", F.coalesce("term", F.lit(""))).join(word_scores(given.select(F.coalesce("term", F.lit("")).alias("term")), model).withColumnRenamed("term", "__w"), "__w")
-    rows = scored.groupBy("req_no").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "scores"))).alias("x")).select("req_no", F.col("x.pos").alias("pos"), F.col("x.term").alias("term"), F.flatten("x.scores").alias("scores"))
-    schema = StructType([given.schema["req_no"], *StructType.fromDDL("pos array<int>, term array<string>, tag array<string>").fields])
+    item = F.struct("pos", "term", "scores", "gold")
+    rows = scored.groupBy("req_no").agg(F.array_sort(F.collect_list(item)).alias("x")).select("req_no", F.col("x.pos").alias("pos"), F.col("x.term").alias("term"), F.col("x.gold").alias("gold"), F.flatten("x.scores").alias("scores"))
+    schema = StructType([given.schema["req_no"], *StructType.fromDDL("pos array<int>, term array<string>, gold array<string>, tag array<string>").fields])
     names, first, follow = np.array(model.tags, object), model.first, model.follow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, flat = batch.column(1), batch.column(3).flatten().to_numpy().reshape(-1, len(names))
+            places, flat = batch.column(1), batch.column(4).flatten().to_numpy().reshape(-1, len(names))
             size = places.value_lengths().to_numpy()
             offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
             found = pa.array(names[best_paths(flat, offs, first, follow)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), places, batch.column(2), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), found)], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offs, pa.int32()), found)], schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
 
-    out = rows.mapInArrow(run, schema)
-    return out.select("req_no", F.explode(F.arrays_zip("pos", "term", "tag")).alias("z")).select("req_no", "z.pos", "z.term", "z.tag")
+
+def scores(test: DataFrame, model: Tagger) -> DataFrame:
+    """(tag, tp, fp, fn, precision, recall, f_score) of the model on sequences (req_no, pos, term, tag).
+
+    Found and given tags are compared inside the row of a sequence.  Only of
+    sequences that give a place twice, whose equal tokens count once, are tokens
+    compared as sets.
+    """
+    if not model.tags:
+        rows = test.groupBy("req_no").agg(F.array_sort(F.collect_list(F.struct("pos", "term", F.col("tag").alias("gold")))).alias("x")).select("req_no", "x.pos", "x.term", "x.gold", F.transform("x", lambda _: F.lit(None).cast("string")).alias("tag"))
+    else:
+        rows = tag_rows(test.withColumnRenamed("tag", "gold"), model)
+    rows = written(rows.withColumn("once", F.size("pos") == F.size(F.array_distinct("pos"))), "tagged")
+    token = lambda df: df.select("req_no", F.explode(F.arrays_zip("pos", "term", "gold", "tag")).alias("z")).select("req_no", "z.*")
+    met = token(rows.where("once")).groupBy("tag", "gold").agg(F.count("*").alias("n"))
+    same = F.coalesce(F.col("tag") == F.col("gold"), F.lit(False))
+    zero = F.lit(0).cast("long")
+    n = lambda x: F.when(x, F.col("n")).otherwise(zero)
+    counts = met.select("tag", n(same).alias("tp"), n(~same).alias("fp"), zero.alias("fn")).unionByName(met.where(~same).select(F.col("gold").alias("tag"), zero.alias("tp"), zero.alias("fp"), F.col("n").alias("fn")))
+    twice = token(rows.where("not once"))
+    items = lambda c: twice.select(F.col(c).alias("tag"), F.col("req_no").alias("unit"), F.concat_ws("/", F.col("pos").cast("string"), "term").alias("item"))
+    more = E.set_scores(items("tag"), items("gold"), ["tag"]).select("tag", "tp", "fp", "fn")
+    return E.scored(counts.unionByName(more).groupBy("tag").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), ["tag"])
 
 
 # Lemmas --------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from termloom.operators import trained as R
 
@@ -54,6 +55,18 @@ def test_held_out_accuracy(spark):
     assert {r.tag for r in R.tag(df, nothing).collect()} == {None} and R.tag(df.limit(0), model).count() == 0
 
 
+def test_scores_are_those_of_sets_of_tokens(spark):
+    """Also of a sequence given twice and of null tags; tokens of the others are not compared by a join."""
+    from termloom.operators import evaluate as E
+
+    df = frame(spark, [*sentences(40, 2), [("der", None), (None, "DET"), ("quert", "NOUN")]])
+    df = df.unionByName(df.where("req_no < 3")).unionByName(df.where("req_no = 2").withColumn("tag", F.lit("ADJ")))
+    items = lambda x: x.select("tag", F.col("req_no").alias("unit"), F.concat_ws("/", F.col("pos").cast("string"), "term").alias("item"))
+    for model in (R.train(frame(spark, sentences(30, 1))), R.train(df.limit(0))):
+        want = E.set_scores(items(R.tag(df, model)), items(df), ["tag"])
+        assert sorted(map(str, R.scores(df, model).collect())) == sorted(map(str, want.collect()))
+
+
 def test_word_scores(spark):
     rows = [[("a", "X"), ("a", "X"), ("a", "Y"), ("ba", "Y")]]
     model = R.train(frame(spark, rows))
