@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import _text
 from termloom.llm._components import components
-from termloom.llm._store import small, stored
+from termloom.llm._store import BROADCAST_ROWS, merged, small, stored
 from termloom.llm.substring_dedup import BLOOM_BITS, _in_bloom, bloom
 
 U64 = np.uint64
@@ -62,6 +62,8 @@ SIZE, PERCENT = 5, 75
 CELL_BITS, BLOCKS = 18, 16
 #: Lists are merged in full once their open pairs are at most this many for each row.
 MERGE_FACTOR = 8
+#: A further round of hubs follows only one that left at most this share of the open pairs.
+HELPED = 0.8
 #: Weight of a binary search against a step of the merge, and members of all lists that one search holds.
 PROBE_WEIGHT, SEARCH_ROWS = 0.1, 1 << 18
 #: Members of a list in one row, and members of a class in a list from which on they have rows of their own.
@@ -141,7 +143,9 @@ def _ranks(scan: DataFrame) -> np.ndarray:
             cells += np.frombuffer(x.as_py(), np.int32)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([np.minimum(cells, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    summed = first.groupBy("block", "part").applyInArrow(partial, "block int, cells binary").groupBy("block").applyInArrow(total, "block int, cells binary")
+    # 16 blocks, in 8 parts at most.
+    some = merged(first.groupBy("block", "part").applyInArrow(partial, "block int, cells binary"), 8 * BLOCKS)
+    summed = merged(some.groupBy("block").applyInArrow(total, "block int, cells binary"), BLOCKS)
     cells = np.zeros((BLOCKS, (1 << CELL_BITS) // BLOCKS))
     for r in summed.collect():
         cells[r["block"]] = np.frombuffer(r["cells"], np.int64)
@@ -196,11 +200,12 @@ def _lists(docs: DataFrame, ranks: np.ndarray, text_col: str, size: int, percent
     every = _prefixes(docs, rank, text_col, size, percent)
     shared = every.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     shared = stored(shared.where("lo <> hi").select("h", F.least("m", F.lit(2**31 - 1)).cast("int").alias("m"), "n0", "n1"), "shared-shingles")
-    bits = min(BLOOM_BITS, max(12, (16 * shared.count()).bit_length()))
+    count, rows = shared.agg(F.count("*"), F.sum(F.col("m").cast("long"))).first()
+    bits = min(BLOOM_BITS, max(12, (16 * count).bit_length()))
     known = spark.sparkContext.broadcast(bloom(shared.select(F.col("h").alias("fp")), bits))
     # The filter keeps most single shingles from the shuffle, the join the rest.
     found = _prefixes(docs, rank, text_col, size, percent, known, bits).join(shared, "h").select("h", "sig", "n", "s", "m", "n0", "n1")
-    return stored(found.dropDuplicates(["h", "sig"]), "shingle-lists")
+    return stored(merged(found.dropDuplicates(["h", "sig"]), rows or 0), "shingle-lists")
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -345,9 +350,11 @@ def _search(open_: DataFrame, large: DataFrame, heavy: int, percent: int) -> Dat
 
 def _verified(docs: DataFrame, scan: DataFrame, pairs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by binary probing of whole sets."""
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    reps = scan.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid")).join(wanted, "sig", "left_semi").select("rid")
-    reps = stored(reps, "candidates")
+    most = 2 * pairs.count()
+    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+    wanted = F.broadcast(wanted) if most <= BROADCAST_ROWS else wanted.distinct()
+    reps = scan.where("n > 0").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("rid").alias("rid")).select("rid")
+    reps = stored(merged(reps, most), "candidates")
     rows = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).join(small(reps), "rid", "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +366,9 @@ def _verified(docs: DataFrame, scan: DataFrame, pairs: DataFrame, id_col: str, t
     known = _text.mapped(rows, sets, "sig long, items binary").groupBy("sig").agg(F.first("items").alias("items"))
     left = known.select(F.col("sig").alias("a"), F.col("items").alias("x"))
     right = known.select(F.col("sig").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    # Rows of two whole sets: a task for every hundredth of what narrow rows have.
+    met = merged(pairs.select("a", "b").join(right, "b"), 50 * most)
+    both = merged(met.join(left, "a").select("a", "b", "x", "y"), 50 * most)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,22 +422,23 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     scan = _scan(docs, id_col, text_col, size)
     lists = _lists(docs, _ranks(scan), text_col, size, percent)
     rows = lists.count()
-    links, fresh, turn = None, 1, 0
+    links, fresh, turn, before = None, 1, 0, math.inf
     while True:
-        open_ = stored(_open(lists, links, percent), "open-lists")
+        open_ = stored(merged(_open(lists, links, percent), rows), "open-lists")
         if turn:
-            per = stored(open_.groupBy("h", "class").agg(F.count("*").alias("k")), "class-sizes")
-            cross = per.groupBy("h").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("x")).agg(F.sum("x")).first()[0] or 0
-            if turn >= max_hub_rounds or not fresh or cross <= merge_factor * rows:
+            per = stored(merged(open_.groupBy("h", "class").agg(F.count("*").alias("k")), rows), "class-sizes")
+            cross = merged(per.groupBy("h").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("x")), rows).agg(F.sum("x")).first()[0] or 0
+            if turn >= max_hub_rounds or not fresh or cross <= merge_factor * rows or cross > HELPED * before:
                 break
+            before = cross
         # The set in most lists leads a list; later rounds draw by hash.
         rank = F.col("s").cast("long") if turn == 0 else F.xxhash64("sig", F.lit(turn))
-        new = _verified(docs, scan, stored(_hub_pairs(open_, rank, percent), "pairs"), id_col, text_col, size, percent)
+        new = _verified(docs, scan, stored(merged(_hub_pairs(open_, rank, percent), rows), "pairs"), id_col, text_col, size, percent)
         fresh = new.count()
         links = new if links is None else links.unionByName(new)
         turn += 1
     large = per.where(F.col("k") >= OWN_ROWS).select("h", "class", F.col("class").alias("own"))
-    heavy = open_.groupBy("sig").agg(F.sum(F.col("m").cast("long")).alias("w")).agg(F.max("w")).first()[0] or 0
+    heavy = merged(open_.groupBy("sig").agg(F.sum(F.col("m").cast("long")).alias("w")), rows).agg(F.max("w")).first()[0] or 0
     links = links.unionByName(_verified(docs, scan, stored(_search(open_, large, heavy, percent), "pairs"), id_col, text_col, size, percent))
     classes = components(links).select(F.col("node").alias("sig"), "component")
     nodes = scan.where("rid is not null")

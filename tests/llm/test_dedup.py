@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import itq_dedup, line_dedup, ngram_join, substring_dedup
+from termloom.llm import _components, itq_dedup, line_dedup, ngram_join, substring_dedup
 from termloom.llm._components import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -364,3 +364,38 @@ def test_pairs_at_the_threshold_meet(spark, dim, bits):
     got = itq_dedup.near_links(df, bits=bits).agg(F.sum("n")).first()[0] / 2
     print("recall", dim, bits, got / want)
     assert 0.97 * want <= got <= want
+
+
+def test_tables_of_few_rows_are_written_by_few_tasks(spark, monkeypatch):
+    files = {}
+
+    def noted(df, name, write=ngram_join.stored):
+        out = write(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    monkeypatch.setattr(_components, "stored", noted)
+    data = list(enumerate(near_copies()))
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = ngram_join.link_classes(spark.createDataFrame(data, "doc_id long, text string")).select("id", "n_shingles", "component").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted([tuple(r) for r in got], key=key) == brute_join(data)
+    cores = spark.sparkContext.defaultParallelism
+    assert {k: n for k, n in files.items() if n > cores + 8 and k != "shared-shingles"} == {}
+
+
+def test_a_round_of_hubs_that_does_not_help_is_the_last(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(ngram_join, "_hub_pairs", lambda *a, f=ngram_join._hub_pairs: rounds.append(1) or f(*a))
+    monkeypatch.setattr(ngram_join, "HELPED", 0)
+    data = list(enumerate(near_copies()))
+    got = ngram_join.link_classes(spark.createDataFrame(data, "doc_id long, text string"), merge_factor=0).select("id", "n_shingles", "component")
+    assert sorted([tuple(r) for r in got.collect()], key=key) == brute_join(data)
+    assert len(rounds) == 2
