@@ -16,7 +16,7 @@ the shared folder and broadcast; its size depends on the vocabulary only.
 
 Encoding walks a word from left to right.  All prefixes of a word are paths
 too, so each position has one state, found by trying the labels that end there
-and looking up one bit.  Words of equal length are walked together in numpy.
+and looking up one bit.  Words of all lengths are walked together in numpy.
 Decoding emits the labels of the arcs.
 
 A text is normalised and pre-split as the tokenizer file says (NFC, lower case,
@@ -51,10 +51,10 @@ from termloom.llm._store import forget, stored
 U64 = np.uint64
 END = "</w>"
 #: Words of a generation of a worker's memory; it keeps two.
-CACHE = 60_000
+CACHE = 300_000
 #: Characters of text handled at a time.
-PART = 512 << 10
-#: Longer words, and fewer words of one length, are walked one at a time, in plain Python.
+PART = 1 << 20
+#: Longer words, and fewer words, are walked one at a time, in plain Python.
 LONG, FEW = 48, 48
 #: Texts of these characters only (Latin letters that are their own normal form
 #: and have plain lower-case forms) are split by a pattern over whole texts;
@@ -222,16 +222,18 @@ class Automaton:
             out[todo] = np.where(self.keys[near] == h[todo], self.slots[near], -1)
         return out
 
-    def _walk(self, symbols: np.ndarray) -> list[list[int]]:
-        """Tokenizations of words of one length, given as an n x length table of symbols."""
+    def _walk(self, symbols: np.ndarray, lengths: np.ndarray | None = None) -> list[list[int]]:
+        """Tokenizations of words, given as rows of a table of symbols; the longest come first."""
         n, length = symbols.shape
+        lengths = np.full(n, length) if lengths is None else lengths
+        reach = np.searchsorted(-lengths, -np.arange(length + 1), "right")
         values = _SYMBOLS[symbols] * _poly.powers[:length]
         prefix = np.zeros((n, length + 1), U64)
         np.cumsum(values, axis=1, out=prefix[:, 1:])
         state = np.full((n, length + 1), -1, np.int32)
         state[:, 0] = self.size
         for end in range(1, length + 1):
-            todo = np.arange(n)
+            todo = np.arange(reach[end])
             # Just one label fits; short ones are the likely ones.
             for size in range(1, min(end, self.longest) + 1):
                 begin = end - size
@@ -251,7 +253,7 @@ class Automaton:
                     break
         # All paths are followed back side by side, from the end of the word.
         back, steps = np.empty((n, length), np.int32), np.zeros(n, np.int64)
-        at, live, k = np.full(n, length), np.arange(n), 0
+        at, live, k = lengths.copy(), np.arange(n), 0
         while len(live):
             token = state[live, at[live]]
             back[live, k] = token
@@ -281,17 +283,21 @@ class Automaton:
         """Tokens of each pre-split, normalised word."""
         data = [w.encode("utf-8") for w in words]
         out: list[list[int]] = [[]] * len(words)
-        by: dict[int, list[int]] = {}
-        for k, d in enumerate(data):
-            by.setdefault(len(d), []).append(k)
-        for length, rows in by.items():
-            for lo in range(0, len(rows), 8192):
-                part = rows[lo : lo + 8192]
-                table = np.frombuffer(b"".join(data[k] for k in part), np.uint8).reshape(len(part), length).astype(np.int64)
-                table[:, -1] += 256
-                found = self._walk(table) if length <= LONG and len(part) >= FEW else [self._walk_alone(t) for t in table]
-                for k, path in zip(part, found, strict=True):
-                    out[k] = path
+        size = np.array([len(d) for d in data], np.int64)
+        order = np.argsort(-size, kind="stable")
+        alone = int(np.count_nonzero(size > LONG)) if len(data) >= FEW else len(data)
+        for k in order[:alone].tolist():
+            symbols = np.frombuffer(data[k], np.uint8).astype(np.int64)
+            symbols[-1] += 256
+            out[k] = self._walk_alone(symbols)
+        for lo in range(alone, len(data), 8192):
+            part = order[lo : lo + 8192]
+            lengths = size[part]
+            table = np.zeros((len(part), lengths[0]), np.int64)
+            table[np.arange(lengths[0]) < lengths[:, None]] = np.frombuffer(b"".join([data[k] for k in part.tolist()]), np.uint8)
+            table[np.arange(len(part)), lengths - 1] += 256
+            for k, path in zip(part.tolist(), self._walk(table, lengths), strict=True):
+                out[k] = path
         return out
 
     def decode(self, ids) -> str:
@@ -340,25 +346,30 @@ class Encoder:
         self.automaton = automaton
         self.splitter = Splitter(automaton.special, library)
         self.number = [str(k) for k in range(automaton.size)]
-        self.known: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        #: The labels of the words of both, in the same way.
+        self.known_labels: dict[str, str] = {}
+        self.old_labels: dict[str, str] = {}
 
     def _learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.old, self.known = self.known, {}
+            self.old_labels, self.known_labels = self.known_labels, {}
             new = words
         again = new & self.old.keys()
-        self.known.update((w, self.old[w]) for w in again)
+        for known, old in ((self.known, self.old), (self.known_labels, self.old_labels)):
+            known.update([(w, old[w]) for w in again])
         label, number = self.automaton.label, self.number
         plain = []
         for w in new - again:
             if w[0] == "\n":
-                self.known[w] = str(self.automaton.special[w[1:]]), w[1:]
+                self.known[w], self.known_labels[w] = str(self.automaton.special[w[1:]]), w[1:]
             else:
                 plain.append(w)
         for w, path in zip(plain, self.automaton.encode_words(plain), strict=True):
-            self.known[w] = " ".join([number[k] for k in path]), " ".join([label[k] for k in path])
+            self.known[w], self.known_labels[w] = " ".join([number[k] for k in path]), " ".join([label[k] for k in path])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text: its ids and its labels, joined by spaces."""
@@ -370,10 +381,9 @@ class Encoder:
                 size += len(texts[lo] or "")
                 lo += 1
             self._learn(set().union(*part))
-            known = self.known
+            numbers, labels = self.known.__getitem__, self.known_labels.__getitem__
             for words in part:
-                found = [known[w] for w in words]
-                yield " ".join([x for x, _ in found]), " ".join([x for _, x in found])
+                yield " ".join(map(numbers, words)), " ".join(map(labels, words))
 
 
 def read_tokenizer(path: str) -> Automaton:

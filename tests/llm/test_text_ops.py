@@ -84,6 +84,17 @@ def test_words_side_by_side_follow_the_paths_of_words_alone(automaton):
         assert automaton._walk(table) == [automaton._walk_alone(x) for x in table]
 
 
+def test_words_of_all_lengths_are_walked_at_once(automaton, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(1, 60, 300)]
+    tables = []
+    monkeypatch.setattr(automaton, "_walk", lambda *a, f=automaton._walk: tables.append(1) or f(*a))
+    together = automaton.encode_words(words)
+    assert len(tables) == 1
+    monkeypatch.setattr(bpe_automaton, "FEW", 1000)
+    assert together == automaton.encode_words(words)
+
+
 def test_cache_may_be_emptied(automaton, library, monkeypatch):
     monkeypatch.setattr(bpe_automaton, "CACHE", 5)
     monkeypatch.setattr(bpe_automaton, "PART", 40)
