@@ -427,6 +427,24 @@ def test_cooccurrence_counts_pairs_where_words_meet(spark, monkeypatch):
     assert sorted(found) == sorted((x, y, n) for (x, y), n in want.items()) and list(O._pairs_counted(iter([]))) == []
 
 
+def test_cooccurrence_moves_no_pair(spark, monkeypatch):
+    """Words of whole units are counted in passes over the units, without a shuffle; several passes and portions change nothing."""
+    import collections
+    import random
+
+    r = random.Random(5)
+    units = {u: sorted({f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 15))}) for u in range(90)}
+    want = sorted((x, y, n) for (x, y), n in collections.Counter((x, y) for ws in units.values() for i, x in enumerate(ws) for y in ws[i:]).items())
+    whole = spark.createDataFrame(list(units.items()), "unit int, ws array<string>")
+    monkeypatch.setattr(O, "TASK_PAIRS", 100)
+    pairs = O.cooccurrence(whole, block=50)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan and pairs.rdd.getNumPartitions() > 4
+    assert rows(pairs, "w1", "w2", "n_docs") == want
+    monkeypatch.setattr(O, "OFTEN", 0)
+    assert rows(O.cooccurrence(whole, block=50, share=5), "w1", "w2", "n_docs") == want
+
+
 def test_matrix_refuses_a_pair_given_twice(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "i string, j string, d long")
     assert rows(E.matrix(df, ["x", "y"]), "i", "x", "y") == [("a", 1, 0), ("b", 0, 2)]
