@@ -464,6 +464,16 @@ def test_empty_tables(spark):
     assert S.alphabetical(found.select("term")).count() == S.mean_tfidf(K.rebuilt(found, reqs), found).count() == 0
 
 
+def test_weights_of_a_chunk_of_many_words(spark):
+    """A chunk of 50,000 words is one word of the weights; one with a single letter, a hyphen or two blanks is none."""
+    long = " ".join(f"wort{i}" for i in range(50_000))
+    data = [("chunk", 1, x, 1, True) for x in (long, "ab cd", "ab c", "ab-cd", "ab  cd", "")] + [("token", 1, "ef-gh", 1, False), ("token", 1, "ef", 1, False)]
+    counts = spark.createDataFrame(data, "branch string, req_no int, term string, tf int, whole boolean")
+    out = S.mean_tfidf_of(counts, spark.createDataFrame([(1,)], "n_reqs long"), ["branch"])
+    got = {(r.branch, r.term): r.tfidf_mean for r in out.collect()}
+    assert got == {("chunk", long): 0.707, ("chunk", "ab cd"): 0.707, ("chunk", "ab c"): None, ("chunk", "ab-cd"): None, ("chunk", "ab  cd"): None, ("chunk", ""): None, ("token", "ef-gh"): None, ("token", "ef"): 1.0}
+
+
 def test_ngram_tfidf_by_definition(spark):
     import re
 
