@@ -407,6 +407,15 @@ def test_cosine_pairs_in_blocks(spark):
     assert O.cosine_pairs(texts, "g", "id", "v", block=9).count() == len(want) and O.cosine_pairs(v.limit(0), "g", "id", "v").count() == 0
 
 
+def test_vectors_move_a_few_times_only(spark, monkeypatch):
+    """A large group is cut into a few large blocks, so its vectors are not sent out for each of many."""
+    v = spark.range(320).selectExpr("id % 2 as g", "id", "array(double(id), 1.0) as v")
+    monkeypatch.setattr(O, "SMALL_BLOCK", 5)
+    assert O.block_size(v) == 20 and O.block_size(v.limit(0)) == 5
+    assert O.in_block_pairs(v, O.block_size(v)).count() == 320 * 8
+    assert O.cosine_pairs(v, "g", "id", "v").count() == 2 * 160 * 159 // 2
+
+
 def test_cooccurrence_counts_pairs_where_words_meet(spark, monkeypatch):
     """Frequent words apart, several portions of a task merged, and by brute force the same."""
     import collections
